@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, repetition, sentences, stuffing
+from folioflow.llm import leakage, mixing, pieces, repetition, sentences, stuffing
 from folioflow.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,24 @@ def p1_found(spark, folder):
     return sentences.sentence_units(items, *_learned(spark, folder))
 
 
+def _items(spark, folder):
+    """Segments, and chunks as sent and as they were; chunks have no language of their own."""
+    segments = table(spark, folder, "text_segment").select(F.lit("segment").alias("origin"), F.col("seg_key").alias("item_key"), "lang", "text")
+    chunks = table(spark, folder, "model_chunk")
+    one = lambda origin, text: chunks.select(F.lit(origin).alias("origin"), F.col("chunk_key").alias("item_key"), F.lit(None).cast("string").alias("lang"), F.col(text).alias("text"))
+    return segments.unionByName(one("chunk_text", "text")).unionByName(one("chunk_original", "original"))
+
+
+@query
+def p3_found(spark, folder):
+    return pieces.item_boundaries(_items(spark, folder), table(spark, folder, "chunk_budget"), *_learned(spark, folder))
+
+
+@query
+def p3_pieces(spark, folder):
+    return pieces.split_items(_items(spark, folder), table(spark, folder, "chunk_budget"), *_learned(spark, folder))
+
+
 def _attempts(spark, folder):
     issues = table(spark, folder, "translation_issue").select("issue_key", "run_id", F.col("diagnostics.attempted_translation").alias("text")).where("text is not null")
     return repetition.measured(issues).dropDuplicates(["issue_key"])
@@ -48,6 +66,13 @@ def p5_hosts(spark, folder):
     return repetition.host_verdicts(_attempts(spark, folder), "run_id")
 
 
+@query
+def p6_found(spark, folder):
+    items = table(spark, folder, "eval_item")
+    passages = items.select("item_id", F.col("source").alias("passage")).unionByName(items.select("item_id", F.col("reference").alias("passage")))
+    return leakage.leaked(table(spark, folder, "documents"), passages).select("doc_id", "item_id")
+
+
 @query
 def p7_found(spark, folder):
     return mixing.outcomes(spark, table(spark, folder, "documents"), table(spark, folder, "mix_target"))
