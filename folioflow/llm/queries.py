@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import leakage, mixing, pieces, repetition, sentences, stuffing
+from folioflow.llm import leakage, markup, mixing, pairs, pieces, repetition, sentences, stuffing
 from folioflow.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,13 @@ def p1_found(spark, folder):
     return sentences.sentence_units(items, *_learned(spark, folder))
 
 
+@query
+def p2_found(spark, folder):
+    jobs = table(spark, folder, "review_job").select(F.col("id").alias("job_id"), "target_lang")
+    kept = table(spark, folder, "translation_issue").where("action = 'retained_original'").select(F.col("run_id").alias("job_id"), F.col("segment_id").alias("id"))
+    return pairs.defects(table(spark, folder, "review_block"), jobs, kept)
+
+
 def _items(spark, folder):
     """Segments, and chunks as sent and as they were; chunks have no language of their own."""
     segments = table(spark, folder, "text_segment").select(F.lit("segment").alias("origin"), F.col("seg_key").alias("item_key"), "lang", "text")
@@ -51,6 +58,23 @@ def p3_pieces(spark, folder):
     return pieces.split_items(_items(spark, folder), table(spark, folder, "chunk_budget"), *_learned(spark, folder))
 
 
+def _marked(spark, folder):
+    none = F.lit(None).cast("array<string>").alias("literals")
+    segments = table(spark, folder, "text_segment").where("document_format in ('md', 'html')").select(F.lit("segment").alias("origin"), F.col("seg_key").alias("item_key"), "text", none)
+    blocks = table(spark, folder, "review_block").where("source_info is not null")
+    return segments.unionByName(blocks.select(F.lit("block").alias("origin"), F.col("block_key").alias("item_key"), F.col("original").alias("text"), F.col("source_info.protected").alias("literals")))
+
+
+@query
+def p4_found(spark, folder):
+    return markup.constructs(_marked(spark, folder)).select("origin", "item_key", "markup", "structure").distinct()
+
+
+@query
+def p4_clean(spark, folder):
+    return markup.converted(_marked(spark, folder)).dropDuplicates(["origin", "item_key"])
+
+
 def _attempts(spark, folder):
     issues = table(spark, folder, "translation_issue").select("issue_key", "run_id", F.col("diagnostics.attempted_translation").alias("text")).where("text is not null")
     return repetition.measured(issues).dropDuplicates(["issue_key"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import map_batches
+from folioflow.llm.arrow import cut_lineage, map_batches
 
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88  # thresholds of the log-likelihood ratios
 LISTED = 20_000  # most entries of each kind and language that are sent to the driver, the strongest first
@@ -134,14 +134,6 @@ def _ratio(joint, left, right, total):
     return -2 * (_binomial(joint, left, p) + _binomial(right - joint, total - left, p) - _binomial(joint, left, p1) - _binomial(right - joint, total - left, p2))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder where one is set, else the frame as it is."""
-    context, shared = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None and shared:
-        context.setCheckpointDir(shared)
-    return df.checkpoint() if context.getCheckpointDir() else df
-
-
 def strongest(df: DataFrame, score: str) -> DataFrame:
     top = Window.partitionBy("lang").orderBy(F.desc(score), "a")
     return df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= LISTED).drop("rank")
