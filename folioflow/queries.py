@@ -5,12 +5,208 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.sources.tables import read_table as table
+from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
+from folioflow.operators import chunking, intervals, text_blocks
+from folioflow.sources.tables import latest, read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- plain text -------------------------------------------------------------------------------------------------------
+
+
+def _plain_jobs(spark, folder):
+    jobs = latest(table(spark, folder, "review_job").where("document_format = 'txt'").select("id", "source", "source_sha256", "loaded_at"), "id")
+    return jobs.select("id", F.col("source").cast("string").alias("text"), "source_sha256")
+
+
+_LINES = r"""
+lines AS (SELECT id, unnest(regexp_extract_all(regexp_replace(decode(source), '^\x{feff}', ''), '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+')) AS line,
+                 generate_subscripts(regexp_extract_all(regexp_replace(decode(source), '^\x{feff}', ''), '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+'), 1) AS n
+          FROM (SELECT DISTINCT id, source FROM review_job WHERE document_format = 'txt')),
+f0 AS (SELECT *, regexp_replace(line, '[\r\n]+$', '') AS body FROM lines),
+f1 AS (SELECT *, regexp_matches(body, '(?s)^[ \t]*([-*•]|[0-9]+[.)])[ \t]+[^{S}].*$') AS item, NOT regexp_matches(line, '[^{S}]') AS blank,
+              len(regexp_extract_all(line, '[^{S}]+')) AS words FROM f0),
+f2 AS (SELECT *, last_value(CASE WHEN item THEN true WHEN blank THEN false END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ctx,
+              lag(blank) OVER w AS pblank, lag(line) OVER w AS pline, lead(words) OVER w AS nwords, lead(item) OVER w AS nitem FROM f1 WINDOW w AS (PARTITION BY id ORDER BY n)),
+f3 AS (SELECT *, NOT blank AND NOT item AND NOT coalesce(ctx, false) AND (coalesce(pblank, true) OR regexp_matches(regexp_replace(pline, '[{S}]+$', ''), '[.!?]$'))
+              AND words BETWEEN 1 AND 6 AND length(body) <= 60 AND regexp_matches(body, '^\p{Lu}') AND NOT regexp_matches(body, '[.,;!?]$') AND coalesce(nwords >= 10 AND NOT nitem, false) AS heading FROM f2),
+f4 AS (SELECT *, blank OR item OR heading OR coalesce(pblank OR lag(heading) OVER w, true) AS begins FROM f3 WINDOW w AS (PARTITION BY id ORDER BY n)),
+f5 AS (SELECT *, sum(begins::int) OVER (PARTITION BY id ORDER BY n) AS b, CASE WHEN item THEN regexp_extract(body, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]+') ELSE '' END AS px FROM f4),
+blocks AS (SELECT id, b AS block_no, bool_or(blank) AS blank, bool_or(heading) AS heading, max(CASE WHEN begins THEN px END) AS prefix, max(CASE WHEN begins THEN line END) AS first,
+                  string_agg(CASE WHEN begins THEN substr(line, length(px) + 1) ELSE line END, '' ORDER BY n) AS whole FROM f5 GROUP BY id, b)
+""".replace("{S}", SPACE)
+
+_KIND = "CASE WHEN blank THEN NULL WHEN heading THEN 'heading' WHEN prefix = '' THEN 'paragraph' WHEN regexp_matches(prefix, '[-*•]') THEN 'bullet_item' ELSE 'numbered_item' END"
+
+
+@query(f"""WITH {_LINES} SELECT id, block_no, CASE WHEN NOT blank THEN sum((NOT blank)::int) OVER (PARTITION BY id ORDER BY block_no) END AS seg_no, {_KIND} AS type,
+CASE WHEN blank THEN first ELSE prefix END AS prefix, CASE WHEN NOT blank THEN whole END AS text, CASE WHEN blank THEN '' ELSE regexp_extract(whole, '[\\r\\n]*$') END AS ending FROM blocks""")
+def txt_blocks(spark, folder):
+    return text_blocks.text_blocks(_plain_jobs(spark, folder), "id", "text")
+
+
+@query(f"WITH {_LINES} SELECT {_KIND} AS type, count(*) AS blocks, sum(length(whole)) AS chars FROM blocks WHERE NOT blank GROUP BY ALL")
+def txt_block_types(spark, folder):
+    blocks = text_blocks.text_blocks(_plain_jobs(spark, folder), "id", "text").where("text is not null")
+    return blocks.groupBy("type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT DISTINCT id, true AS same FROM review_job WHERE document_format = 'txt'")
+def txt_rewrite_identity(spark, folder):
+    """Blocks written back with their own texts give the source again, byte for byte (its hash)."""
+    jobs = _plain_jobs(spark, folder)
+    blocks = text_blocks.text_blocks(jobs, "id", "text")
+    written = text_blocks.rewritten(blocks, "id", F.col("text"))
+    hashed = F.sha2(F.concat(F.when(F.col("text").startswith(text_blocks.BOM), text_blocks.BOM).otherwise(""), "document").cast("binary"), 256)
+    return jobs.join(written, "id").select("id", (hashed == F.col("source_sha256")).alias("same"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT id AS job_id, row_number() OVER (PARTITION BY id ORDER BY block_no) AS seg_no, {_KIND} AS type, whole FROM blocks WHERE NOT blank),
+r AS (SELECT DISTINCT b.job_id, b.id, b.type, b.original FROM review_block b JOIN review_job j ON j.id = b.job_id WHERE j.document_format = 'txt')
+SELECT coalesce(s.job_id, r.job_id) AS job_id, count(*) FILTER (r.id IS NULL) AS missing, count(*) FILTER (s.seg_no IS NULL) AS extra,
+       count(*) FILTER (s.seg_no IS NOT NULL AND r.id IS NOT NULL AND (s.type <> r.type OR s.whole <> r.original)) AS changed
+FROM s FULL JOIN r ON s.job_id = r.job_id AND s.seg_no::varchar = r.id GROUP BY 1""")
+def review_inventory(spark, folder):
+    """Stored blocks against a fresh extraction from the snapshot, by job: both ways, so nothing is lost or added unseen."""
+    blocks = text_blocks.text_blocks(_plain_jobs(spark, folder), "id", "text").where("text is not null").selectExpr("id as s_job", "cast(seg_no as string) as s_id", "type as s_type", "text as s_text")
+    jobs = table(spark, folder, "review_job").where("document_format = 'txt'").select(F.col("id").alias("job_id")).distinct()
+    stored = table(spark, folder, "review_block").select("job_id", "id", "type", "original").dropDuplicates(["job_id", "id"]).join(jobs, "job_id", "left_semi")
+    both = blocks.join(stored, (F.col("s_job") == F.col("job_id")) & (F.col("s_id") == F.col("id")), "full_outer")
+    present = F.col("s_id").isNotNull() & F.col("id").isNotNull()
+    return both.groupBy(F.coalesce("s_job", "job_id").alias("job_id")).agg(
+        F.count_if(F.col("id").isNull()).alias("missing"), F.count_if(F.col("s_id").isNull()).alias("extra"),
+        F.count_if(present & ((F.col("s_type") != F.col("type")) | (F.col("s_text") != F.col("original")))).alias("changed"),
+    )
+
+
+def _segments(spark, folder, *columns):
+    return table(spark, folder, "text_segment").select("seg_key", *columns).dropDuplicates(["seg_key"])
+
+
+@query("""SELECT seg_key, run_id, seg_no, CASE WHEN type = 'paragraph' THEN sum((type = 'paragraph')::int) OVER (PARTITION BY run_id ORDER BY seg_no) END AS paragraph_number
+FROM (SELECT DISTINCT seg_key, run_id, seg_no, type FROM text_segment)""")
+def paragraph_numbering(spark, folder):
+    segments = _segments(spark, folder, "run_id", "seg_no", "type")
+    return text_blocks.paragraph_numbers(segments, "run_id", "seg_no").drop("type")
+
+
+# ---- sentences and chunks ---------------------------------------------------------------------------------------------
+
+_PARTS = rf"""
+s AS (SELECT DISTINCT seg_key, text FROM text_segment WHERE text IS NOT NULL),
+x AS (SELECT seg_key, unnest(regexp_extract_all(text, '{SENTENCE.replace("'", "''")}')) AS whole, generate_subscripts(regexp_extract_all(text, '{SENTENCE.replace("'", "''")}'), 1) - 1 AS part_no FROM s),
+parts AS (SELECT seg_key, part_no, CASE WHEN regexp_matches(whole, '{SENTENCE_END.replace("'", "''")}') THEN regexp_replace(whole, '[{SPACE}]+$', '') ELSE whole END AS part,
+                 CASE WHEN regexp_matches(whole, '{SENTENCE_END.replace("'", "''")}') THEN regexp_extract(whole, '[{SPACE}]+$') ELSE '' END AS separator FROM x)
+"""
+
+
+def _parts(spark, folder):
+    return chunking.sentence_parts(_segments(spark, folder, "text"), ["seg_key"], "text")
+
+
+@query(f"WITH {_PARTS} SELECT * FROM parts")
+def sentence_split(spark, folder):
+    return _parts(spark, folder)
+
+
+@query("SELECT DISTINCT seg_key, text FROM text_segment WHERE length(text) > 0")
+def reassembly_identity(spark, folder):
+    """The parts of each text put together again."""
+    parts = _parts(spark, folder)
+    return parts.groupBy("seg_key").agg(joined(F.concat("part", "separator"), F.col("part_no")).alias("text"))
+
+
+@query(f"""WITH {_PARTS} SELECT lang, document_format, count(*) AS sentences, sum(length(part)) AS chars, max(length(part)) AS longest
+FROM parts JOIN (SELECT DISTINCT seg_key, lang, document_format FROM text_segment) USING (seg_key) GROUP BY ALL""")
+def sentence_stats(spark, folder):
+    """Sentences by language and format. Grouped before any join: the labels ride along through the split."""
+    parts = chunking.sentence_parts(_segments(spark, folder, "lang", "document_format", "text"), ["lang", "document_format"], "text")
+    return parts.groupBy("lang", "document_format").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).alias("longest"))
+
+
+@query(f"""WITH {_PARTS} SELECT seg_key, part_no, sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no) - length(part) - length(separator) AS start_pos,
+sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no) - length(separator) AS end_pos FROM parts""")
+def chunk_offsets(spark, folder):
+    located = chunking.chunk_offsets(_parts(spark, folder), ["seg_key"], "part_no", F.col("part"), F.col("separator"))
+    return located.select("seg_key", "part_no", "start_pos", "end_pos")
+
+
+@query()
+def budget_chunks(spark, folder):
+    """Sentences cut to at most 120 characters at white space; recursive, so SQL has no counterpart."""
+    parts = _parts(spark, folder)
+    return chunking.budget_chunks(parts, ["seg_key", "part_no"], "part", 120)
+
+
+@query(f"""SELECT seg_key, count(*) AS words, count(*) FILTER (regexp_matches(w, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')) AS letters FROM
+(SELECT seg_key, unnest(regexp_extract_all(text, '{WORD}')) AS w FROM (SELECT DISTINCT seg_key, text FROM text_segment)) GROUP BY seg_key""")
+def word_counts(spark, folder):
+    tokens = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    counted = _segments(spark, folder, "text").select("seg_key", F.size(tokens).alias("words"), F.size(F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}\p{M}_]"))).alias("letters"))
+    return counted.where("words > 0")
+
+
+# ---- intervals --------------------------------------------------------------------------------------------------------
+
+_SPANS = "s AS (SELECT seg_key, any_value(text) AS text, any_value(protected_spans) AS spans FROM text_segment GROUP BY seg_key), p AS (SELECT seg_key, unnest(spans) AS x FROM s)"
+
+
+def _protected(spark, folder):
+    return _segments(spark, folder, "text", "protected_spans")
+
+
+@query(f"""WITH {_SPANS}, q AS (SELECT seg_key, x.start_pos AS a, x.end_pos AS b, lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos, x.end_pos) AS before FROM p)
+SELECT seg_key, length(text) AS chars, coalesce(len(spans), 0) AS spans, coalesce((SELECT bool_and(a >= 0 AND a < b AND b <= length(text) AND coalesce(before <= a, true)) FROM q WHERE q.seg_key = s.seg_key), true) AS sound FROM s""")
+def span_validation(spark, folder):
+    size = F.coalesce(F.size(F.when(F.col("protected_spans").isNotNull(), F.col("protected_spans"))), F.lit(0))
+    return _protected(spark, folder).select("seg_key", F.length("text").alias("chars"), size.alias("spans"), intervals.ordered_spans(F.col("protected_spans"), F.length("text")).alias("sound"))
+
+
+@query(f"""WITH {_SPANS}, e AS (SELECT seg_key, x.start_pos AS a, x.end_pos AS b, 'protected' AS kind FROM p UNION ALL
+SELECT seg_key, coalesce(lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos), 0), x.start_pos, 'text' FROM p UNION ALL
+SELECT seg_key, coalesce((SELECT max(x.end_pos) FROM p WHERE p.seg_key = s.seg_key), 0), length(text), 'text' FROM s),
+m AS (SELECT *, kind <> coalesce(lag(kind) OVER (PARTITION BY seg_key ORDER BY a), '') AS fresh FROM e WHERE a < b),
+n AS (SELECT *, sum(fresh::int) OVER (PARTITION BY seg_key ORDER BY a) AS part_no FROM m)
+SELECT seg_key, part_no, min(a) AS start_pos, max(b) AS end_pos, kind FROM n GROUP BY seg_key, part_no, kind""")
+def interval_partition(spark, folder):
+    segments = _protected(spark, folder).where("text is not null")
+    spans = segments.select("seg_key", F.explode("protected_spans").alias("p")).select("seg_key", "p.start_pos", "p.end_pos")
+    return intervals.partition(segments.select("seg_key", F.length("text").alias("chars")), "seg_key", "chars", {"protected": spans})
+
+
+@query(f"""WITH {_SPANS}, e AS (SELECT seg_key, coalesce(lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos), 0) AS a, x.start_pos AS b FROM p UNION ALL
+SELECT seg_key, coalesce((SELECT max(x.end_pos) FROM p WHERE p.seg_key = s.seg_key), 0), length(text) FROM s)
+SELECT s.seg_key, string_agg(substr(s.text, e.a + 1, e.b - e.a), '' ORDER BY e.a) AS visible FROM s JOIN e USING (seg_key) WHERE len(spans) > 0 GROUP BY s.seg_key""")
+def visible_text(spark, folder):
+    """Texts without their protected spans, by array functions within the row: no shuffle but that for redelivered rows."""
+    return _protected(spark, folder).where("size(protected_spans) > 0").select("seg_key", intervals.extracted(F.col("text"), F.col("protected_spans")).alias("visible"))
+
+
+@query("""WITH c AS (SELECT DISTINCT chunk_key, run_id, segment_id, original, source_spans FROM model_chunk),
+s AS (SELECT DISTINCT run_id, id, text FROM text_segment)
+SELECT chunk_key, len(source_spans) AS spans, original = list_aggregate(list_transform(source_spans, lambda p: substr(text, p.start_pos + 1, p.end_pos - p.start_pos)), 'string_agg', '') AS same
+FROM c JOIN s ON c.run_id = s.run_id AND c.segment_id = s.id WHERE len(source_spans) > 0""")
+def chunk_sources(spark, folder):
+    """Whether each chunk's original is the slices of its segment that its spans name."""
+    chunks = table(spark, folder, "model_chunk").select("chunk_key", "run_id", "segment_id", "original", "source_spans").where("size(source_spans) > 0").dropDuplicates(["chunk_key"])
+    segments = table(spark, folder, "text_segment").select("run_id", F.col("id").alias("segment_id"), "text").dropDuplicates(["run_id", "segment_id"])
+    cut = F.array_join(F.transform("source_spans", lambda p: F.substring(F.col("text"), p["start_pos"] + 1, p["end_pos"] - p["start_pos"])), "")
+    return chunks.join(segments, ["run_id", "segment_id"]).select("chunk_key", F.size("source_spans").alias("spans"), (F.col("original") == cut).alias("same"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "text_segment").select("seg_key")
+    return sentence_stats(spark, folder)
