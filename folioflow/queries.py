@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
-from folioflow.operators import chunking, intervals, text_blocks
+from folioflow.functions import backends
+from folioflow.operators import alignment, chunking, glossary, intervals, markers, text_blocks
+from folioflow.plans import translate
 from folioflow.sources.tables import latest, read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,5 +210,177 @@ def chunk_sources(spark, folder):
     return chunks.join(segments, ["run_id", "segment_id"]).select("chunk_key", F.size("source_spans").alias("spans"), (F.col("original") == cut).alias("same"))
 
 
+# ---- markers and glossary ---------------------------------------------------------------------------------------------
+
+#: A small glossary of the test documents' trade; fixed values.
+TERMS = [
+    ("floor sensor", "translate", "Bodensensor"), ("signal cable", "translate", "Signalkabel"), ("relief valve", "annotate", "Überdruckventil"),
+    ("valve", "translate", "Ventil"), ("power module", "translate", "Leistungsmodul"), ("memory module", "translate", "Speichermodul"), ("module", "keep", None),
+    ("seal ring", "translate", "Dichtring"), ("feed pump", "translate", "Förderpumpe"), ("night crew", "annotate", "Nachtschicht"), ("shift manager", "keep", None),
+    ("shift", "translate", "Schicht"), ("storage tank", "translate", "Vorratsbehälter"), ("heat exchanger", "translate", "Wärmetauscher"), ("exchanger", "translate", "Tauscher"),
+]
+
+
+def _glossary(spark):
+    return spark.createDataFrame(TERMS, "source string, mode string, target string")
+
+
+_HASHES = "list_transform([0, 1, 2, 3], lambda k: 'DLM' || upper(substr(sha256('DLM:' || k), 1, 32)))"
+
+
+@query(f"""SELECT chunk_key, list_filter({_HASHES}, lambda p: NOT contains(lower(text), lower(p)))[1] AS prefix,
+len(regexp_extract_all(text, 'DLM[0-9A-F]{{32}}X[0-9]+Z')) AS found FROM (SELECT DISTINCT chunk_key, text FROM model_chunk WHERE text IS NOT NULL)""")
+def marker_prefixes(spark, folder):
+    """The free marker prefix of each chunk, and how many markers it holds already."""
+    chunks = table(spark, folder, "model_chunk").where("text is not null").select("chunk_key", "text").dropDuplicates(["chunk_key"])
+    return chunks.select("chunk_key", markers.marker_prefix(F.col("text")).alias("prefix"), F.size(F.regexp_extract_all("text", F.lit("DLM[0-9A-F]{32}X[0-9]+Z"), F.lit(0))).alias("found"))
+
+
+@query("""SELECT marker, count(*) AS times, count(DISTINCT chunk_key) AS chunks FROM
+(SELECT chunk_key, unnest(regexp_extract_all(text, 'DLM[0-9A-F]{32}X[0-9]+Z')) AS marker FROM (SELECT DISTINCT chunk_key, text FROM model_chunk)) GROUP BY marker""")
+def marker_bag_counts(spark, folder):
+    found = table(spark, folder, "model_chunk").select("chunk_key", "text").dropDuplicates(["chunk_key"]).select("chunk_key", F.explode(F.regexp_extract_all("text", F.lit("DLM[0-9A-F]{32}X[0-9]+Z"), F.lit(0))).alias("marker"))
+    return found.groupBy("marker").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("chunk_key").alias("chunks"))
+
+
+@query("""WITH p AS (SELECT DISTINCT pair_key, source, target, markers, marker_prefix FROM en_de WHERE marker_prefix IS NOT NULL),
+f AS (SELECT *, regexp_extract_all(source, marker_prefix || 'X[0-9]+Z') AS a, regexp_extract_all(target, marker_prefix || 'X[0-9]+Z') AS b FROM p)
+SELECT pair_key, coalesce(len(markers), 0) AS registered, list_sort(a) = list_sort(coalesce(markers, [])) AS source_ok, list_sort(b) = list_sort(coalesce(markers, [])) AS target_ok FROM f""")
+def registered_markers(spark, folder):
+    """Whether both sides of a pair hold exactly the registered markers."""
+    pairs = table(spark, folder, "en_de").where("marker_prefix is not null").select("pair_key", "source", "target", "markers", "marker_prefix").dropDuplicates(["pair_key"])
+    known = F.coalesce("markers", F.array().cast("array<string>"))
+    side = lambda c: markers.same_bag(markers.found_markers(F.col(c), F.col("marker_prefix")), known)
+    return pairs.select("pair_key", F.size(known).alias("registered"), side("source").alias("source_ok"), side("target").alias("target_ok"))
+
+
+_PATTERN = glossary.term_pattern([t[0] for t in TERMS])
+
+
+@query(f"""SELECT seg_key, match_no, term FROM (SELECT seg_key, unnest(m) AS term, generate_subscripts(m, 1) - 1 AS match_no FROM
+(SELECT seg_key, regexp_extract_all(lower(text), '{_PATTERN}') AS m FROM (SELECT DISTINCT seg_key, text FROM text_segment)))""")
+def glossary_longest_match(spark, folder):
+    return glossary.matched_terms(_segments(spark, folder, "text"), ["seg_key"], "text", [t[0] for t in TERMS])
+
+
+@query(f"""SELECT term AS source, count(*) AS matches, count(DISTINCT seg_key) AS segments FROM (SELECT seg_key, unnest(regexp_extract_all(lower(text), '{_PATTERN}')) AS term
+FROM (SELECT DISTINCT seg_key, text FROM text_segment)) GROUP BY term""")
+def glossary_hits(spark, folder):
+    """Matches by the trie, which folds letters exactly; on these texts it agrees with the regular expression."""
+    found = glossary.matches(_segments(spark, folder, "text"), ["seg_key"], "text", _glossary(spark))
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("seg_key").alias("segments"))
+
+
+@query("""WITH e(source, mode, target) AS (VALUES ('Valve','translate','Ventil'),('valve','keep',NULL),(' pump','translate','Pumpe'),('ring','translate',NULL),('tank','keep','Tank'),('arm','swap','Arm'),('','keep',NULL),('coil','keep',NULL)),
+s AS (SELECT source, CASE WHEN trim(source) = '' THEN 'empty_source' WHEN source <> trim(source) THEN 'source_not_trimmed' WHEN mode NOT IN ('keep','translate','annotate') THEN 'unknown_mode'
+ WHEN mode = 'keep' AND target IS NOT NULL THEN 'target_with_keep' WHEN mode <> 'keep' AND coalesce(trim(target), '') = '' THEN 'missing_target' END AS error FROM e)
+SELECT * FROM s WHERE error IS NOT NULL UNION ALL SELECT min(source), 'duplicate_source' FROM e GROUP BY lower(source) HAVING count(*) > 1""")
+def glossary_errors(spark, folder):
+    entries = [("Valve", "translate", "Ventil"), ("valve", "keep", None), (" pump", "translate", "Pumpe"), ("ring", "translate", None), ("tank", "keep", "Tank"), ("arm", "swap", "Arm"), ("", "keep", None), ("coil", "keep", None)]
+    return glossary.glossary_errors(spark.createDataFrame(entries, glossary.SCHEMA))
+
+
+@query(r"""SELECT seg_key, CASE WHEN regexp_matches(coalesce(visible, text), '\p{L}') THEN coalesce(replaced, upper(replace(text, 'ß', 'ss'))) ELSE text END AS translated FROM
+(SELECT seg_key, any_value(text) AS text, any_value(protected_spans) AS spans FROM text_segment GROUP BY seg_key) s LEFT JOIN
+(SELECT seg_key, string_agg(CASE WHEN kind THEN substr(text, a + 1, b - a) ELSE upper(replace(substr(text, a + 1, b - a), 'ß', 'ss')) END, '' ORDER BY a) AS replaced,
+        string_agg(CASE WHEN kind THEN '' ELSE substr(text, a + 1, b - a) END, '' ORDER BY a) AS visible FROM
+ (SELECT seg_key, text, x.start_pos AS a, x.end_pos AS b, true AS kind FROM (SELECT seg_key, any_value(text) AS text, unnest(any_value(protected_spans)) AS x FROM text_segment GROUP BY seg_key) UNION ALL
+  SELECT seg_key, text, coalesce(lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos), 0), x.start_pos, false FROM (SELECT seg_key, any_value(text) AS text, unnest(any_value(protected_spans)) AS x FROM text_segment GROUP BY seg_key) UNION ALL
+  SELECT seg_key, any_value(text), max(x.end_pos), length(any_value(text)), false FROM (SELECT seg_key, any_value(text) AS text, unnest(any_value(protected_spans)) AS x FROM text_segment GROUP BY seg_key) GROUP BY seg_key)
+ WHERE a < b GROUP BY seg_key) r USING (seg_key)""")
+def translated_upper(spark, folder):
+    """Every segment through the whole pipeline with the upper-case double: protected content must come out untouched."""
+    done = translate.translate_segments(_protected(spark, folder), ["seg_key"], backends.upper)
+    return done.select("seg_key", "translated")
+
+
+@query("SELECT DISTINCT seg_key, text AS translated, NULL::varchar AS action FROM text_segment")
+def translated_echo(spark, folder):
+    """The echo double with glossary-free masking gives every text back, with no issue."""
+    return translate.translate_segments(_protected(spark, folder), ["seg_key"], backends.echo).select("seg_key", "translated", "action")
+
+
+@query()
+def translated_glossary(spark, folder):
+    """Glossary masking around the upper-case double, sentence chunks of at most 400 characters."""
+    done = translate.translate_segments(_protected(spark, folder), ["seg_key"], backends.upper, _glossary(spark), limit=400)
+    return done.select("seg_key", "translated", "action", F.array_join("errors", "; ").alias("errors"))
+
+
+# ---- alignment and formatting -----------------------------------------------------------------------------------------
+
+
+def _pairs(spark, folder):
+    return table(spark, folder, "en_de").dropDuplicates(["pair_key"])
+
+
+_SCOPES = """p AS (SELECT DISTINCT pair_key, source, target, scopes, expected_spans FROM en_de),
+sc AS (SELECT pair_key, s.id AS scope_id, s.source[1] AS a, s.source[2] AS b, s.link_target FROM (SELECT pair_key, unnest(scopes) AS s FROM p)),
+lk AS (SELECT pair_key, link_no, r.start_pos AS a, r.end_pos AS b FROM (SELECT pair_key, link_no, unnest(x.source_ranges) AS r FROM
+      (SELECT pair_key, unnest(expected_spans) AS x, generate_subscripts(expected_spans, 1) - 1 AS link_no FROM p) WHERE x.relation = 'correspondence'))"""
+
+
+@query(f"""WITH {_SCOPES} SELECT sc.pair_key, sc.scope_id, count(DISTINCT lk.link_no) AS links, count(*) FILTER (lk.a < sc.a OR lk.b > sc.b) AS crossing
+FROM sc JOIN lk ON sc.pair_key = lk.pair_key AND sc.a < lk.b AND lk.a < sc.b GROUP BY ALL""")
+def scope_link_overlap(spark, folder):
+    pairs = _pairs(spark, folder)
+    return alignment.scope_links(alignment.scope_rows(pairs), alignment.link_rows(pairs, "source"))
+
+
+@query(f"""WITH {_SCOPES} SELECT l.pair_key, l.scope_id, string_agg(DISTINCT r.scope_id, ',' ORDER BY r.scope_id) AS others FROM sc l JOIN sc r ON l.pair_key = r.pair_key AND l.scope_id <> r.scope_id
+AND l.a < r.b AND r.a < l.b WHERE NOT (l.a <= r.a AND r.b <= l.b) AND NOT (r.a <= l.a AND l.b <= r.b) GROUP BY ALL""")
+def scope_conflicts(spark, folder):
+    return alignment.conflicts(alignment.scope_rows(_pairs(spark, folder)))
+
+
+@query(f"""WITH {_SCOPES} SELECT pair_key, scope_id, (SELECT max(lk.b) FROM lk WHERE lk.pair_key = sc.pair_key AND lk.b <= sc.a) AS before_end,
+(SELECT min(lk.a) FROM lk WHERE lk.pair_key = sc.pair_key AND lk.a >= sc.b) AS after_start FROM sc""")
+def nearest_anchor(spark, folder):
+    pairs = _pairs(spark, folder)
+    return alignment.nearest_anchors(alignment.scope_rows(pairs), alignment.link_rows(pairs, "source"))
+
+
+@query("""SELECT pair_key, count(*) AS spans, bool_and(ok) AS sound FROM (SELECT pair_key,
+list_bool_and(list_concat(list_transform(x.source_ranges, lambda r: substr(source, r.start_pos + 1, r.end_pos - r.start_pos) = r.text), [true])) AND
+list_bool_and(list_concat(list_transform(x.target_ranges, lambda r: substr(target, r.start_pos + 1, r.end_pos - r.start_pos) = r.text), [true])) AND
+(len(coalesce(x.target_ranges, [])) = 0) = (x.relation = 'unaligned') AS ok
+FROM (SELECT pair_key, source, target, unnest(expected_spans) AS x FROM (SELECT DISTINCT pair_key, source, target, expected_spans FROM en_de))) GROUP BY pair_key""")
+def expected_spans_valid(spark, folder):
+    """Whether stored ranges cut their texts out of both sides and have a target unless they are unaligned."""
+    spans = _pairs(spark, folder).select("pair_key", "source", "target", F.explode("expected_spans").alias("x"))
+    cuts = lambda side: F.coalesce(F.forall(f"x.{side}_ranges", lambda r: F.substring(F.col(side), r["start_pos"] + 1, r["end_pos"] - r["start_pos"]) == r["text"]), F.lit(True))
+    empty = F.coalesce(F.size(F.when(F.col("x.target_ranges").isNotNull(), F.col("x.target_ranges"))), F.lit(0)) == 0
+    sound = cuts("source") & cuts("target") & (empty == (F.col("x.relation") == "unaligned"))
+    return spans.groupBy("pair_key").agg(F.count(F.lit(1)).alias("spans"), F.bool_and(sound).alias("sound"))
+
+
+@query()
+def alignment_components(spark, folder):
+    """Links of the positional double as connected components, with anchored markers; a union-find within each pair."""
+    return alignment.align_pairs(_pairs(spark, folder))
+
+
+@query()
+def alignment_statistics(spark, folder):
+    return alignment.statistics(alignment.align_pairs(_pairs(spark, folder)))
+
+
+@query()
+def projected_formatting(spark, folder):
+    return alignment.project_pairs(_pairs(spark, folder))
+
+
+@query()
+def projected_expected(spark, folder):
+    """The same through the stored spans."""
+    return alignment.project_pairs(_pairs(spark, folder), aligner="expected")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return sentence_stats(spark, folder)
+    """Documents, their sentences and matched terms, and how much of them the pipeline translates, by language and format."""
+    segments = _segments(spark, folder, "lang", "document_format", "text", "protected_spans")
+    done = translate.translate_segments(segments, ["seg_key", "lang", "document_format"], backends.upper, _glossary(spark))
+    return done.groupBy("lang", "document_format").agg(
+        F.count(F.lit(1)).alias("segments"), F.count_if(F.col("action").isNotNull()).alias("retained"),
+        F.sum(F.size(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))).alias("sentences"), F.sum(F.length("translated")).alias("chars"),
+    )
