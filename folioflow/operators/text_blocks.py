@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import LINE, SPACE, count_words, is_blank, joined, rstrip
 
 ITEM = rf"(?s)^([ \t]*([-*•]|[0-9]+[.)])[ \t]+)[^{SPACE}].*$"
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def lines(documents: DataFrame, key: str, text: str) -> DataFrame:

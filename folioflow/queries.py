@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
 from folioflow.functions import backends
-from folioflow.operators import alignment, chunking, glossary, intervals, markers, text_blocks
+from folioflow.functions.arrow import flat_map
+from folioflow.operators import alignment, chunking, glossary, html_text, intervals, issues, markdown, markers, odt, review, text_blocks
 from folioflow.plans import translate
 from folioflow.sources.tables import latest, read_table as table
 
@@ -376,6 +377,218 @@ def projected_expected(spark, folder):
     return alignment.project_pairs(_pairs(spark, folder), aligner="expected")
 
 
+# ---- HTML, Markdown and OpenDocument ----------------------------------------------------------------------------------
+
+
+def _runs(spark, folder, form):
+    """Whole documents of one format, put together from the segments of a run."""
+    segments = table(spark, folder, "text_segment").where(F.col("document_format") == form).select("run_id", "seg_no", "text").dropDuplicates(["run_id", "seg_no"])
+    return segments.groupBy("run_id").agg(joined(F.concat(F.lit("<p>"), "text", F.lit("</p>")) if form == "html" else F.col("text"), F.col("seg_no"), "\n\n").alias("text"))
+
+
+@query()
+def html_visible_text(spark, folder):
+    return html_text.html_segments(_runs(spark, folder, "html"), "run_id", "text").drop("protected_spans")
+
+
+@query()
+def html_signatures(spark, folder):
+    return html_text.signatures(_segments(spark, folder, "document_format", "text").where("document_format = 'html'"), "seg_key", "text")
+
+
+@query("""SELECT seg_key, len(regexp_extract_all(text, '&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);')) AS entities, len(regexp_extract_all(text, '</?[A-Za-z][^<>]*>')) AS tags
+FROM (SELECT DISTINCT seg_key, text FROM text_segment WHERE document_format = 'html')""")
+def html_entity_counts(spark, folder):
+    pages = _segments(spark, folder, "document_format", "text").where("document_format = 'html'")
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    return pages.select("seg_key", count("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);").alias("entities"), count("</?[A-Za-z][^<>]*>").alias("tags"))
+
+
+def _marked_jobs(spark, folder):
+    jobs = latest(table(spark, folder, "review_job").where("document_format = 'md'").select("id", "source", "loaded_at"), "id")
+    return jobs.select("id", F.col("source").cast("string").alias("text"))
+
+
+@query()
+def markdown_regions(spark, folder):
+    return markdown.markdown_regions(_marked_jobs(spark, folder), "id", "text").drop("protected_spans")
+
+
+@query("SELECT DISTINCT id, true AS same FROM review_job WHERE document_format = 'md'")
+def markdown_rewrite_identity(spark, folder):
+    """Regions spliced back with their own texts give each source again."""
+    return markdown.rewrite_documents(_marked_jobs(spark, folder), "id", "text")
+
+
+@query()
+def markdown_layouts(spark, folder):
+    found = markdown.markdown_layouts(_segments(spark, folder, "document_format", "text").where("document_format = 'md'"), "seg_key", "text")
+    return found.select("seg_key", F.size("ranges").alias("wrappers"), intervals.laminar(F.col("ranges")).alias("sound"), F.array_join("signature", " | ").alias("signature"))
+
+
+@query("""SELECT block_key, len(source_info.formatting) AS ranges, list_bool_and(list_concat([true], list_transform(source_info.formatting,
+lambda r: 0 <= r.outer_start AND r.outer_start <= r.inner_start AND r.inner_start <= r.inner_end AND r.inner_end <= r.outer_end AND r.outer_start < r.outer_end))) AND
+list_bool_and(list_concat([true], list_transform(range(1, len(source_info.formatting)), lambda j: list_bool_and(list_transform(range(0, j), lambda i:
+(source_info.formatting[j + 1].outer_start >= source_info.formatting[i + 1].outer_end OR (source_info.formatting[j + 1].outer_start >= source_info.formatting[i + 1].inner_start
+AND source_info.formatting[j + 1].outer_end <= source_info.formatting[i + 1].inner_end)) AND source_info.formatting[i + 1].outer_start <= source_info.formatting[j + 1].outer_start))))) AS sound
+FROM (SELECT DISTINCT block_key, source_info FROM review_block WHERE source_info IS NOT NULL AND source_info.formatting IS NOT NULL)""")
+def layout_validation(spark, folder):
+    blocks = table(spark, folder, "review_block").where("source_info.formatting is not null").select("block_key", "source_info").dropDuplicates(["block_key"])
+    return blocks.select("block_key", F.size("source_info.formatting").alias("ranges"), intervals.laminar(F.col("source_info.formatting")).alias("sound"))
+
+
+def _packages(spark, folder):
+    """A package for every run of OpenDocument segments, built from their texts."""
+    segments = table(spark, folder, "text_segment").where("document_format = 'odt'").select("run_id", "seg_no", "type", "text").dropDuplicates(["run_id", "seg_no"])
+    rows = segments.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seg_no", "type", "text"))).alias("rows"))
+    make = lambda: lambda row: [(row["run_id"], odt.make_package([(r["type"], r["text"] or "") for r in row["rows"]]))]
+    return flat_map(rows, "run_id string, content binary", make)
+
+
+@query("SELECT run_id, count(*) AS blocks, sum(length(replace(text, chr(10), ''))) AS chars FROM (SELECT DISTINCT run_id, seg_no, text FROM text_segment WHERE document_format = 'odt') GROUP BY run_id")
+def odt_round_trip(spark, folder):
+    """Segments written as packages and read back: as many blocks and characters as before (line breaks come back as elements)."""
+    found = odt.odt_blocks(_packages(spark, folder), "run_id", "content")
+    plain = F.regexp_replace("text", r"<text:line-break/>", "")
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length(plain)).alias("chars"))
+
+
+@query()
+def odt_blocks(spark, folder):
+    return odt.odt_blocks(_packages(spark, folder), "run_id", "content").drop("protected_spans")
+
+
+@query("""WITH RECURSIVE e(style, parent) AS (VALUES ('P1','Preformatted'),('P2','P1'),('P3','P2'),('P4','Text'),('Loop1','Loop2'),('Loop2','Loop1'),('P5','P4')),
+r(style) AS (SELECT 'Preformatted' UNION SELECT e.style FROM e JOIN r ON e.parent = r.style) SELECT style FROM r""")
+def style_closure(spark, folder):
+    edges = [("P1", "Preformatted"), ("P2", "P1"), ("P3", "P2"), ("P4", "Text"), ("Loop1", "Loop2"), ("Loop2", "Loop1"), ("P5", "P4")]
+    return odt.closure(spark.createDataFrame(edges, "style string, parent string"), spark.createDataFrame([("Preformatted",)], "style string"))
+
+
+# ---- review and issues ------------------------------------------------------------------------------------------------
+
+_JOBS = "j AS (SELECT DISTINCT id AS job_id, source_name FROM review_job), b AS (SELECT DISTINCT job_id, ord, id, original, proposal FROM review_block)"
+_ENCODE = "array_to_string(list_transform(string_split(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: CASE WHEN starts_with(x, '\\') OR regexp_matches(x, '" + review.CONTROL.replace("'", "''") + "') THEN '\\' || x ELSE x END), chr(10))"
+
+
+def _jobs(spark, folder):
+    return table(spark, folder, "review_job").select(F.col("id").alias("job_id"), "source_name").dropDuplicates(["job_id"])
+
+
+def _blocks(spark, folder):
+    return table(spark, folder, "review_block").select("job_id", "ord", "id", "type", "original", "proposal").dropDuplicates(["job_id", "id"])
+
+
+@query(f"""WITH {_JOBS} SELECT b.job_id, 'document-review: 1' || chr(10) || 'Job-ID: ' || b.job_id || chr(10) || chr(10) || string_agg('=== Block ' || id || ' ===' || chr(10) || 'Source: ' || substr(to_json(source_name)::varchar, 2, length(to_json(source_name)::varchar) - 2)
+|| chr(10) || '--- Original ---' || chr(10) || {_ENCODE.format(c="coalesce(original, '')")} || chr(10) || '--- Translation ---' || chr(10) || {_ENCODE.format(c="coalesce(proposal, '')")} || chr(10) || '--- Correction ---' || chr(10) || chr(10)
+|| '=== End Block ===' || chr(10) || chr(10), '' ORDER BY ord) AS review FROM b JOIN j USING (job_id) GROUP BY b.job_id""")
+def review_export(spark, folder):
+    return review.review_texts(_jobs(spark, folder), _blocks(spark, folder))
+
+
+@query("SELECT NULL::varchar AS job_id, NULL::varchar AS id, NULL::varchar AS error WHERE false")
+def review_import_errors(spark, folder):
+    """Reviews written and read back hold exactly the blocks that were stored, so nothing may come out."""
+    blocks = _blocks(spark, folder)
+    return review.review_errors(review.review_blocks(review.review_texts(_jobs(spark, folder), blocks)), blocks)
+
+
+@query("""SELECT job_id, ord, id, CASE WHEN ord % 3 = 0 THEN upper(replace(original, 'ß', 'ss')) ELSE proposal END AS text FROM (SELECT DISTINCT job_id, ord, id, original, proposal FROM review_block)""")
+def review_select(spark, folder):
+    """Every third block corrected, the others accepted as proposed."""
+    blocks = _blocks(spark, folder)
+    corrected = blocks.where("ord % 3 = 0 and length(trim(original)) > 0").select("job_id", "id", F.upper(F.regexp_replace("original", "ß", "ss")).alias("correction"))
+    return review.selected(blocks, corrected)
+
+
+@query("SELECT NULL::varchar AS id, NULL::varchar AS error WHERE false")
+def review_job_errors(spark, folder):
+    return review.job_errors(table(spark, folder, "review_job").dropDuplicates(["id"]))
+
+
+@query("SELECT DISTINCT id, sha256(source) AS sha256, sha256(source) = source_sha256 AS unchanged FROM review_job")
+def source_fingerprint(spark, folder):
+    jobs = table(spark, folder, "review_job").select("id", "source", "source_sha256").dropDuplicates(["id"])
+    return jobs.select("id", F.sha2("source", 256).alias("sha256"), (F.sha2("source", 256) == F.col("source_sha256")).alias("unchanged"))
+
+
+@query("""SELECT job_id, id, len(protected) AS literals, len(list_filter(protected, lambda x: len(string_split(proposal, x)) <> 2)) AS missing FROM
+(SELECT DISTINCT job_id, id, proposal, source_info.protected AS protected FROM review_block WHERE proposal IS NOT NULL AND len(source_info.protected) > 0)""")
+def protected_literals(spark, folder):
+    blocks = table(spark, folder, "review_block").select("job_id", "id", "proposal", F.col("source_info.protected").alias("protected")).where("proposal is not null and size(protected) > 0").dropDuplicates(["job_id", "id"])
+    return review.literal_counts(blocks)
+
+
+@query("""SELECT count(*) FILTER (s.seg_key IS NULL) AS without_segment, count(*) FILTER (b.block_key IS NULL) AS without_block, count(*) FILTER (s.seg_key IS NOT NULL AND b.block_key IS NOT NULL AND s.type <> b.type) AS other_type
+FROM (SELECT DISTINCT seg_key, run_id, id, type FROM text_segment WHERE run_id IN (SELECT id FROM review_job)) s FULL JOIN (SELECT DISTINCT block_key, job_id, id, type FROM review_block) b ON s.run_id = b.job_id AND s.id = b.id""")
+def ordered_merge_check(spark, folder):
+    """Segments against stored blocks, one to one both ways."""
+    jobs = table(spark, folder, "review_job").select(F.col("id").alias("run_id")).distinct()
+    segments = table(spark, folder, "text_segment").select("seg_key", "run_id", "id", "type").dropDuplicates(["seg_key"]).join(jobs, "run_id", "left_semi")
+    blocks = table(spark, folder, "review_block").select("block_key", F.col("job_id").alias("run_id"), "id", F.col("type").alias("b_type")).dropDuplicates(["block_key"])
+    both = segments.join(blocks, ["run_id", "id"], "full_outer")
+    return both.agg(
+        F.count_if(F.col("seg_key").isNull()).alias("without_segment"), F.count_if(F.col("block_key").isNull()).alias("without_block"),
+        F.count_if(F.col("seg_key").isNotNull() & F.col("block_key").isNotNull() & (F.col("type") != F.col("b_type"))).alias("other_type"),
+    )
+
+
+def _issues(spark, folder):
+    return table(spark, folder, "translation_issue").drop("loaded_at").dropDuplicates(["issue_key"])
+
+
+@query("""SELECT action, diagnostics.stage AS stage, count(*) AS issues, count(diagnostics.attempted_translation) AS attempts, count(DISTINCT run_id) AS runs
+FROM (SELECT issue_key, any_value(action) AS action, any_value(run_id) AS run_id, any_value(diagnostics) AS diagnostics FROM translation_issue GROUP BY issue_key) GROUP BY ROLLUP (action, diagnostics.stage)""")
+def issue_summary(spark, folder):
+    rows = _issues(spark, folder).select("run_id", "action", F.col("diagnostics.stage").alias("stage"), F.col("diagnostics.attempted_translation").alias("attempt"))
+    return rows.rollup("action", "stage").agg(F.count(F.lit(1)).alias("issues"), F.count("attempt").alias("attempts"), F.count_distinct("run_id").alias("runs"))
+
+
+@query("""SELECT run_id, count(*) AS issues, count(*) FILTER (starts_with(action, 'formatting_')) AS formatting, count(*) FILTER (action = 'skipped_content') AS skipped, 3 AS exit_code
+FROM (SELECT DISTINCT issue_key, run_id, action FROM translation_issue) GROUP BY run_id""")
+def issue_totals(spark, folder):
+    return issues.totals(_issues(spark, folder), "run_id")
+
+
+@query("""SELECT issue_key, error FROM (SELECT issue_key, unnest([CASE WHEN action NOT IN ('retained_original','skipped_content','formatting_dropped','formatting_split','formatting_expanded','formatting_repaired') THEN 'unknown_action' END,
+CASE WHEN paragraph_number IS NOT NULL AND segment_type <> 'paragraph' THEN 'paragraph_number' END, CASE WHEN page IS NOT NULL THEN 'page' END]) AS error
+FROM (SELECT DISTINCT issue_key, action, paragraph_number, segment_type, page FROM translation_issue)) WHERE error IS NOT NULL""")
+def issue_errors(spark, folder):
+    return issues.issue_errors(_issues(spark, folder))
+
+
+@query("""SELECT error_kind, count(*) AS times FROM (SELECT regexp_replace(unnest(e), ':.*$', '', 's') AS error_kind FROM
+(SELECT issue_key, any_value(diagnostics.validation_errors) AS e FROM translation_issue GROUP BY issue_key)) GROUP BY error_kind""")
+def validation_error_counts(spark, folder):
+    kinds = _issues(spark, folder).select(F.explode("diagnostics.validation_errors").alias("e")).select(F.regexp_replace("e", r"(?s):.*$", "").alias("error_kind"))
+    return kinds.groupBy("error_kind").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("""SELECT i.issue_key, s.lang, s.document_format, i.original = s.text AS same FROM (SELECT DISTINCT issue_key, run_id, segment_id, original FROM translation_issue) i
+JOIN (SELECT DISTINCT run_id, id, lang, document_format, text FROM text_segment) s ON i.run_id = s.run_id AND i.segment_id = s.id""")
+def issue_context(spark, folder):
+    """Issues with their segments; the larger side is not deduplicated by its text, only by its key."""
+    found = _issues(spark, folder).select("issue_key", "run_id", F.col("segment_id").alias("id"), "original")
+    segments = table(spark, folder, "text_segment").select("run_id", "id", "lang", "document_format", "text").dropDuplicates(["run_id", "id"])
+    return found.join(segments, ["run_id", "id"]).select("issue_key", "lang", "document_format", (F.col("original") == F.col("text")).alias("same"))
+
+
+@query("""SELECT document_format, median(length(text)) AS median_chars, quantile_disc(length(text), 0.9) AS p90_chars, max(length(text)) AS most_chars FROM
+(SELECT DISTINCT seg_key, document_format, text FROM text_segment) GROUP BY document_format""")
+def length_percentiles(spark, folder):
+    size = F.length("text")
+    return _segments(spark, folder, "document_format", "text").groupBy("document_format").agg(
+        F.percentile(size, 0.5).alias("median_chars"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY length(text))").cast("int").alias("p90_chars"), F.max(size).alias("most_chars")
+    )
+
+
+@query("SELECT item_id, upper(substr(sha256(source || chr(10) || reference), 1, 16)) AS fingerprint, len(criteria) AS criteria, format IN ('txt', 'markdown', 'html') AS known_format FROM eval_item")
+def suite_fingerprints(spark, folder):
+    items = table(spark, folder, "eval_item")
+    hashed = F.upper(F.substring(F.sha2(F.concat_ws("\n", "source", "reference"), 256), 1, 16))
+    return items.select("item_id", hashed.alias("fingerprint"), F.size("criteria").alias("criteria"), F.col("format").isin("txt", "markdown", "html").alias("known_format"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, their sentences and matched terms, and how much of them the pipeline translates, by language and format."""
     segments = _segments(spark, folder, "lang", "document_format", "text", "protected_spans")
