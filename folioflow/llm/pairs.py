@@ -77,7 +77,7 @@ END = re.compile(r"[.!?…:;。！？][\"'”“’‘»)\]*_~`]*\s*$")
 CUT = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|,|-|–)\s*$")
 VOWEL = re.compile(r"[aeiouyäöüéèêàáíóúœøåæаеёиоуыэюя]", re.I)
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-OTHER = re.compile(r"[Ͱ-῿⺀-퟿]")
+OTHER = re.compile(r"[Ͱ-῿⺀-\ud7ff]")
 
 
 def _by_word() -> dict[str, list[tuple[str, float]]]:
@@ -151,7 +151,7 @@ def is_copy(original: str, proposal: str) -> bool:
 
 def defect(original: str | None, proposal: str | None, target: str | None, expected: float, retained: bool) -> str | None:
     """The defect of a pair, or None. ``expected`` is the usual length of a proposal to a letter of the original."""
-    original, proposal = original or "", (proposal or "").replace("﻿", "").replace("​", "").strip()
+    original, proposal = original or "", (proposal or "").replace("\ufeff", "").replace("\u200b", "").strip()
     if not proposal:
         return "empty"
     bare = TAGS.sub(" ", proposal)

@@ -29,7 +29,7 @@ DIGITS = re.compile(r"[\d.,:/%-]*\d[\d.,:/%-]*$")
 DASHES = "—–-,;:،؛、，：；…/&"
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
-BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*| \s*")
+BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\u2029\s*")
 MARKS = ".!?…。！？｡؟।॥۔։።‼⁇⁈⁉"
 _IN = "{0,1500}?"  # a quotation or bracket longer than this is not taken as one
 EVENT = re.compile(
