@@ -16,6 +16,8 @@ def flat_map(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], lis
     Nothing passes from row to row, so a lost task is simply run again. Only the columns that the function needs should be in ``df``.
     """
     struct = _parse_datatype_string(schema)
+    if len(set(struct.names)) < len(struct.names):
+        raise ValueError(f"columns with one name: {struct.names}")
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

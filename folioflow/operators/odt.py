@@ -401,8 +401,8 @@ SPAN = "array<struct<start_pos:int,end_pos:int>>"
 
 
 def odt_blocks(packages: DataFrame, key: str, content: str) -> DataFrame:
-    """``(key, part, block_no, id, type, reason, text, protected_spans, error)`` of packages; a bad one gives a single row with its error."""
-    schema = f"{key} {packages.schema[key].dataType.simpleString()}, part string, block_no int, id string, type string, reason string, text string, protected_spans {SPAN}, error string"
+    """``(key, part, block_no, segment_id, type, reason, text, protected_spans, error)`` of packages; a bad one gives a single row with its error."""
+    schema = f"{key} {packages.schema[key].dataType.simpleString()}, part string, block_no int, segment_id string, type string, reason string, text string, protected_spans {SPAN}, error string"
 
     def make():
         def work(row: dict) -> list[tuple]:
@@ -413,7 +413,7 @@ def odt_blocks(packages: DataFrame, key: str, content: str) -> DataFrame:
                         out.append((row[key], part, len(out) + 1, b.id, b.type, b.reason, b.text, [{"start_pos": s, "end_pos": e} for s, e in b.spans], None))
                 return out
             except OdtError as e:
-                return [(row[key], None, None, None, None, None, None, None, str(e))]
+                return [(row[key], None, None, None, None, None, None, [], str(e))]
 
         return work
 
@@ -423,7 +423,7 @@ def odt_blocks(packages: DataFrame, key: str, content: str) -> DataFrame:
 def skipped_issues(found: DataFrame, key: str) -> DataFrame:
     """Issue rows for blocks with text that cannot be edited."""
     lost = found.where(F.col("reason").isin(*UNSUPPORTED) & F.col("text").rlike(r"(?U)\S"))
-    return lost.select(key, F.col("id").alias("segment_id"), F.col("type").alias("segment_type"), F.lit("skipped_content").alias("action"), "reason", F.col("text").alias("original"), F.lit("odt_inventory").alias("stage"))
+    return lost.select(key, "segment_id", F.col("type").alias("segment_type"), F.lit("skipped_content").alias("action"), "reason", F.col("text").alias("original"), F.lit("odt_inventory").alias("stage"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import textwrap
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.arrow import flat_map
 from folioflow.functions.text import LINE, SPACE, count_words, is_blank, joined, rstrip
 
 ITEM = rf"(?s)^([ \t]*([-*•]|[0-9]+[.)])[ \t]+)[^{SPACE}].*$"
@@ -84,9 +85,19 @@ def reflowed(source: str, target: str, prefix: str = "") -> str:
     return end.join(wrapped) + target[len(target.rstrip("\r\n")) :]
 
 
-@F.udf("string")
-def reflow(source: str | None, target: str | None, prefix: str | None) -> str | None:
-    return target if source is None or target is None else reflowed(source, target, prefix or "")
+def reflow(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, translated)`` of ``(keys, text, translated, prefix)``, each translation wrapped like its source. Nulls stay null."""
+    fields = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), "translated string"])
+
+    def make():
+        def work(row: dict) -> list[tuple]:
+            both = row["text"] is not None and row["translated"] is not None
+            return [(*(row[k] for k in keys), reflowed(row["text"], row["translated"], row["prefix"] or "") if both else row["translated"])]
+
+        return work
+
+    return flat_map(blocks.select(*keys, "text", "translated", "prefix"), schema, make)
 
 
 def paragraph_numbers(segments: DataFrame, key: str, order: str, kind: str = "type") -> DataFrame:

@@ -80,10 +80,9 @@ def translate_segments(
     bad = F.when(F.size("markers") > 0, markers.marker_errors(F.col("raw"), F.col("prefix"), tokens)).otherwise(F.array().cast("array<string>"))
     checked = done.withColumn("bad", bad)
     failed = F.size("bad") > 0
-    if mode == "failfast":
-        checked = checked.withColumn("raw", F.when(failed, F.raise_error(F.concat(F.lit("translation failed: "), F.array_join("bad", "; ")))).otherwise(F.col("raw")))
+    instead = F.raise_error(F.concat(F.lit("translation failed: "), F.array_join("bad", "; "))).cast("string") if mode == "failfast" else F.col("text")
     result = checked.select(
-        *keys, "text", F.when(failed, F.col("text")).otherwise(markers.restored(F.col("raw"), F.col("markers"))).alias("translated"),
+        *keys, "text", F.when(failed, instead).otherwise(markers.restored(F.col("raw"), F.col("markers"))).alias("translated"),
         F.when(failed | (F.size("reasons") > 0), RETAINED).alias("action"), F.concat("bad", "reasons").alias("errors"),
     )
     return result.unionByName(passed)

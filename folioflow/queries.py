@@ -96,6 +96,15 @@ def review_inventory(spark, folder):
     )
 
 
+@query()
+def txt_reflow(spark, folder):
+    """Proposals of plain text wrapped to the width of their sources, by jobs and blocks."""
+    jobs = table(spark, folder, "review_job").where("document_format = 'txt'").select(F.col("id").alias("job_id")).distinct()
+    blocks = table(spark, folder, "review_block").select("job_id", "id", "original", "proposal").dropDuplicates(["job_id", "id"]).join(jobs, "job_id", "left_semi")
+    one_line = F.regexp_replace(F.col("proposal"), r"[\r\n]+", " ")
+    return text_blocks.reflow(blocks.select("job_id", "id", F.col("original").alias("text"), one_line.alias("translated"), F.lit("").alias("prefix")), ["job_id", "id"])
+
+
 def _segments(spark, folder, *columns):
     return table(spark, folder, "text_segment").select("seg_key", *columns).dropDuplicates(["seg_key"])
 
