@@ -54,7 +54,7 @@ CONSTRUCT = re.compile(
      |(?P<wikihead>[ \t]*(?P<w>={{2,6}})[ \t]*(?P<wheaded>[^=\n][^\n]*?)[ \t]*={{1,6}}[ \t]*$|[ \t]*=[ \t]+(?P<wheaded1>[^=\n]+?)[ \t]+=[ \t]*$)
      |(?P<setext>[ ]{{0,3}}(?P<sheaded>\S[^\n]*)\n[ ]{{0,3}}(?:={{3,}}|-{{3,}})[ \t]*$)
      |(?P<atx>[ ]{{0,3}}\#{{1,6}}[ \t]+(?P<aheaded>[^\n]*?)[ \t]*\#*[ \t]*$)
-     |(?P<wikilist>[ \t]*(?:[*\#:;]{{2,}})[ \t]*(?=[^\W_*\#]|['\[{{<]))
+     |(?P<wikilist>[ \t]*(?:[*\#:;]{{2,}})[ \t]+(?=\S))
      |(?P<table>[ \t]*(?:\{{\|[^\n]*|\|\}}[ \t]*$|\|-[^\n]*$))
      |(?P<mdtable>[ \t]*\|?[ \t]*:?-{{3,}}:?[ \t]*(?:\|[ \t]*:?-{{3,}}:?[ \t]*)+\|?[ \t]*$)
      |(?P<rule>[ ]{{0,3}}(?:(?:-[ ]?){{3,}}|(?:\*[ ]?){{3,}}|(?:_[ ]?){{3,}})[ \t]*$)
