@@ -29,7 +29,7 @@ DENSITY = 8.0  # ends of sentences outside spam matter in 1,000 characters of a
 SHARE = 0.5  # of the characters in cells
 
 SENTENCE_END = re.compile(r"[^\W\d_]{2,}[.!?]+[\"'”’»)]*(?=\s|$)")
-GAP = re.compile(r"\s{3,}|\n")
+GAP = re.compile(r"\s{3,}")
 LINK = re.compile(r"https?:?/|www\.|\[\w+\]|>>|\w{3,}(?:[-.]\w+)*\.[^\W\d]{3,}(?=[/\s)]|$)", re.I)
 TAG = re.compile(r"(?:^|\s)#\w{3,}")
 ARTICLE_NO = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+){0,3} \d{1,4}-\d{2,5}(?=\s|$)")
@@ -65,32 +65,38 @@ class Compressors:
             k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in texts.items()
         }
 
-    def blocks(self, text: str, lang: str | None) -> tuple[float, float]:
-        """(share of the blocks that gain little from any language, highest ratio of a block alone)"""
+    def blocks(self, text: str, lang: str | None) -> tuple[list[bool], float]:
+        """(for each block, whether it gains little from any language; highest ratio of a block alone)"""
         order = sorted(self.by, key=lambda k: k != lang)
-        count, poor, most = 0, 0, 0.0
-        cuts = range(0, max(len(text) - BLOCK // 2, 1), BLOCK)
-        for i in cuts:
+        poor, most = [], 0.0
+        for i in range(0, max(len(text) - BLOCK // 2, 1), BLOCK):
             data = text[i : i + BLOCK if i + BLOCK * 3 // 2 < len(text) else len(text)].encode("utf-8", "surrogatepass")
             alone = len(self.alone.compress(data))
             most = max(most, len(data) / alone)
-            count += 1
-            poor += all(len(self.by[k].compress(data)) >= FLAG * alone for k in order)
-        return poor / count, most
+            poor.append(all(len(self.by[k].compress(data)) >= FLAG * alone for k in order))
+        return poor, most
 
 
-def matter(text: str) -> tuple[float, float]:
-    """The share of the characters that stands in links, tags, menus and repeated keywords; the ends of sentences elsewhere in 1,000 characters."""
-    cells = [c.strip() for c in GAP.split(text)]
-    cells = [c for c in cells if c]
+def matter(text: str, poor: list[bool] | None = None) -> tuple[float, float]:
+    """The share of the characters that stands in links, tags, menus and repeated keywords; the ends of sentences elsewhere in 1,000 characters.
+
+    Where ``poor`` says that a block is running text, repeated words in it are no keywords.
+    """
+    cells, running, at = [], [], 0
+    for line in text.split("\n"):
+        block = min(at // BLOCK, len(poor) - 1) if poor else 0
+        parts = [c.strip() for c in GAP.split(line) if c.strip()]
+        cells += parts
+        running += [bool(poor) and not poor[block]] * len(parts)
+        at += len(line) + 1
     words = [[w.lower() for w in WORD.findall(c)] for c in cells]
     counts = Counter(w.lower() for c in cells for w in KEYWORD.findall(c))
     spam, total, ends, before = 0, 0, 0, False
-    for cell, ws in zip(cells, words):
+    for cell, ws, prose in zip(cells, words, running):
         total += len(cell)
         if LINK.search(cell) or TAG.search(cell) or ARTICLE_NO.search(cell) or SIZES.search(cell) or MENU.search(cell):
             kind = True
-        elif INFORMS.search(cell):
+        elif prose or INFORMS.search(cell):
             kind = False
         elif any(ch.isdigit() for ch in cell):
             kind = before and len(cell) < 12
@@ -113,10 +119,11 @@ def spam_page(text: str | None, lang: str | None, compressors: Compressors) -> t
     """
     if not text or not text.strip():
         return 0.0, 0.0, 0.0, False
-    poor, most = compressors.blocks(text, lang)
+    blocks, most = compressors.blocks(text, lang)
+    poor = sum(blocks) / len(blocks)
     if poor < 0.5 and most < REDUNDANT:
         return poor, 0.0, 0.0, False
-    share, density = matter(text)
+    share, density = matter(text, blocks)
     return poor, density, share, share >= SHARE and density < DENSITY
 
 
