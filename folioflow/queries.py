@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
 from folioflow.functions import backends
 from folioflow.functions.arrow import flat_map
-from folioflow.operators import alignment, chunking, glossary, html_text, intervals, issues, markdown, markers, odt, review, text_blocks
-from folioflow.plans import translate
+from folioflow.operators import alignment, chunking, glossary, html_text, intervals, issues, markdown, markers, model_input, odt, review, text_blocks
+from folioflow.plans import aligned, translate
 from folioflow.sources.tables import latest, read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,6 +386,21 @@ def projected_expected(spark, folder):
     return alignment.project_pairs(_pairs(spark, folder), aligner="expected")
 
 
+@query()
+def translated_aligned(spark, folder):
+    """Markdown segments through the aligned path with the upper-case double: formatting follows its words."""
+    marked = _segments(spark, folder, "document_format", "text").where("document_format = 'md'")
+    done = aligned.translate_aligned(marked, "seg_key", backends.upper)
+    return done.select("seg_key", "translated", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("SELECT DISTINCT seg_key, text AS original FROM text_segment WHERE length(text) > 0")
+def model_chunk_originals(spark, folder):
+    """Segments masked and cut to 200 characters: the sources that the chunks stand for join to each text again."""
+    found = model_input.model_chunks(_protected(spark, folder).where("length(text) > 0"), "seg_key", 200)
+    return found.groupBy("seg_key").agg(joined(F.col("original"), F.col("chunk_no")).alias("original"))
+
+
 # ---- HTML, Markdown and OpenDocument ----------------------------------------------------------------------------------
 
 
