@@ -43,7 +43,6 @@ def test_protected_literals_stay():
 
 def test_clean_text_keeps_structure():
     text = "<h2>Head</h2>\n<p>One <b>two</b> &amp; [three](http://x).</p>\n* a\n* b\n```py\nx = 1\n```\nSum $x_1$ and `code`<!-- gone -->"
-    assert clean_text(Parse(text).nodes) == "# Head\n\nOne two & three.\n\n- a\n- b\n```\nx = 1\n```\n\nSum $x_1$ and `code`" or True
     clean = clean_text(Parse(text).nodes)
     for part in ("# Head", "One two & three.", "- a\n- b", "```\nx = 1\n```", "$x_1$", "`code`"):
         assert part in clean
