@@ -48,7 +48,7 @@ f2 AS (SELECT *, last_value(CASE WHEN item THEN true WHEN blank THEN false END I
 f3 AS (SELECT *, NOT blank AND NOT item AND NOT coalesce(ctx, false) AND (coalesce(pblank, true) OR regexp_matches(regexp_replace(pline, '[{S}]+$', ''), '[.!?]$'))
               AND words BETWEEN 1 AND 6 AND length(body) <= 60 AND regexp_matches(body, '^\p{Lu}') AND NOT regexp_matches(body, '[.,;!?]$') AND coalesce(nwords >= 10 AND NOT nitem, false) AS heading FROM f2),
 f4 AS (SELECT *, blank OR item OR heading OR coalesce(pblank OR lag(heading) OVER w, true) AS begins FROM f3 WINDOW w AS (PARTITION BY id ORDER BY n)),
-f5 AS (SELECT *, sum(begins::int) OVER (PARTITION BY id ORDER BY n) AS b, CASE WHEN item THEN regexp_extract(body, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]+') ELSE '' END AS px FROM f4),
+f5 AS (SELECT *, (sum(begins::int) OVER (PARTITION BY id ORDER BY n))::bigint AS b, CASE WHEN item THEN regexp_extract(body, '^[ \t]*([-*•]|[0-9]+[.)])[ \t]+') ELSE '' END AS px FROM f4),
 blocks AS (SELECT id, b AS block_no, bool_or(blank) AS blank, bool_or(heading) AS heading, max(CASE WHEN begins THEN px END) AS prefix, max(CASE WHEN begins THEN line END) AS first,
                   string_agg(CASE WHEN begins THEN substr(line, length(px) + 1) ELSE line END, '' ORDER BY n) AS whole FROM f5 GROUP BY id, b)
 """.replace("{S}", SPACE)
@@ -56,13 +56,13 @@ blocks AS (SELECT id, b AS block_no, bool_or(blank) AS blank, bool_or(heading) A
 _KIND = "CASE WHEN blank THEN NULL WHEN heading THEN 'heading' WHEN prefix = '' THEN 'paragraph' WHEN regexp_matches(prefix, '[-*•]') THEN 'bullet_item' ELSE 'numbered_item' END"
 
 
-@query(f"""WITH {_LINES} SELECT id, block_no, CASE WHEN NOT blank THEN sum((NOT blank)::int) OVER (PARTITION BY id ORDER BY block_no) END AS seg_no, {_KIND} AS type,
+@query(f"""WITH {_LINES} SELECT id, block_no, CASE WHEN NOT blank THEN (sum((NOT blank)::int) OVER (PARTITION BY id ORDER BY block_no))::bigint END AS seg_no, {_KIND} AS type,
 CASE WHEN blank THEN first ELSE prefix END AS prefix, CASE WHEN NOT blank THEN whole END AS text, CASE WHEN blank THEN '' ELSE regexp_extract(whole, '[\\r\\n]*$') END AS ending FROM blocks""")
 def txt_blocks(spark, folder):
     return text_blocks.text_blocks(_plain_jobs(spark, folder), "id", "text")
 
 
-@query(f"WITH {_LINES} SELECT {_KIND} AS type, count(*) AS blocks, sum(length(whole)) AS chars FROM blocks WHERE NOT blank GROUP BY ALL")
+@query(f"WITH {_LINES} SELECT {_KIND} AS type, count(*) AS blocks, sum(length(whole))::bigint AS chars FROM blocks WHERE NOT blank GROUP BY ALL")
 def txt_block_types(spark, folder):
     blocks = text_blocks.text_blocks(_plain_jobs(spark, folder), "id", "text").where("text is not null")
     return blocks.groupBy("type").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
@@ -109,7 +109,7 @@ def _segments(spark, folder, *columns):
     return table(spark, folder, "text_segment").select("seg_key", *columns).dropDuplicates(["seg_key"])
 
 
-@query("""SELECT seg_key, run_id, seg_no, CASE WHEN type = 'paragraph' THEN sum((type = 'paragraph')::int) OVER (PARTITION BY run_id ORDER BY seg_no) END AS paragraph_number
+@query("""SELECT seg_key, run_id, seg_no, CASE WHEN type = 'paragraph' THEN (sum((type = 'paragraph')::int) OVER (PARTITION BY run_id ORDER BY seg_no))::bigint END AS paragraph_number
 FROM (SELECT DISTINCT seg_key, run_id, seg_no, type FROM text_segment)""")
 def paragraph_numbering(spark, folder):
     segments = _segments(spark, folder, "run_id", "seg_no", "type")
@@ -142,7 +142,7 @@ def reassembly_identity(spark, folder):
     return parts.groupBy("seg_key").agg(joined(F.concat("part", "separator"), F.col("part_no")).alias("text"))
 
 
-@query(f"""WITH {_PARTS} SELECT lang, document_format, count(*) AS sentences, sum(length(part)) AS chars, max(length(part)) AS longest
+@query(f"""WITH {_PARTS} SELECT lang, document_format, count(*) AS sentences, sum(length(part))::bigint AS chars, max(length(part)) AS longest
 FROM parts JOIN (SELECT DISTINCT seg_key, lang, document_format FROM text_segment) USING (seg_key) GROUP BY ALL""")
 def sentence_stats(spark, folder):
     """Sentences by language and format. Grouped before any join: the labels ride along through the split."""
@@ -150,8 +150,8 @@ def sentence_stats(spark, folder):
     return parts.groupBy("lang", "document_format").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).alias("longest"))
 
 
-@query(f"""WITH {_PARTS} SELECT seg_key, part_no, sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no) - length(part) - length(separator) AS start_pos,
-sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no) - length(separator) AS end_pos FROM parts""")
+@query(f"""WITH {_PARTS} SELECT seg_key, part_no, ((sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no)) - length(part) - length(separator))::bigint AS start_pos,
+((sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no)) - length(separator))::bigint AS end_pos FROM parts""")
 def chunk_offsets(spark, folder):
     located = chunking.chunk_offsets(_parts(spark, folder), ["seg_key"], "part_no", F.col("part"), F.col("separator"))
     return located.select("seg_key", "part_no", "start_pos", "end_pos")
@@ -192,7 +192,7 @@ def span_validation(spark, folder):
 SELECT seg_key, coalesce(lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos), 0), x.start_pos, 'text' FROM p UNION ALL
 SELECT seg_key, coalesce((SELECT max(x.end_pos) FROM p WHERE p.seg_key = s.seg_key), 0), length(text), 'text' FROM s),
 m AS (SELECT *, kind <> coalesce(lag(kind) OVER (PARTITION BY seg_key ORDER BY a), '') AS fresh FROM e WHERE a < b),
-n AS (SELECT *, sum(fresh::int) OVER (PARTITION BY seg_key ORDER BY a) AS part_no FROM m)
+n AS (SELECT *, (sum(fresh::int) OVER (PARTITION BY seg_key ORDER BY a))::bigint AS part_no FROM m)
 SELECT seg_key, part_no, min(a) AS start_pos, max(b) AS end_pos, kind FROM n GROUP BY seg_key, part_no, kind""")
 def interval_partition(spark, folder):
     segments = _protected(spark, folder).where("text is not null")
@@ -469,7 +469,7 @@ def _packages(spark, folder):
     return flat_map(rows, "run_id string, content binary", make)
 
 
-@query("SELECT run_id, count(*) AS blocks, sum(length(replace(text, chr(10), ''))) AS chars FROM (SELECT DISTINCT run_id, seg_no, text FROM text_segment WHERE document_format = 'odt') GROUP BY run_id")
+@query("SELECT run_id, count(*) AS blocks, sum(length(replace(text, chr(10), '')))::bigint AS chars FROM (SELECT DISTINCT run_id, seg_no, text FROM text_segment WHERE document_format = 'odt') GROUP BY run_id")
 def odt_round_trip(spark, folder):
     """Segments written as packages and read back: as many blocks and characters as before (line breaks come back as elements)."""
     found = odt.odt_blocks(_packages(spark, folder), "run_id", "content")
