@@ -25,7 +25,7 @@ SAMPLE = 64  # pages of each language in its dictionary: the documented bound of
 DICTIONARY_BYTES = 60_000
 FLAG = 0.68  # size with the dictionary to size without; running text lies near 0.5
 REDUNDANT = 4.0  # ratio from which a block alone is extremely redundant
-DENSITY = 8.0  # ends of sentences outside spam matter in 1,000 characters of a page; running text has 11 in the mean
+DENSITY = 12.0  # ends of sentences outside spam matter in 1,000 characters of a page; lists of names and small ads have 18 and more
 SHARE = 0.5  # of the characters in cells
 
 SENTENCE_END = re.compile(r"[^\W\d_]{2,}[.!?]+[\"'”’»)]*(?=\s|$)")
@@ -37,7 +37,7 @@ SIZES = re.compile(r"^(?:(?:XS|S|M|L|XL|XXL|\d{2}|size|tags:|[^\W\d_]{3,}/[^\W\d
 MENU = re.compile(r"^\|?\s*[^\W\d_]+(?:\s*\|\s*[^\W\d_]*)+$")
 INFORMS = re.compile(r"\d\s*:\s*\d|\d+\s?[sdfp]\.|(?:\.\s){3,}|(?:^|\s)\.[\s\d.]*$|\d{1,2}[.:]\d\d|[£$€]|\d\s?(?:Pf|Mk|Kr|fr)\b")
 WORD = re.compile(r"[^\W\d_]+")
-KEYWORD = re.compile(r"[^\W\d_]{3,}(?!\w)(?!\.\s)")  # not an abbreviated title
+KEYWORD = re.compile(r"[^\W\d_]{3,}(?![\w.])")  # neither the end of a sentence nor an abbreviated title
 
 
 def dictionaries(documents: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
@@ -105,7 +105,7 @@ def matter(text: str, poor: list[bool] | None = None) -> tuple[float, float]:
         else:
             again = sum(counts[w] >= 3 for w in ws if len(w) > 2)
             long = sum(len(w) > 2 for w in ws)
-            kind = cell.endswith(" -") or bool(long) and again >= 0.6 * long
+            kind = cell.endswith(" -") or bool(long) and again >= (0.5 if before else 0.58) * long
         spam += len(cell) * kind
         ends += 0 if kind else len(SENTENCE_END.findall(cell))
         before = kind
