@@ -89,7 +89,7 @@ CONSTRUCT = re.compile(
      |(?P<link>\[(?P<li>[^\[\]\n]*)\](?:\((?:[^()\n]|\([^()\n]*\))*(?:\)|$)|\[[^\[\]\n]*\]))
      |(?P<foot>\[\^[^\[\]\s]+\])
      |(?P<quotes>'{{3}}''(?P<q5>[^\n]{{1,2000}}?)'{{2,5}}|'''(?P<q3>[^\n]{{1,2000}}?)'{{2,3}}(?!')|(?<!')''(?!')(?P<q2>[^\n]{{1,2000}}?)''(?!'))
-     |(?P<magic>__[A-Z]{{3,}}__)
+     |(?P<magic>__(?-i:[A-Z]{{3,}})__)
      |(?P<strong>\*\*(?=[^\s*])(?P<b1>[^\n]{{0,2000}}?[^\s])\*\*|(?<!\w)__(?=[^\s_])(?P<b2>[^\n]{{0,2000}}?[^\s])__(?!\w))
      |(?P<strike>~~(?=[^\s~])(?P<s1>[^\n]{{0,2000}}?[^\s])~~)
      |(?P<em>(?<![\w*\\])\*(?=[^\s*])(?P<e1>[^*\n]*?[^\s*])\*(?![\w*])|(?<!\w)_(?=[^\s_])(?P<e2>[^_\n]*?[^\s_])_(?!\w))
@@ -98,6 +98,7 @@ CONSTRUCT = re.compile(
     """,
     re.X | re.M | re.S | re.I,
 )
+PROSE = re.compile(r"`|(?<!\\)\b[^\W\d_]{2,}[.,;:!?]?\s+[^\W\d_]{3,}")
 MATHS = re.compile(r"[\\^_=+<>{}/|]|^\s*[A-Za-z]\s*$|\d\s*[A-Za-z]")
 PUNCTUATION = re.compile(r"[.,;:!?…。！？،؛]")
 SPECIAL = re.compile(r"[<&\\$`=#*\[{'_~|>]|^\s*[-+]\s|^\s*\d+[.)]\s|-{3}", re.M)
@@ -199,7 +200,7 @@ class Parse:
             self._leaf("block" if group == "verbatim" else "code", (*around, f"latex:{group}"), g("verbed") if group == "verbatim" else g("verbs"))
         elif group in ("equation", "display", "dollars", "dollar"):
             inside = next(x for x in (g("equated"), g("displayed"), g("displayed2"), g("dollared"), g("dollared1")) if x is not None)
-            if group == "dollar" and not MATHS.search(inside):
+            if group == "dollar" and (PROSE.search(inside) or not MATHS.search(inside)):
                 return False
             if group == "display" and m[0][1] == "(" and not m[0].endswith("\\)") or not inside.strip():
                 return False

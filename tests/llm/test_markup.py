@@ -19,6 +19,7 @@ def found(text, literals=None):
         ("== Head ==", ["wiki/heading"]), ("** a\n*# b", ["wiki/list"]), ("'''a''' ''b''", ["wiki/inline"]), ("[[A|b]] {{C|d}} [http://x e]", ["wiki/inline"]), ("[[File:a_b.jpg|thumb|c]] [[Category:X]]", ["wiki/inline"]),
         ("\\section{A}", ["latex/heading"]), ("\\subsection*{A}", ["latex/heading"]), ("\\begin{itemize}\n\\item a\n\\end{itemize}", ["latex/list"]), ("\\begin{verbatim}\n<b>\n\\end{verbatim}", ["latex/code"]), ("\\verb|if x > 3: $y$|", ["latex/code"]),
         ("\\begin{equation}\nx_1 = 2\n\\end{equation}", ["latex/formula"]), ("$x_1 + y^2$", ["latex/formula"]), ("$$E = m$$", ["latex/formula"]), ("\\[ x \\] \\( y \\)", ["latex/formula"]), ("\\textbf{a} \\emph{b}~\\cite{c_d}", ["latex/inline"]),
+        ("__Signalkabel__ x", ["markdown/inline"]), ("__NOTOC__ x", ["wiki/inline"]), ("It costs $5 to more. Use `${x}` now.", ["markdown/code"]),
         ("**<i>x</i>**", ["html/inline", "markdown/inline"]),
     ],
 )
