@@ -143,10 +143,8 @@ class Parse:
         return {n[:2] for n in self.notes}
 
     def _scan(self, text: str, around: tuple) -> None:
-        at = 0
-        for m in CONSTRUCT.finditer(text):
-            if m.start() < at:
-                continue
+        at = look = 0
+        while m := CONSTRUCT.search(text, look):
             group = next(k for k in GROUPS if m[k] is not None) if m.lastgroup not in GROUPS else m.lastgroup
             before, noted = len(self.nodes), len(self.notes)
             plain = text[at : m.start()]
@@ -154,11 +152,12 @@ class Parse:
                 self._leaf("text", around, plain)
             left = len(self.nodes)
             if self._one(group, m, around):
-                at = m.end()
+                at = look = max(m.end(), m.start() + 1)
                 path = self.nodes[left][1] if len(self.nodes) > left else ""
                 self.notes[noted] = (*self.notes[noted][:2], path)
             else:
                 del self.nodes[before:], self.notes[noted:]
+                look = m.start() + 1
         if text[at:]:
             self._leaf("text", around, text[at:])
 
