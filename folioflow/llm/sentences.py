@@ -119,7 +119,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
         return work
 
-    found = map_batches(texts.select("lang", "text"), "lang string, kind string, a string, b string, n long", make)
+    found = map_batches(texts.select("lang", "text"), "lang string, kind string, a string, b string, n long", make, rows=20_000)  # few counts a text
     return found.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
