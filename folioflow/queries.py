@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
 from folioflow.functions import backends
 from folioflow.functions.arrow import flat_map
-from folioflow.operators import alignment, chunking, glossary, html_text, intervals, issues, markdown, markers, model_input, odt, review, text_blocks
-from folioflow.plans import aligned, translate
+from folioflow.operators import alignment, chunking, evaluation, glossary, html_text, intervals, issues, markdown, markers, model_input, odt, review, text_blocks
+from folioflow.plans import aligned, finalize, translate
 from folioflow.sources.tables import latest, read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +557,34 @@ def ordered_merge_check(spark, folder):
     )
 
 
+@query(f"""WITH {_LINES}, n AS (SELECT *, CASE WHEN NOT blank THEN row_number() OVER (PARTITION BY id, blank ORDER BY block_no) END AS seg_no FROM blocks),
+r AS (SELECT DISTINCT job_id, id, proposal FROM review_block)
+SELECT n.id, string_agg(CASE WHEN n.blank THEN first ELSE prefix || regexp_replace(coalesce(r.proposal, whole), '[\\r\\n]+$', '') || regexp_extract(whole, '[\\r\\n]*$') END, '' ORDER BY n.block_no) AS document,
+count(*) FILTER (NOT n.blank AND r.proposal IS NULL) AS missing FROM n LEFT JOIN r ON n.id = r.job_id AND n.seg_no::varchar = r.id GROUP BY n.id""")
+def txt_finalized(spark, folder):
+    """Plain text jobs with all proposals accepted."""
+    chosen = _blocks(spark, folder).select("job_id", "id", F.col("proposal").alias("text"))
+    return finalize.finalized_text(_plain_jobs(spark, folder).select("id", "text"), chosen).select("id", "document", "missing")
+
+
+@query(r"""WITH j AS (SELECT DISTINCT id, decode(source) AS text FROM review_job WHERE document_format = 'md'),
+b AS (SELECT job_id, source_info.start_pos AS s, source_info.end_pos AS e, CASE WHEN type = 'table_cell' THEN NULL ELSE regexp_replace(proposal, '[\r\n]+$', '') END AS chosen FROM
+     (SELECT job_id, id, any_value(type) AS type, any_value(proposal) AS proposal, any_value(source_info) AS source_info FROM review_block GROUP BY job_id, id) WHERE source_info.start_pos IS NOT NULL),
+p AS (SELECT j.id, b.s, substr(text, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || coalesce(chosen || regexp_extract(substr(text, s + 1, e - s), '[\r\n]*$'), substr(text, s + 1, e - s)) AS part
+      FROM j JOIN b ON j.id = b.job_id WINDOW w AS (PARTITION BY j.id ORDER BY s, e))
+SELECT j.id, coalesce((SELECT string_agg(part, '' ORDER BY s) FROM p WHERE p.id = j.id), '') || substr(text, coalesce((SELECT max(e) FROM b WHERE b.job_id = j.id), 0) + 1) AS document, true AS sound FROM j""".replace("\\\\", "\\"))
+def markdown_finalized(spark, folder):
+    """Markdown jobs with all proposals accepted; table cells keep their source here."""
+    blocks = table(spark, folder, "review_block").select("job_id", "id", "type", "proposal", "source_info.start_pos", "source_info.end_pos").dropDuplicates(["job_id", "id"])
+    chosen = F.when(F.col("type") == "table_cell", None).otherwise(F.col("proposal"))
+    return finalize.finalized_markdown(_marked_jobs(spark, folder), blocks.withColumn("chosen", chosen))
+
+
+@query()
+def alignment_evaluation(spark, folder):
+    return evaluation.report(evaluation.evaluate_alignment(_pairs(spark, folder), [0.25, 0.5, 1.0]))
+
+
 def _issues(spark, folder):
     return table(spark, folder, "translation_issue").drop("loaded_at").dropDuplicates(["issue_key"])
 
