@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.arrow import flat_map
 from folioflow.functions.text import SPACE, joined, newlines
 
+# The control lines of the review form.
 HEADER, ORIGINAL, TRANSLATION, CORRECTION, END = "document-review: 1", "--- Original ---", "--- Translation ---", "--- Correction ---", "=== End Block ==="
 CONTROL = rf"^(?:{re.escape(HEADER)}|--- (?:Original|Translation|Correction) ---|=== End Block ===|=== Block [A-Za-z0-9._:-]+ ===)$"
 _BLOCK = re.compile(r"=== Block ([A-Za-z0-9._:-]+) ===")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.arrow import flat_map
 from folioflow.functions.text import LINE, SPACE, count_words, is_blank, joined, rstrip
 
+#: What a list item looks like; a fixed value of the format.
 ITEM = rf"(?s)^([ \t]*([-*•]|[0-9]+[.)])[ \t]+)[^{SPACE}].*$"
 BOM = "\ufeff"
 
