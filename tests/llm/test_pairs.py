@@ -36,8 +36,8 @@ def test_wordless_originals_and_empty():
 
 
 def test_languages_and_long_texts():
-    votes = languages("the tank and the pump of the plant")
-    assert max(votes, key=votes.get) == "en" and languages("") == {}
+    votes = languages("the tank and the pump of the plant".split())
+    assert max(votes, key=votes.get) == "en" and languages([]) == {}
     long = ORIGINAL * 3_000
     assert is_copy(long, long + " more") and defect(long, GOOD * 3_000, "de", 1.05, False) is None
 
