@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,10 @@ from folioflow.operators.chunking import ENDING, GAP, split_text
 from folioflow.operators.rendering import Wrapped, render
 
 
+LEAD = re.compile(r"(?:[ \t]*(?:>[ ]?|[-+*][ \t]+|\d{1,9}[.)][ \t]+))*(?:[ \t]*#{1,6}[ \t]+)?")
+TRAIL = re.compile(r"(?:[ \t]+#+)?[ \t]*[\r\n]*$")
+
+
 def sentences(text: str) -> list[tuple[str, str]]:
     out, start = [], 0
     for m in GAP.finditer(text):
@@ -48,11 +53,35 @@ def aligned_units(prepared: mi.ModelInput, backend: Backend, limit: int, aligner
     return {"source": source, "target": target, "links": links, "unaligned": unaligned, "ambiguous": [], "units": units}
 
 
+def intervals_left(text: str, start: int, end: int, opaque: list[tuple[int, int]]) -> str:
+    """What opaque ranges leave of a stretch of text."""
+    return "".join(text[a:b] for a, b in al.subtract((start, end), sorted(opaque)))
+
+
+def aligned_body(text: str) -> tuple[str, str, str]:
+    """A segment's prefix of containers and headings, its prose, and its closing marks with the line end."""
+    lead = LEAD.match(text)[0]
+    trail = TRAIL.search(text, len(lead))[0]
+    return lead, text[len(lead) : len(text) - len(trail)], trail
+
+
 def translate_markdown(text: str, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position) -> tuple[str, list[dict]]:
-    """(the translated segment with its formatting, issues). The source comes back where markers are lost or the result is unsound."""
+    """(the translated segment with its formatting, issues). The source comes back where markers are lost or the result is unsound.
+
+    Prefixes and line ends of the block never reach the model.
+    """
+    lead, body, trail = aligned_body(text)
+    out, issues = _translated_body(body, backend, limit, aligner)
+    return lead + out + trail, issues
+
+
+def _translated_body(text: str, backend: Backend, limit: int, aligner: Callable) -> tuple[str, list[dict]]:
     opaque, ranges, _ = markdown.inline_syntax(text)
+    # a wrapper around nothing to align, or around outer white space, stays with its content as it is
+    fixed = [(o, e) for o, i, c, e in ranges if text[i:c] != text[i:c].strip() or not any(x.isalnum() for x in intervals_left(text, i, c, opaque))]
+    ranges = [r for r in ranges if not any(o <= r[0] and r[3] <= e for o, e in fixed)]
     wrappers = sorted({(r[0], r[1]) for r in ranges} | {(r[2], r[3]) for r in ranges})
-    protected = [o for o in opaque if o not in wrappers]
+    protected = [o for o in opaque if o not in wrappers and not any(a <= o[0] and o[1] <= e for a, e in fixed)] + fixed
     prepared = mi.prepare(text, mi.partition(len(text), protected, wrappers))
     if prepared.text is None:
         return text, []

@@ -41,6 +41,7 @@ def test_rendering():
 def test_markdown_keeps_its_formatting():
     up = backends.upper()
     assert translate_markdown("see **bold words** and [a link](http://x) `code` now.", up) == ("SEE **BOLD WORDS** AND [A LINK](http://x) `code` NOW.", [])
+    assert translate_markdown("> - ## one *two* ##\n", up) == ("> - ## ONE *TWO* ##\n", [])
     assert translate_markdown("`only` <br>", up) == ("`only` <br>", [])
     swap = lambda texts: [(" ".join(reversed(t.split())), None) for t in texts]
     out, issues = translate_markdown("one **two** three", swap)
