@@ -33,10 +33,11 @@ BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\u2029\s*")
 MARKS = ".!?…。！？｡؟।॥۔։።‼⁇⁈⁉"
 _IN = "{0,1500}?"  # a quotation or bracket longer than this is not taken as one
 EVENT = re.compile(
-    rf"""(?P<quote>„[^„“”]{_IN}[“”]|“[^“”]{_IN}”|«[^«»]{_IN}»|»[^«»]{_IN}«|‚[^‚‘’]{_IN}[‘’](?!\w)|‘[^‘]{_IN}’(?!\w)
+    rf"""(?=[„“«»‚‘"'「『《(\[（【{MARKS}])(?:  # all alternatives begin with one of these
+    (?P<quote>„[^„“”]{_IN}[“”]|“[^“”]{_IN}”|«[^«»]{_IN}»|»[^«»]{_IN}«|‚[^‚‘’]{_IN}[‘’](?!\w)|‘[^‘]{_IN}’(?!\w)
     |(?<![^\s(\[.!?…])"(?=\S)[^"]{_IN}(?<=\S)"(?!\w)|(?<![^\s(\[.!?…])'(?=\S)[^']{_IN}(?<=\S)'(?!\w)|「[^「」]{_IN}」|『[^『』]{_IN}』|《[^《》]{_IN}》)
     |(?P<bracket>\([^()]{_IN}\)|\[[^\[\]]{_IN}\]|（[^（）]{_IN}）|【[^【】]{_IN}】)
-    |(?P<mark>[{MARKS}]+(?:[^\S\n]?[!?]+)*)""",
+    |(?P<mark>[{MARKS}]+(?:[^\S\n]?[!?]+)*))""",
     re.X,
 )
 THAI = re.compile(r"[฀-๿]")
