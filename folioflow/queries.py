@@ -580,6 +580,13 @@ def markdown_finalized(spark, folder):
     return finalize.finalized_markdown(_marked_jobs(spark, folder), blocks.withColumn("chosen", chosen))
 
 
+@query()
+def markdown_finalized_cells(spark, folder):
+    """Markdown jobs with all proposals accepted, those of table cells included, on one line and with their pipes escaped."""
+    blocks = table(spark, folder, "review_block").select("job_id", "id", "type", F.col("proposal").alias("chosen"), "source_info.start_pos", "source_info.end_pos").dropDuplicates(["job_id", "id"])
+    return finalize.finalized_markdown(_marked_jobs(spark, folder), blocks)
+
+
 @query()
 def alignment_evaluation(spark, folder):
     return evaluation.report(evaluation.evaluate_alignment(_pairs(spark, folder), [0.25, 0.5, 1.0]))

@@ -1,7 +1,13 @@
+import os
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from folioflow import queries
 from folioflow.operators import evaluation as ev
 from folioflow.plans.finalize import finalized_markdown, finalized_text
+from tests.compare import FOLDER, connect
 
 
 def test_text_jobs(spark):
@@ -20,6 +26,27 @@ def test_markdown_jobs(spark):
     assert got["k"].document == "abc" and not got["k"].sound and got["l"].document == "abc" and got["l"].sound
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
+def test_table_cells_get_their_proposals(spark):
+    con = connect()
+    want, cells = {}, 0
+    for job, source in con.execute("SELECT DISTINCT id, decode(source) FROM review_job WHERE document_format = 'md'").fetchall():
+        at, parts = 0, []
+        rows = con.execute("SELECT DISTINCT type, proposal, source_info.start_pos AS s, source_info.end_pos AS e FROM review_block WHERE job_id = ? AND source_info.start_pos IS NOT NULL ORDER BY s", [job]).fetchall()
+        for kind, proposal, start, end in rows:
+            old = source[start:end]
+            if kind == "table_cell" and proposal is not None:
+                new = re.sub(r"(?<!\\)\|", r"\\|", re.sub(r"\s*\n\s*", " ", re.sub(r"\r\n?", "\n", proposal)))
+                cells += new != old
+            else:
+                new = old if proposal is None else proposal.rstrip("\r\n") + re.search(r"[\r\n]*$", old)[0]
+            parts += [source[at:start], new]
+            at = end
+        want[job] = "".join(parts) + source[at:]
+    got = {r.id: (r.document, r.sound) for r in queries.QUERIES["markdown_finalized_cells"](spark, FOLDER).collect()}
+    assert cells and got == {k: (v, True) for k, v in want.items()}
+
+
 def test_evaluation(spark):
     pairs = spark.createDataFrame([(1, "a b c", "x y z", [["b", "y"], ["c", "x"]]), (2, None, None, None)], "pair_key long, source string, target string, expected array<array<string>>")
     got = {(r.pair_key, r.share): (r.expected, r.hit) for r in ev.evaluate_alignment(pairs, [0.5, 1.0]).collect()}
