@@ -372,6 +372,11 @@ def written(package: bytes, replacements: dict[str, str]) -> bytes:
         if any(ids[k].reason for k in mine):
             raise OdtError("a block that cannot be edited was to be replaced")
         new[part] = patched(data, found, mine)
+    return repacked(package, new)
+
+
+def repacked(package: bytes, new: dict[str, bytes]) -> bytes:
+    """The package with parts replaced, inspected again."""
     buffer = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(package)) as old, zipfile.ZipFile(buffer, "w") as z:
         for entry in old.infolist():
@@ -447,3 +452,20 @@ def protected_styles(styles: bytes) -> frozenset[str]:
     while more := {n for n, p in parent.items() if p in known and n not in known}:
         known |= more
     return frozenset(known)
+
+
+def language_styles(parts: dict[str, bytes]) -> frozenset[str]:
+    """Names of text styles that say nothing but the language of their words; one that is defined twice is not among them."""
+    style, fo = "{" + _NS + "style:1.0}", "{" + _NS + "xsl-fo-compatible:1.0}"
+    said = {fo + "language", fo + "country", style + "script-type"}
+    seen, good = set(), set()
+    for data in parts.values():
+        for x in xml_root(data).iter(style + "style"):
+            name = x.get(style + "name")
+            only = x.get(style + "family") == "text" and bool(name) and len(x) == 1 and x[0].tag == style + "text-properties" and not len(x[0]) and fo + "language" in x[0].attrib and set(x[0].attrib) <= said
+            if name not in seen and only and set(x.attrib) == {style + "name", style + "family"}:
+                good.add(name)
+            else:
+                good.discard(name)
+            seen.add(name)
+    return frozenset(good)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
 from folioflow.functions.arrow import flat_map
 from folioflow.functions.backends import Backend
 from folioflow.operators import alignment as al
-from folioflow.operators import markdown
+from folioflow.operators import markdown, odt
 from folioflow.operators import model_input as mi
 from folioflow.operators.chunking import ENDING, GAP, split_text
-from folioflow.operators.rendering import Wrapped, render
+from folioflow.operators.rendering import Wrapped, crossing, render
 
 
 LEAD = re.compile(r"(?:[ \t]*(?:>[ ]?|[-+*][ \t]+|\d{1,9}[.)][ \t]+))*(?:[ \t]*#{1,6}[ \t]+)?")
@@ -124,3 +125,165 @@ def translate_aligned(segments: DataFrame, key: str, backend: Callable[[], Backe
         return work
 
     return flat_map(segments.select(key, "text"), f"{key} {segments.schema[key].dataType.simpleString()}, translated string, issues array<string>", make)
+
+
+FRAME = re.compile(r"<(?:[^\s:>]+:)?frame[\s/>]")
+PAGE_BREAK = re.compile(r"<(?:[^\s:>]+:)?soft-page-break\s*/>")
+LINK = re.compile(r"<(?:[^\s:>]+:)?a[\s/>]")
+SPAN = re.compile(r"<(?:[^\s:>]+:)?span\s+(?:[^\s=:>]+:)?style-name\s*=\s*[\"']([^\"']*)[\"']\s*>")
+IDENTITY = re.compile(r"\s(?:xmlns(?::[^\s=]+)?|xml:id)\s*=")
+
+
+def odt_lead(block: odt.Block) -> int:
+    """Where the body begins behind frames and soft page breaks at the head of a paragraph that no wrapper holds."""
+    end = 0
+    for s, e in block.spans:
+        if not (FRAME.match(block.text, s) or PAGE_BREAK.fullmatch(block.text, s, e)) or block.text[end:s].strip() or any(r[0] < e for r in block.ranges):
+            break
+        end = e
+    return end
+
+
+def odt_scopes(block: odt.Block, language: frozenset[str]) -> dict[int, str | None]:
+    """The wrappers that carry formatting, by their number, with the opening of links. Empty and blank styles and mere language marks are none."""
+    out = {}
+    for k, (o, i, c, _) in enumerate(block.ranges):
+        opening = block.text[o:i]
+        link = opening if LINK.match(opening) else None
+        style = SPAN.fullmatch(opening)
+        if i < c and not (style and style[1] in language) and (link or block.text[i:c].strip()):
+            out[k] = link
+    return out
+
+
+def odt_rendered(text: str, fragments: list[str], items: list[Wrapped]) -> tuple[str, list[dict]]:
+    """Prose escaped, opaque content as it was and in order, wrappers at their places; crossing wrappers and links that meet are dropped."""
+    opaque, prose, at = [], [], 0
+    for f in [*fragments, None]:
+        to = len(text) if f is None else text.find(f, at)
+        if to < 0 or any(x in text[at:to] for x in fragments):
+            raise odt.OdtError("protected content changed")
+        prose.append(text[at:to])
+        opaque += [] if f is None else [(to, to + len(f))]
+        at = to + len(f or "")
+    if not "".join(prose).strip():
+        raise odt.OdtError("no prose is left")
+    if odt.FORBIDDEN.search(text):
+        raise odt.OdtError("a character is not allowed in XML")
+    if any(a < x < b for a, b in opaque for i in items for t in i.targets for x in t):
+        raise odt.OdtError("a wrapper would cut protected content")
+    links = [i for i in items if i.link]
+    clash = crossing(items) | {x.id for n, a in enumerate(links) for b in links[n + 1 :] if any(al.meet(s, t) for s in a.targets for t in b.targets) for x in (a, b)}
+    events: dict[int, list] = {}
+    for order, i in enumerate(k for k in items if k.id not in clash):
+        for s, e in i.targets:
+            events.setdefault(s, []).append((1, -e, order, i.opening))
+            events.setdefault(e, []).append((0, -s, -order, i.closing))
+    places = sorted({0, len(text), *events, *(x for o in opaque for x in o)})
+    out = []
+    for a, b in zip(places, [*places[1:], None]):
+        out += [e[3] for e in sorted(events.get(a, []))]
+        if b is not None:
+            out.append(text[a:b] if (a, b) in opaque else escape(text[a:b]))
+    xml = "".join(out)
+    names = {m for m in re.findall(r"[<\s/]([^\s:<>=/\"']+):[^\s<>=/\"']+", "".join([*fragments, *(i.opening for i in items)])) if m not in ("xml", "xmlns")}
+    odt.xml_root(("<r" + "".join(f' xmlns:{n}="x:{n}"' for n in sorted(names)) + f">{xml}</r>").encode())
+    return xml, [{"id": k, "action": "dropped", "reason": "conflicting_odt_ranges"} for k in sorted(clash)]
+
+
+def _protected_block(block: odt.Block, backend: Backend, limit: int) -> str:
+    """The translation with every token of the block behind a marker, as XML."""
+    prepared = mi.prepare(block.text, mi.partition(len(block.text), block.spans, []))
+    if prepared.text is None:
+        return odt.rendered(block, block.text).decode()
+    a = aligned_units(prepared, backend, limit, lambda s, t: [])
+    if prepared.tokens:
+        al.anchored(a, prepared.tokens, prepared.prefix)
+    return odt.rendered(block, mi.restore(a["target"], prepared)[0]).decode()
+
+
+def translate_block(block: odt.Block, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position, language: frozenset[str] = frozenset()) -> tuple[str | None, list[dict]]:
+    """(the block's new inner XML, issues); None keeps its bytes.
+
+    A block whose wrappers declare namespaces or carry identities is translated with all its tokens protected. The source stays if
+    the model fails, markers are lost or the result is unsound.
+    """
+    reasons: list[str] = []
+
+    def model(texts: list[str]) -> list[tuple[str, str | None]]:
+        done = backend(texts)
+        reasons.extend(r for _, r in done if r)
+        return done
+
+    keep = lambda reason: (None, [{"id": "", "action": "retained_original", "reason": reason}])
+    try:
+        if any(IDENTITY.search(block.text[r[0] : r[1]]) for r in block.ranges):
+            out = _protected_block(block, model, limit)
+            return keep("; ".join(reasons)) if reasons else (out, [])
+        lead = odt_lead(block)
+        text = block.text[lead:]
+        ranges = [tuple(x - lead for x in r) for r in block.ranges]
+        wrappers = sorted({w for o, i, c, e in ranges for w in ((o, i), (c, e)) if w[0] < w[1]})
+        protected = [(s - lead, e - lead) for s, e in block.spans if s >= lead and (s - lead, e - lead) not in wrappers]
+        parts = mi.partition(len(text), protected, wrappers)
+        prepared = mi.prepare(text, parts)
+        if prepared.text is None:
+            return None, []
+        a = aligned_units(prepared, model, limit, aligner)
+        if reasons:
+            return keep("; ".join(reasons))
+        if not a["target"].strip():
+            return keep("the translation is empty")
+        a = al.anchored(a, prepared.tokens, prepared.prefix) if prepared.tokens else a
+        kinds = odt_scopes(block, language)
+        issues = [{"id": str(k), "action": "dropped", "reason": "no_visible_content"} for k, (_, i, c, _) in enumerate(ranges) if i == c]
+        scopes = []
+        for k, link in kinds.items():
+            s, e = prepared.position(ranges[k][1]), prepared.position(ranges[k][2])
+            if s < e:
+                scopes.append({"id": str(k), "source": (s, e), "link_target": link})
+            else:
+                issues.append({"id": str(k), "action": "dropped", "reason": "no_visible_content"})
+        done, noted = al.project(a, scopes, complete_segment=True)
+        bare, moves = mi.restore(a["target"], prepared)
+        items = []
+        for p in sorted(done, key=lambda p: int(p["id"])):
+            o, i, c, e = ranges[int(p["id"])]
+            items.append(Wrapped(p["id"], text[o:i], text[c:e], [(mi.moved(s, moves), mi.moved(t, moves)) for s, t in p["targets"]], p["link_target"] is not None))
+        xml, dropped = odt_rendered(bare, [text[s:e] for s, e, kind in parts if kind == "protected"], items)
+    except (al.AlignmentError, odt.OdtError) as e:
+        return keep(str(e))
+    gone = {d["id"] for d in dropped}
+    return block.text[:lead] + xml, [*issues, *(n for n in noted if n["id"] not in gone), *dropped]
+
+
+def translated_package(package: bytes, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position) -> tuple[bytes, list[tuple]]:
+    """(the package with all blocks that can be edited translated, ``(part, id, new XML or None, issues)`` of each of them)."""
+    parts = odt.inspect(package)
+    language = odt.language_styles(parts)
+    kept = frozenset().union(*(odt.protected_styles(data) for data in parts.values()))
+    rows, new = [], {}
+    for part, data in parts.items():
+        found = odt.blocks(data, part, kept)
+        done = [(part, b.id, *translate_block(b, backend, limit, aligner, language)) for b in found if b.reason is None]
+        new[part] = odt.patched(data, found, {name: xml.encode() for _, name, xml, _ in done if xml is not None})
+        rows += done
+    return odt.repacked(package, new), rows
+
+
+def translate_aligned_odt(packages: DataFrame, key: str, content: str, backend: Callable[[], Backend], limit: int = 1_000) -> DataFrame:
+    """``(key, content, issues, error)`` of packages; issues are ``part segment_id action: reason``. A bad package gives its error and no content."""
+
+    def make():
+        model = backend()
+
+        def work(row: dict) -> list[tuple]:
+            try:
+                out, rows = translated_package(row[content] or b"", model, limit)
+            except odt.OdtError as e:
+                return [(row[key], None, [], str(e))]
+            return [(row[key], out, [f"{part} {name} {i['action']}: {i['reason']}" for part, name, _, found in rows for i in found], None)]
+
+        return work
+
+    return flat_map(packages.select(key, content), f"{key} {packages.schema[key].dataType.simpleString()}, content binary, issues array<string>, error string", make)

@@ -482,6 +482,22 @@ def odt_blocks(spark, folder):
     return odt.odt_blocks(_packages(spark, folder), "run_id", "content").drop("protected_spans")
 
 
+@query()
+def translated_aligned_odt(spark, folder):
+    """Packages through the aligned path with the upper-case double, read back by block, with the issues of their package; a bad one is a row with its error."""
+    done = aligned.translate_aligned_odt(_packages(spark, folder), "run_id", "content", backends.upper)
+
+    def make():
+        def work(row: dict) -> list[tuple]:
+            if row["error"]:
+                return [(row["run_id"], None, None, None, [row["error"]])]
+            return [(row["run_id"], b.part, b.id, b.text, row["issues"]) for part, data in odt.inspect(row["content"]).items() for b in odt.blocks(data, part)]
+
+        return work
+
+    return flat_map(done, "run_id string, part string, segment_id string, translated string, issues array<string>", make)
+
+
 @query("""WITH RECURSIVE e(style, parent) AS (VALUES ('P1','Preformatted'),('P2','P1'),('P3','P2'),('P4','Text'),('Loop1','Loop2'),('Loop2','Loop1'),('P5','P4')),
 r(style) AS (SELECT 'Preformatted' UNION SELECT e.style FROM e JOIN r ON e.parent = r.style) SELECT style FROM r""")
 def style_closure(spark, folder):
