@@ -312,8 +312,9 @@ def translated_echo(spark, folder):
 
 @query()
 def translated_glossary(spark, folder):
-    """Glossary masking around the upper-case double, sentence chunks of at most 400 characters."""
-    done = translate.translate_segments(_protected(spark, folder), ["seg_key"], backends.upper, _glossary(spark), limit=400)
+    """Glossary masking around the upper-case double, sentence chunks of at most 400 characters; structures are checked after restoring."""
+    segments = _segments(spark, folder, "document_format", "type", "text", "protected_spans")
+    done = translate.translate_segments(segments, ["seg_key", "document_format", "type"], backends.upper, _glossary(spark), limit=400, form="document_format")
     return done.select("seg_key", "translated", "action", F.array_join("errors", "; ").alias("errors"))
 
 
@@ -667,7 +668,7 @@ def suite_fingerprints(spark, folder):
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, their sentences and matched terms, and how much of them the pipeline translates, by language and format."""
     segments = _segments(spark, folder, "lang", "document_format", "text", "protected_spans")
-    done = translate.translate_segments(segments, ["seg_key", "lang", "document_format"], backends.upper, _glossary(spark))
+    done = translate.translate_segments(segments, ["seg_key", "lang", "document_format"], backends.upper, _glossary(spark), form="document_format")
     return done.groupBy("lang", "document_format").agg(
         F.count(F.lit(1)).alias("segments"), F.count_if(F.col("action").isNotNull()).alias("retained"),
         F.sum(F.size(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)))).alias("sentences"), F.sum(F.length("translated")).alias("chars"),

@@ -44,6 +44,23 @@ def test_lost_markers_keep_the_original(spark):
         translate_segments(segments(spark, rows), ["id"], backends.failing("none"), mode="failfast").collect()
 
 
+def test_changed_structures_keep_the_original(spark):
+    rows = [(1, "html", "paragraph", "see <b>this</b> now", [(4, 7), (11, 15)]), (2, "html", "paragraph", "see <a>this</a> now", [(4, 7), (11, 15)]), (3, "md", "paragraph", "one **two** end", []),
+            (4, "md", "table_cell", "one two", []), (5, "txt", "paragraph", "big *dog* end", []), (6, "html", "paragraph", "see that now", [])]
+    df = spark.createDataFrame(rows, f"id long, form string, type string, text string, protected_spans {SPANS}")
+
+    def model():
+        return lambda texts: [(t.replace("this", "").replace("**", "").replace("*", "").replace("one two", "ONE | TWO").replace("that", "THAT"), None) for t in texts]
+
+    done = {r.id: r for r in translate_segments(df, ["id", "form", "type"], model, form="form").collect()}
+    assert {k: done[k].translated for k in done} == {1: "see  now", 2: rows[1][3], 3: rows[2][3], 4: rows[3][3], 5: "big dog end", 6: "see THAT now"}
+    assert {k: done[k].action for k in done} == {1: "formatting_repaired", 2: "retained_original", 3: "retained_original", 4: "retained_original", 5: None, 6: None}
+    assert done[1].unrepaired_text == "see <b></b> now" and done[2].unrepaired_text is None
+    assert done[3].errors == ["markdown_token_count_changed"] and done[4].errors == ["markdown_table_cell_boundary_changed"]
+    with pytest.raises(Exception, match="translation failed"):
+        translate_segments(df.where("id = 2"), ["id", "form", "type"], model, mode="failfast", form="form").collect()
+
+
 def test_marker_errors(spark):
     p = "DLM" + "A" * 32
     rows = [(f"a {p}X0Z b {p}X1Z", []), (f"a {p}X1Z b {p}X0Z", ["marker_order_changed"]), (f"a {p}X0Z", [f"missing_marker: {p}X1Z"]), (f"a {p}X0Z {p}X0Z {p}X1Z", [f"duplicate_marker: {p}X0Z"]),
