@@ -31,7 +31,7 @@ CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
 BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\u2029\s*")
 MARKS = ".!?…。！？｡؟।॥۔։።‼⁇⁈⁉"
-_IN = "{0,1500}?"  # a quotation or bracket longer than this is not taken as one
+_IN = "*?"  # of any length: what is inside never passes another mark of its own kind, so a text is read at most once for each kind
 EVENT = re.compile(
     rf"""(?=[„“«»‚‘"'「『《(\[（【{MARKS}])(?:  # all alternatives begin with one of these
     (?P<quote>„[^„“”]{_IN}[“”]|“[^“”]{_IN}”|«[^«»]{_IN}»|»[^«»]{_IN}«|‚[^‚‘’]{_IN}[‘’](?!\w)|‘[^‘]{_IN}’(?!\w)

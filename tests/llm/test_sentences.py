@@ -37,6 +37,23 @@ def test_english(text, want):
     assert units(text) == want
 
 
+@pytest.mark.parametrize("a, b", [('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’")])
+def test_long_quotations_are_one(a, b):
+    said = a + "It stops. " * 400 + "It runs." + b
+    assert units(f"{said} The end.") == [said, "The end."]
+    bracket = "(" + "It stops. " * 400 + "It runs.)"
+    assert units(f"It ran. {bracket} The end.") == ["It ran.", bracket, "The end."]
+
+
+@pytest.mark.parametrize("text", ["“ " * 100_000, "(a " * 100_000, "‘a’b " * 60_000, '"a ' * 100_000, "‘ " + "a’b " * 100_000, "„«“‚ " * 50_000])
+def test_marks_without_partners_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    units(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_other_scripts():
     assert units("水泵停止。它显示“太热。等待。”的提示。再见！", "zh") == ["水泵停止。", "它显示“太热。等待。”的提示。", "再见！"]
     assert units("終わりました……次です。", "ja") == ["終わりました……", "次です。"]
