@@ -68,12 +68,12 @@ CONSTRUCT = re.compile(
      |(?P<pre><(?P<pn>pre|xmp|listing|script|style|math|syntaxhighlight)\b[^<>]*>(?P<pred>.*?)(?:</(?P=pn)\s*>|\Z))
      |(?P<icode><(?P<cn>code|tt|kbd|samp|nowiki)\b[^<>]*>(?P<coded>.*?)(?:</(?P=cn)\s*>|\n|\Z))
      |(?P<verbatim>\\begin\{{(?P<vn>(?:{_CODE})\*?)\}}(?P<verbed>.*?)(?:\\end\{{(?P=vn)\}}|\Z))
-     |(?P<verb>\\(?:verb|lstinline)\*?(?P<v>[^\w\s*])(?P<verbs>[^\n]{{0,2000}}?)(?:(?P=v)|$))
+     |(?P<verb>\\(?:verb|lstinline)\*?(?P<v>[^\w\s*])(?P<verbs>[^\n]*?)(?:(?P=v)|$))
      |(?P<equation>\\begin\{{(?P<en>(?:{_ENV})\*?)\}}(?P<equated>.*?)(?:\\end\{{(?P=en)\}}|\Z))
      |(?P<display>\\\[(?P<displayed>.*?)(?:\\\]|\Z)|\\\((?P<displayed2>.*?)(?:\\\)|\Z))
      |(?P<dollars>\$\$(?P<dollared>[^$]+?)(?:\$\$|\Z))
-     |(?P<dollar>(?<![\w$\\])\$(?![\s$])(?P<dollared1>[^$\n]{{0,400}}?)(?<![\s\\])\$(?![\w$]))
-     |(?P<tick>(?<!`)(?P<t>`+)(?!`)(?P<ticked>[^\n]{{0,2000}}?[^`\n])(?P=t)(?!`))
+     |(?P<dollar>(?<![\w$\\])\$(?![\s$])(?P<dollared1>[^$\n]*?)(?<![\s\\])\$(?![\w$]))
+     |(?P<tick>(?<!`)(?P<t>`+)(?!`)(?P<ticked>[^\n]*?[^`\n])(?P=t)(?!`))
      |(?P<texhead>\\(?P<hn>{"|".join(sorted(TEX_HEADING))})\*?\s?(?:\[[^\[\]\n]*\])?\{{(?P<headed>[^{{}}\n]*)(?:\}}|$))
      |(?P<texlist>\\(?:begin|end)\{{(?:itemize|enumerate|description)\}}(?:\[[^\]\n]*\])?|\\item\b[ ]?(?:\[[^\]\n]*\])?)
      |(?P<texenv>\\(?:begin|end)\{{[A-Za-z]+\*?\}}(?:\[[^\]\n]*\]|\{{[^{{}}\n]*\}})*)
@@ -88,10 +88,10 @@ CONSTRUCT = re.compile(
      |(?P<image>!\[(?P<im>[^\[\]\n]*)\](?:\([^()\n]*\)?|\[[^\[\]\n]*\]))
      |(?P<link>\[(?P<li>[^\[\]\n]*)\](?:\((?:[^()\n]|\([^()\n]*\))*(?:\)|$)|\[[^\[\]\n]*\]))
      |(?P<foot>\[\^[^\[\]\s]+\])
-     |(?P<quotes>'{{3}}''(?P<q5>[^\n]{{1,2000}}?)'{{2,5}}|'''(?P<q3>[^\n]{{1,2000}}?)'{{2,3}}(?!')|(?<!')''(?!')(?P<q2>[^\n]{{1,2000}}?)''(?!'))
+     |(?P<quotes>'{{3}}''(?P<q5>[^\n]+?)'{{2,5}}|'''(?P<q3>[^\n]+?)'{{2,3}}(?!')|(?<!')''(?!')(?P<q2>[^\n]+?)''(?!'))
      |(?P<magic>__(?-i:[A-Z]{{3,}})__)
-     |(?P<strong>\*\*(?=[^\s*])(?P<b1>[^\n]{{0,2000}}?[^\s])\*\*|(?<!\w)__(?=[^\s_])(?P<b2>[^\n]{{0,2000}}?[^\s])__(?!\w))
-     |(?P<strike>~~(?=[^\s~])(?P<s1>[^\n]{{0,2000}}?[^\s])~~)
+     |(?P<strong>\*\*(?=[^\s*])(?P<b1>[^\n]*?[^\s])\*\*|(?<!\w)__(?=[^\s_])(?P<b2>[^\n]*?[^\s])__(?!\w))
+     |(?P<strike>~~(?=[^\s~])(?P<s1>[^\n]*?[^\s])~~)
      |(?P<em>(?<![\w*\\])\*(?=[^\s*])(?P<e1>[^*\n]*?[^\s*])\*(?![\w*])|(?<!\w)_(?=[^\s_])(?P<e2>[^_\n]*?[^\s_])_(?!\w))
      |(?P<open>(?<![\w*])\*\*(?=[^\W_])|(?<=[^\W_])\*\*(?!\w)|(?<!~)~~(?=[^\W_])|(?<=[^\W_])~~(?!~))
     ))

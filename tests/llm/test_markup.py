@@ -61,6 +61,18 @@ def test_long_texts():
         Parse(text * 5_000)
 
 
+@pytest.mark.parametrize(
+    "left, right, want",
+    [("$", "$", "latex/formula"), ("`", "`", "markdown/code"), ("\\verb|", "|", "latex/code"), ("**", "**", "markdown/inline"), ("__", "__", "markdown/inline"), ("~~", "~~", "markdown/inline"), ("''", "''", "wiki/inline"), ("'''", "'''", "wiki/inline"), ("'''''", "'''''", "wiki/inline")],
+)
+def test_long_constructs_are_found_and_cleaned(left, right, want):
+    inside = "x_1 = y + " * 300 + "z" if left == "$" else "word " * 600 + "end"
+    text = f"Start {left}{inside}{right} stop"
+    clean = clean_text(Parse(text).nodes)
+    assert found(text) == [want] and inside in clean
+    assert clean == f"Start {'$' + inside + '$' if left == '$' else '`' + inside + '`' if want.endswith('code') else inside} stop"
+
+
 def test_rows(spark):
     items = spark.createDataFrame(
         [("segment", 1, "<b>x</b> y", None, "z"), ("segment", 1, "<b>x</b> y", None, "w"), ("block", 1, "a <br> b", ["<br>"], "z"), ("block", 2, None, [None], "z"), (None, None, "", None, None), ("block", 3, "# H\n\n<b>q</b> `c`", None, None)],
