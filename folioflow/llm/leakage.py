@@ -4,8 +4,8 @@ Pages and passages become streams of letter classes: letters that scans take for
 letters and digits drops out, so line breaks, hyphens and punctuation don't matter. Pages are read down their columns by the
 boxes of their lines. Windows of the size of a few words start at every word of pages and passages. The CGK random walk embeds
 a window so that a small edit distance becomes a small Hamming distance, and repeated bit sampling of the embedding looks the
-pages' windows up among the passages'. Each pair of page and passage that meets in two windows is verified by an exact
-edit-tolerant walk along the passage, which may step over lines of adverts, and counts the consecutive words that the page holds.
+pages' windows up among the passages'. Each pair of page and passage that meets in four windows (MEETINGS) is verified by an
+exact edit-tolerant walk along the passage, which may step over any number of lines of adverts, and counts the consecutive words that the page holds.
 
 The passages are a fixed suite: they are collected behind a check of their size and every task gets their windows. Pages are mapped where they lie; nothing
 is shuffled but the found pairs.
@@ -178,11 +178,12 @@ class Passages:
         return pairs // (len(self.owners) + 1), pairs % (len(self.owners) + 1)
 
 
-def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int], most: int) -> tuple[int, int]:
+def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int]) -> tuple[int, int]:
     """Follows q from j along p from i, in one direction, as far as it goes; (last place reached in q, edits).
 
     A wrong letter may be replaced, dropped or added where the next four letters agree afterwards, as many as one edit in four
-    letters. Where that fails near a place in ``jumps``, the walk goes on at another of those places, up to ``most`` of them away.
+    letters. Where that fails near a place in ``jumps``, the walk goes on at the nearest of those places beyond that agrees, however far
+    away it is on the page.
     """
     edits, good, start = 0, j, j
     n, m = len(p), len(q)
@@ -216,10 +217,7 @@ def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int], most:
                 if done or not 0 <= near < len(jumps) or abs(jumps[near] - (i if step > 0 else i + 1)) > 4:
                     continue
                 back = (i if step > 0 else i + 1) - jumps[near]  # letters of the advert that happened to agree
-                for t in range(1, most + 1):
-                    to = near + t * step
-                    if not 0 <= to < len(jumps):
-                        break
+                for to in range(near + step, len(jumps) if step > 0 else -1, step):
                     for b in dict.fromkeys((back, 0)):
                         a, c = (jumps[to], j - b) if step > 0 else (jumps[to] - 1, j - b)
                         if 0 <= c < m and same(a, c, 8) >= 7 or 0 <= c < m and (m - c if step > 0 else c + 1) < 8 and same(a, c, 4) >= 4:
@@ -241,8 +239,8 @@ def longest_run(page: bytes, passage: bytes, words: np.ndarray, cells: list[int]
     for i, j in seeds:
         if any(a <= j < b and abs((i - j) - d) < 3 for a, b, d in covered):
             continue
-        right, _ = _walk(page, passage, i, j, 1, cells, 8)
-        left, _ = _walk(page, passage, i - 1, j - 1, -1, cells, 8)
+        right, _ = _walk(page, passage, i, j, 1, cells)
+        left, _ = _walk(page, passage, i - 1, j - 1, -1, cells)
         left = left + 1 if left < j else j
         if right <= j:
             continue

@@ -65,6 +65,18 @@ def test_misread_letters_hyphens_and_adverts(suite, passages):
     assert hits >= 36  # recall of 0.9
 
 
+@pytest.mark.parametrize("advert", [3, 12, 60])
+def test_long_adverts_are_stepped_over(suite, passages, advert):
+    rng = random.Random(3)
+    words = suite[9][1].split()
+    between = lines(prose(rng, 12 * advert))[:advert]
+    assert len(between) == advert
+    page = [*lines(prose(rng, 30)), " ".join(words[4:13]), *between, " ".join(words[13:22]), *lines(prose(rng, 30))]
+    assert found(passages, "\n".join(page)) == {(9, 18)}
+    apart = [*lines(prose(rng, 30)), " ".join(words[4:9]), *between, " ".join(words[20:25]), *lines(prose(rng, 30))]
+    assert found(passages, "\n".join(apart)) == set()
+
+
 def test_columns(suite, passages):
     rng = random.Random(3)
     left, right = lines(suite[3][1]), lines(prose(rng, 60))
