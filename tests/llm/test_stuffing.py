@@ -69,3 +69,12 @@ def test_matter_and_dictionaries(spark, corpus):
     assert stuffed_pages(corpus).count() == corpus.count()
     twice = corpus.where("doc_id = 200").unionByName(corpus.where("doc_id = 200"))
     assert stuffed_pages(twice).where("spam").count() == 2
+
+
+def test_dictionaries_take_whole_pages(spark):
+    r = random.Random(5)
+    pages = [article(r, 80) for _ in range(8)]
+    assert all(5_000 < len(p) < 7_400 for p in pages)
+    texts = dictionaries(spark.createDataFrame([(k, p, "en") for k, p in enumerate(pages)], "doc_id long, text string, lang string"))
+    assert all(p.encode() in texts["en"] for p in pages)
+    assert dictionaries(spark.createDataFrame([(k, p, "en") for k, p in enumerate(pages[:7])], "doc_id long, text string, lang string")) == {}
