@@ -2,7 +2,8 @@
 
 Every place where a text may be cut has a strength: after a blank line, after a sentence, at white space. A sparse table over the
 strengths answers which is the strongest cut in a window of permissible lengths, the rightmost of equals; the next piece steps
-back from that cut by the overlap.
+back from that cut by the overlap. Which kind of boundary alone suffices is found by the same cutting over a table that knows the
+cuts of that kind only: wherever a window holds none of them, the kind does not suffice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from folioflow.llm.sentences import BLANK, Model, Splitter
 NONE, WORD, SENTENCE, PARAGRAPH = 0, 1, 2, 3
 NAMES = {PARAGRAPH: "paragraph", SENTENCE: "sentence", WORD: "word", NONE: "none"}
 SPACE = re.compile(r"\s+")
-RUN = re.compile(r"\S+")
 
 
 class RangeMax:
@@ -48,13 +48,9 @@ class RangeMax:
 
 def boundaries(text: str, sentences: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Places of cuts in order, with their strengths. A cut stands after the white space that it follows, so pieces join to the text."""
-    strength: dict[int, int] = {}
-    for m in SPACE.finditer(text):
-        strength[m.end()] = WORD
-    for s, _ in sentences[1:]:
-        strength[s] = SENTENCE
-    for m in BLANK.finditer(text):
-        strength[m.end()] = PARAGRAPH
+    strength = {m.end(): WORD for m in SPACE.finditer(text)}
+    strength.update((s, SENTENCE) for s, _ in sentences[1:])
+    strength.update((m.end(), PARAGRAPH) for m in BLANK.finditer(text))
     strength.pop(0, None)
     strength.pop(len(text), None)
     places = sorted(strength)
@@ -91,17 +87,40 @@ def pieces(text: str | None, max_size: int, overlap: int, sentences: list[tuple[
     return out
 
 
+def cuts_alone(ends: np.ndarray, starts: np.ndarray, fit: np.ndarray, begin: int, end: int, limit: int) -> bool:
+    """Whether cuts of one kind part ``begin..end`` into units of at most ``limit``.
+
+    The k-th cut ends a unit at ``ends[k]`` and the next begins at ``starts[k]``; ``fit`` is 1 for cuts of the kind, else 0. Each step
+    takes the strongest, rightmost cut that the table has in the window of permissible lengths.
+    """
+    table = RangeMax(fit, limit + 1)
+    while end - begin > limit:
+        a, b = int(np.searchsorted(starts, begin, side="right")), int(np.searchsorted(ends, begin + limit, side="right"))
+        if a >= b or not fit[k := table.query(a, b)]:
+            return False
+        begin = int(starts[k])
+    return True
+
+
 def natural_boundary(text: str, limit: int, sentences: list[tuple[int, int]]) -> str:
-    """The first of paragraph, sentence and word at which alone all units are at most ``limit`` long, else none."""
-    ends = [(m.start(), m.end()) for m in BLANK.finditer(text) if text[: m.start()].strip() and text[m.end() :].strip()]
-    if ends:
-        cuts = [0, *(x for e in ends for x in e), len(text)]
-        if all(len(text[a:b].strip()) <= limit for a, b in zip(cuts[::2], cuts[1::2])):
-            return NAMES[PARAGRAPH]
-    if all(e - s <= limit for s, e in sentences):
-        return NAMES[SENTENCE]
-    if all(m.end() - m.start() <= limit for m in RUN.finditer(text)):
-        return NAMES[WORD]
+    """The first of paragraph, sentence and word at which alone a cutting keeps all units within ``limit``, else none.
+
+    Units count without outer white space, and a paragraph needs a blank line between two of them.
+    """
+    if not sentences:
+        return NAMES[SENTENCE]  # nothing but white space: there is no unit
+    begin, end = sentences[0][0], sentences[-1][1]
+    before = {m.end(): m.start() for m in SPACE.finditer(text, begin, end)}
+    kinds = dict.fromkeys(before, WORD)
+    kinds.update((s, SENTENCE) for s, _ in sentences[1:])
+    kinds.update((m.end(), PARAGRAPH) for m in BLANK.finditer(text, begin, end))
+    at = sorted(kinds)
+    starts, ends = np.array(at, dtype=np.int64), np.array([before.get(p, p) for p in at], dtype=np.int64)
+    strength = np.array([kinds[p] for p in at], dtype=np.int64)
+    spaced = starts > ends  # only these are cuts between words
+    for kind, fit in ((PARAGRAPH, strength == PARAGRAPH), (SENTENCE, strength >= SENTENCE), (WORD, spaced)):
+        if (kind != PARAGRAPH or fit.any()) and cuts_alone(ends, starts, fit.astype(np.int64), begin, end, limit):
+            return NAMES[kind]
     return NAMES[NONE]
 
 
@@ -139,6 +158,6 @@ def split_items(items: DataFrame, budget: DataFrame, models: dict[str, Model], p
 
 
 def item_boundaries(items: DataFrame, budget: DataFrame, models: dict[str, Model], profiles: dict[str, set[str]]) -> DataFrame:
-    """``(origin, item_key, boundary)`` of all oversized items: the boundary at which alone they can be cut within their size."""
+    """``(origin, item_key, boundary)`` of all oversized items: the boundary at which alone the sparse table cuts them within their size."""
     rows = lambda t, size, overlap, s: [(natural_boundary(t, size - overlap, s),)]
     return _mapped(oversized(items, budget), "origin string, item_key long, boundary string", models, profiles, rows)

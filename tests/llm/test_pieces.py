@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioflow.llm.pieces import RangeMax, item_boundaries, natural_boundary, pieces, split_items
-from folioflow.llm.sentences import Model, Splitter
+from folioflow.llm.sentences import BLANK, Model, Splitter
 
 S = Splitter({"en": Model()})
 
@@ -54,6 +54,31 @@ def test_boundaries(text, limit, want):
     assert natural_boundary(text, limit, S.spans(text, "en")) == want
 
 
+def lengths_fit(text, limit, sentences):
+    """By the lengths of all units, without a cutting."""
+    ends = [(m.start(), m.end()) for m in BLANK.finditer(text) if text[: m.start()].strip() and text[m.end() :].strip()]
+    cuts = [0, *(x for e in ends for x in e), len(text)]
+    if ends and all(len(text[a:b].strip()) <= limit for a, b in zip(cuts[::2], cuts[1::2])):
+        return "paragraph"
+    if all(e - s <= limit for s, e in sentences):
+        return "sentence"
+    return "word" if all(len(w) <= limit for w in text.split()) else "none"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb ", "Ccc", ". ", ".", "。", " ", "\n", "\n\n", "\r\n \r\n", "dddd"]), max_size=60).map("".join), st.integers(1, 14))
+def test_boundary_of_the_cutting_against_all_lengths(text, limit):
+    spans = S.spans(text, "en")
+    if spans:
+        assert natural_boundary(text, limit, spans) == lengths_fit(text, limit, spans)
+
+
+def test_the_sparse_table_decides(monkeypatch):
+    text = "Aaaa bbbb. Cccc dddd."
+    monkeypatch.setattr(RangeMax, "query", lambda self, a, b: a)  # the first cut of a window instead of the strongest
+    assert natural_boundary(text, 10, S.spans(text, "en")) != "sentence"
+
+
 def test_rows(spark):
     items = spark.createDataFrame(
         [("segment", 1, "en", "word " * 30, 1), ("segment", 1, "en", "word " * 30, 2), ("segment", 2, None, "short", 1), ("chunk_text", 1, None, None, 1), ("chunk_text", 3, None, "x" * 90, 1), ("other", 4, "en", "y" * 999, 1), ("segment", None, "en", "z" * 70, 1)],
