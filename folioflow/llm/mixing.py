@@ -3,62 +3,61 @@
 Every source is cut into ``blocks`` hash blocks. From the token sums of the blocks (at most sources x blocks rows, whatever
 the corpus holds) the driver works out how often each block is used, splits the exact block quotas of all sources among the
 output shards by a multivariate-hypergeometric tree, and deals each source's permuted blocks to the shards without overlap.
-The documents then only meet a broadcast table of that bounded size and are shuffled within their shard.
+The last block of a source may be needed in part only; it is cut into blocks of its own by a second hash and dealt alike. What
+the shards got says whether a source was cut, repeated or fell short. The documents then only meet a broadcast table of that
+bounded size and are shuffled within their shard.
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.arrow import cut_lineage
+
 #: A run of word characters, or any other single character but white space.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SEED = 20_24
+BLOCKS = 512  # of a source, and of the block of it that is used in part
+SHARDS = 16
 
 
 def token_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def block_sums(documents: DataFrame, targets: DataFrame, blocks: int = 512, seed: int = SEED) -> DataFrame:
-    """Tokens and documents of each block of each source in ``targets``; combined on the map side before the shuffle."""
-    wanted = [r[0] for r in targets.select("source").distinct().collect() if r[0] is not None]
-    return (
-        documents.where(F.col("source").isin(wanted) if wanted else F.lit(False))
-        .select("source", block_of(blocks, seed).alias("block"), token_count().alias("tokens"))
-        .groupBy("source", "block")
-        .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    )
-
-
 def block_of(blocks: int, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")
 
 
-def plan(sums: DataFrame, targets: DataFrame) -> list[dict]:
-    """One row per row of ``targets``: what the source has, wants and how it gets there.
+def sized(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """``(doc_id, source, block, tokens)`` of the documents of the sources in ``targets``, without their text."""
+    wanted = [r[0] for r in targets.select("source").distinct().collect() if r[0] is not None]  # a row a source
+    return documents.where(F.col("source").isin(wanted) if wanted else F.lit(False)).select("doc_id", "source", block_of(blocks, seed).alias("block"), token_count().alias("tokens"))
+
+
+def block_sums(docs: DataFrame) -> dict[str, list[tuple[int, int]]]:
+    """``[(block, tokens)]`` by source, of :func:`sized` documents; combined on the map side, at most sources x blocks rows."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for r in docs.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).collect():
+        out.setdefault(r.source, []).append((r.block, r.tokens))
+    return {k: sorted(v) for k, v in out.items()}
+
 
-    Without documents a source is ``short``. A null weight or null max_repeats counts as 0 and 1; a source named twice in
-    ``targets`` gets a row each, from the same documents.
+def plan(listed: dict[str, list[tuple[int, int]]], targets: DataFrame) -> list[dict]:
+    """One row per row of ``targets``: what the source has and wants, in tokens.
+
+    A null weight or null max_repeats counts as 0 and 1; a source named twice in ``targets`` gets a row each, from the same documents.
     """
-    have: dict[str, tuple[int, int]] = {
-        r.source: (r.tokens, r.documents)
-        for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents")).collect()
-    }
-    total = sum(t for t, _ in have.values())
-    rows = []
-    for r in targets.select("source", "weight", "max_repeats").collect():
-        tokens, documents = have.get(r.source, (0, 0))
-        want, most = (r.weight or 0.0) * total, max(r.max_repeats if r.max_repeats is not None else 1, 1)
-        if not documents:
-            outcome = "short"
-        else:
-            outcome = "cut" if tokens >= want else "repeated" if most * tokens >= want else "short"
-        rows.append({"source": r.source, "weight": r.weight, "tokens": tokens, "wanted": want, "most": most, "outcome": outcome})
-    return rows
+    have = {k: sum(t for _, t in v) for k, v in listed.items()}
+    total = sum(have.values())
+    return [
+        {"source": r.source, "weight": r.weight, "known": r.source in have, "tokens": have.get(r.source, 0), "wanted": (r.weight or 0.0) * total, "most": max(r.max_repeats if r.max_repeats is not None else 1, 1)}
+        for r in targets.select("source", "weight", "max_repeats").collect()
+    ]
 
 
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -75,20 +74,23 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
-def deal(block_tokens: dict[str, list[tuple[int, int]]], plans: list[dict], shards: int, seed: int) -> list[tuple]:
-    """(source, copy, block, shard, tokens to keep or None for all) for each use of a block."""
+def deal(listed: dict[str, list[tuple[int, int]]], plans: list[dict], shards: int, seed: int) -> list[dict]:
+    """A row for each use of a block: which row of the plan, source, copy, block and shard, and the tokens taken (``all`` of the block, or the rest that is wanted).
+
+    Whole passes over a source are dealt first, then permuted blocks until nothing is wanted any more. Amounts are exact fractions.
+    """
     rng = np.random.default_rng(seed)
-    uses: list[list[tuple]] = []
-    for p in plans:
-        blocks = sorted(block_tokens.get(p["source"], []))
-        have = sum(t for _, t in blocks)
-        copies = min(p["most"], math.floor(p["wanted"] / have)) if have else 0
-        mine = [(p["source"], c, blocks[i][0], None) for c in range(copies) for i in rng.permutation(len(blocks))]
-        rest = p["wanted"] - copies * have
+    uses: list[list[dict]] = []
+    for k, p in enumerate(plans):
+        blocks = listed.get(p["source"], [])
+        have, wanted = sum(t for _, t in blocks), Fraction(p["wanted"])
+        copies = min(p["most"], int(wanted // have)) if have else 0
+        order = lambda: [blocks[i] for i in rng.permutation(len(blocks))]  # noqa: E731, B023
+        mine = [{"plan": k, "source": p["source"], "copy": c, "block": b, "take": Fraction(t), "all": True} for c in range(copies) for b, t in order()]
+        rest = wanted - copies * have
         if copies < p["most"] and rest > 0:
-            for i in rng.permutation(len(blocks)):
-                b, t = blocks[i]
-                mine.append((p["source"], copies, b, None if t <= rest else float(rest)))
+            for b, t in order():
+                mine.append({"plan": k, "source": p["source"], "copy": copies, "block": b, "take": min(Fraction(t), rest), "all": t <= rest})
                 rest -= t
                 if rest <= 0:
                     break
@@ -98,52 +100,78 @@ def deal(block_tokens: dict[str, list[tuple[int, int]]], plans: list[dict], shar
     for k, mine in enumerate(uses):
         order, at = rng.permutation(len(mine)), 0
         for shard in range(shards):
-            for i in order[at : at + shares[shard, k]]:
-                s, c, b, keep = mine[i]
-                out.append((s, c, b, shard, keep))
+            out += [{**mine[i], "shard": shard} for i in order[at : at + shares[shard, k]]]
             at += int(shares[shard, k])
     return out
 
 
-def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, shards: int = 16, blocks: int = 512, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
-    """The mixture ``(shard, place, source, copy, doc_id, tokens)`` and the plan it follows.
+def outcome_of(plans: list[dict], dealt: list[dict]) -> list[str]:
+    """For each row of the plan: ``cut`` if the shards got what it wants in one pass, ``repeated`` in several, else ``short``, also without any document."""
+    got, passes = [Fraction(0)] * len(plans), [0] * len(plans)
+    for u in dealt:
+        got[u["plan"]] += u["take"]
+        passes[u["plan"]] = max(passes[u["plan"]], u["copy"] + 1)
+    return ["short" if g < Fraction(p["wanted"]) or not p["known"] else "cut" if n <= 1 else "repeated" for p, g, n in zip(plans, got, passes)]
+
 
-    A document is used as a whole. Only in the one block of a source that is used in part are documents ordered by a hash and
-    taken while their running sum stays within what is missing, so a source falls short of its share by less than a document.
+def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
+    """The mixture ``(shard, place, source, copy, doc_id, tokens)`` and the plan it follows, with each row's outcome.
+
+    A document is used as a whole, and its tokens are counted once. The one block of a source that is used in part is cut into
+    ``blocks`` smaller ones; only in the last of these, a blocks x blocks-th part of the source, are documents ordered by a
+    hash and taken while their running sum stays within what is missing, so a source falls short of its share by less than a document.
     Documents with null or other sources take no part; empty or null texts have no tokens and ride along in their block;
     equal rows are rows of their own; other columns of ``documents`` are ignored. ``place`` is a random key within a shard.
     """
-    sums = block_sums(documents, targets, blocks, seed)
-    listed: dict[str, list[tuple[int, int]]] = {}
-    for r in sums.collect():  # at most len(targets) * blocks rows
-        listed.setdefault(r.source, []).append((r.block, r.tokens))
-    local = spark.createDataFrame(
-        [(s, b, t, 1) for s, x in listed.items() for b, t in x], "source string, block int, tokens long, documents long"
-    )
-    plans = plan(local, targets)
-    uses = spark.createDataFrame(deal(listed, plans, shards, seed), "source string, copy int, block int, shard int, keep double")
-    sized = documents.select("doc_id", "source", block_of(blocks, seed).alias("block"), token_count().alias("tokens"))
-    used = sized.join(F.broadcast(uses), ["source", "block"])  # bounded by len(targets) * blocks * max_repeats rows
-    order = F.xxhash64(F.lit(seed + 1), "doc_id")
-    within = Window.partitionBy("source", "copy", "block").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = used.where("keep is not null").withColumn("run", F.sum("tokens").over(within)).where("run <= keep").drop("run")
+    docs = cut_lineage(sized(documents, targets, blocks, seed))  # read several times; the rows hold no text
+    listed = block_sums(docs)
+    plans = plan(listed, targets)
+    dealt = deal(listed, plans, shards, seed)
+    for p, outcome in zip(plans, outcome_of(plans, dealt)):
+        p["outcome"] = outcome
+    partly = [u for u in dealt if not u["all"]]  # at most one for each row of the plan
+    columns = "plan int, source string, copy int, block int, shard int, keep double"
+    row = lambda u, block, keep: (u["plan"], u["source"], u["copy"], block, u["shard"], keep)
+    whole = spark.createDataFrame([row(u, u["block"], None) for u in dealt if u["all"]], columns)
+    used = docs.join(F.broadcast(whole), ["source", "block"])  # bounded by len(targets) * blocks * max_repeats rows
+    small = block_of(blocks, seed + 3)
+    pieces = docs.join(F.broadcast(spark.createDataFrame([row(u, u["block"], None)[:5] for u in partly], columns.rsplit(",", 1)[0])), ["source", "block"])  # a row for each row of the plan
+    sums: dict[int, list] = {}
+    for r in pieces.groupBy("plan", small.alias("small")).agg(F.sum("tokens").alias("tokens")).collect():  # at most len(targets) * blocks rows
+        sums.setdefault(r["plan"], []).append((r.small, r.tokens))
+    parts = []
+    for u in partly:
+        rest = u["take"]
+        for b, t in sorted(sums.get(u["plan"], [])):
+            if rest <= 0:
+                break
+            parts.append((u["plan"], b, None if t <= rest else float(rest)))
+            rest -= t
+    pieces = pieces.withColumn("small", small).join(F.broadcast(spark.createDataFrame(parts, "plan int, small int, keep double")), ["plan", "small"])  # bounded by len(targets) * blocks rows
+    within = Window.partitionBy("plan", "small").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = pieces.where("keep is not null").withColumn("run", F.sum("tokens").over(within)).where("run <= keep")
     place = F.xxhash64(F.lit(seed + 2), "copy", "doc_id").alias("place")
-    rows = used.where("keep is null").unionByName(part).select("shard", place, "source", "copy", "doc_id", "tokens")
-    return rows, plans
+    pick = lambda df: df.select("shard", place, "source", "copy", "doc_id", "tokens")
+    return pick(used).unionByName(pick(pieces.where("keep is null"))).unionByName(pick(last)), plans
 
 
-def shuffled(rows: DataFrame, shards: int) -> DataFrame:
-    """The mixture in its final order: whole shards, shuffled within."""
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+def shuffled(rows: DataFrame) -> DataFrame:
+    """The mixture in its final order: shard after shard, each in the order of its places.
+
+    Rows are spread by ranges of both, so a large shard is sorted by several tasks and their files follow one another.
+    """
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "doc_id")
 
 
-def outcomes(spark: SparkSession, documents: DataFrame, targets: DataFrame, blocks: int = 512) -> DataFrame:
-    """``(source, outcome)`` of the plan that :func:`mix` carries out."""
-    rows = plan(block_sums(documents, targets, blocks), targets)
-    return spark.createDataFrame([(r["source"], r["outcome"]) for r in rows], "source string, outcome string")
+def outcomes(spark: SparkSession, documents: DataFrame, targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """``(source, outcome)``: what the blocks that :func:`mix` deals to the shards amount to."""
+    listed = block_sums(sized(documents, targets, blocks, seed))
+    plans = plan(listed, targets)
+    found = outcome_of(plans, deal(listed, plans, shards, seed))
+    return spark.createDataFrame([(p["source"], o) for p, o in zip(plans, found)], "source string, outcome string")
 
 
-def shares(spark: SparkSession, documents: DataFrame, targets: DataFrame, shards: int = 16) -> DataFrame:
+def shares(spark: SparkSession, documents: DataFrame, targets: DataFrame, shards: int = SHARDS) -> DataFrame:
     """What :func:`mix` reaches: tokens and share of each source, and over how many shards they lie."""
     rows, plans = mix(spark, documents, targets, shards)
     got = rows.groupBy("source").agg(F.sum("tokens").alias("got"), F.count_distinct("shard").alias("in_shards"), F.max("copy").alias("last_copy"))

@@ -120,7 +120,7 @@ def p7_shares(spark, folder):
 @query
 def p7_mixture(spark, folder):
     rows, _ = mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_target"))
-    return mixing.shuffled(rows, 16)
+    return mixing.shuffled(rows)
 
 
 @query

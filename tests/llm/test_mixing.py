@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm.mixing import mix, outcomes, plan, shares, shuffled, split_quotas, token_count
+from folioflow.llm import mixing
+from folioflow.llm.mixing import deal, mix, outcome_of, outcomes, plan, shares, shuffled, split_quotas, token_count
 
 TARGETS = "source string, weight double, max_repeats int"
 
@@ -53,8 +54,8 @@ def test_mixture_repeats_no_document_within_a_pass(spark, documents, targets):
     assert most["big"] == 1 and most["mid"] <= 3 and most["small"] <= 50
     again, _ = mix(spark, documents.repartition(7), targets, shards=4)
     assert rows.exceptAll(again).count() == 0 == again.exceptAll(rows).count()
-    laid = shuffled(rows, 4).withColumn("part", F.spark_partition_id())
-    assert laid.groupBy("shard").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+    laid = shuffled(rows).select("shard", "place", "doc_id", F.spark_partition_id().alias("part")).collect()
+    assert laid == sorted(laid, key=lambda r: (r.part, r.shard, r.place, r.doc_id)) == sorted(laid, key=lambda r: (r.shard, r.place, r.doc_id))
 
 
 def test_cases_at_the_edge(spark, documents, targets):
@@ -63,6 +64,25 @@ def test_cases_at_the_edge(spark, documents, targets):
     assert mix(spark, empty, targets)[0].count() == 0 and mix(spark, documents, targets.where("false"))[0].count() == 0
     odd = spark.createDataFrame([("big", None, None), ("big", 0.1, 1), (None, 0.5, 1)], TARGETS)
     assert [r.outcome for r in outcomes(spark, documents, odd).collect()] == ["cut", "cut", "short"]
-    sums = spark.createDataFrame([("s", 0, 100, 5)], "source string, block int, tokens long, documents long")
-    one = lambda w, m: plan(sums, spark.createDataFrame([("s", w, m)], TARGETS))[0]["outcome"]
-    assert (one(1.0, 1), one(1.01, 2), one(2.01, 2)) == ("cut", "repeated", "short")
+    listed = {"s": [(0, 60), (3, 40)]}
+
+    def one(weight, most):
+        plans = plan(listed, spark.createDataFrame([("s", weight, most)], TARGETS))
+        return outcome_of(plans, deal(listed, plans, 3, 1))[0]
+
+    assert (one(1.0, 1), one(1.01, 2), one(2.0, 2), one(2.01, 2), one(0.1, 1), one(3.0, 3)) == ("cut", "repeated", "repeated", "short", "cut", "repeated")
+
+
+def test_what_is_dealt_decides(spark, documents, targets, monkeypatch):
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, rng: np.zeros((shards, len(quotas)), dtype=np.int64))  # the tree deals nothing
+    assert {r.outcome for r in outcomes(spark, documents, targets).collect()} == {"short"}
+
+
+def test_dealt_blocks_are_whole_and_disjoint():
+    rng = np.random.default_rng(3)
+    listed = {s: [(b, int(rng.integers(1, 90))) for b in range(40)] for s in "xyz"}
+    plans = [{"source": s, "wanted": w, "most": m, "known": True} for s, w, m in (("x", 700.5, 1), ("y", 4_000.0, 5), ("z", 90_000.0, 2))]
+    dealt = deal(listed, plans, 7, 5)
+    assert len({(u["plan"], u["copy"], u["block"]) for u in dealt}) == len(dealt)
+    assert sum(u["take"] for u in dealt if u["plan"] == 0) == 700.5 and sum(u["take"] for u in dealt if u["plan"] == 1) == 4_000
+    assert sum(not u["all"] for u in dealt) <= 2 and outcome_of(plans, dealt) == ["cut", "repeated", "short"]
