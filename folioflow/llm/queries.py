@@ -82,7 +82,12 @@ def _attempts(spark, folder):
 
 @query
 def p5_found(spark, folder):
-    return repetition.judged(_attempts(spark, folder), "run_id").where("repeats").select("issue_key")
+    return repetition.with_shares(_attempts(spark, folder)).where("repeats").select("issue_key")
+
+
+@query
+def p5_texts(spark, folder):
+    return repetition.judged(_attempts(spark, folder), "run_id")
 
 
 @query
