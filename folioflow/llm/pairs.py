@@ -2,8 +2,10 @@
 
 A proposal is compressed with its original as a zstandard dictionary: a copy shrinks to almost nothing, a translation does not.
 Dictionaries of function words and of refusals tell the language of a proposal and refusals. Truncation is told by a model of
-the terminal context: how long proposals of an original's length are, by direction, and whether they end as the original ends;
-its statistics are summed over all pairs.
+the terminal context, learned from all pairs: how long proposals of an original's length are, by direction, and how often whole
+and truncated ones lose the mark that the original ends with. A pair is truncated if that is the likelier way to its length and end.
+
+Python sees each pair once, where it lies. What it returns holds no text, and only that is joined with jobs and issues.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import map_batches
+from folioflow.llm.arrow import cut_lineage, map_batches
 
 COPY = 0.46  # compressed size with the original to size without; translations stay above 0.5
-TRUNCATED, SLACK, NO_END = 0.74, 1.1, 0.08  # length against the expected length; less for short texts, more without an end
+MISSING = 0.25  # the part of the original that at least has no counterpart in a truncated proposal
+SMOOTH = 50  # pairs of its direction that a length's statistics are smoothed with
 
 #: Function words of languages that proposals may come in. Fixed values.
 FUNCTION_WORDS = {
@@ -148,48 +151,93 @@ def is_copy(original: str, proposal: str) -> bool:
     return len(proposal) > 1.25 * len(original) and len(original) >= 24 and shrinks_to(proposal, original) < COPY
 
 
-def defect(original: str | None, proposal: str | None, target: str | None, expected: float, retained: bool) -> str | None:
-    """The defect of a pair, or None. ``expected`` is the usual length of a proposal to a letter of the original."""
+#: Languages that a proposal can be told to be not in, in the order of the bits of ``wrong``.
+TARGETS = tuple(FUNCTION_WORDS)
+
+
+def not_in(bare: str, low: list[str]) -> int:
+    """A bit for each of TARGETS that a proposal is not written in."""
+    if not bare.isascii() and OTHER.search(bare) and len(OTHER.findall(bare)) > len(LATIN.findall(bare)):
+        return (1 << len(TARGETS)) - 1
+    votes = languages(low)
+    top = sorted(votes.items(), key=lambda v: -v[1])[:2]
+    if not top or top[0][1] < 1.5:
+        return 0
+    out = 0
+    for k, target in enumerate(TARGETS):
+        best = max((v for lang, v in top if lang != target), default=0.0)
+        out |= (best >= 1.5 and best > 1.6 * votes.get(target, 0.0) + 0.4) << k
+    return out
+
+
+def looked_at(original: str | None, proposal: str | None) -> tuple[str | None, int, int, int, bool]:
+    """(a defect that the pair alone shows, bits of the languages it is not in, lengths of original and proposal, whether its end was lost).
+
+    Without a word of natural language in the original only emptiness and refusals can be told, and the length is 0.
+    """
     original, proposal = original or "", (proposal or "").replace("\ufeff", "").replace("\u200b", "").strip()
     if not proposal:
-        return "empty"
+        return "empty", 0, 0, 0, False
     bare = TAGS.sub(" ", proposal) if "<" in proposal or "&" in proposal else proposal
     words = WORDS.findall(bare)
     has_words = natural(original)
-    if has_words and (not words or len(proposal) < 60 and NOTES.match(bare) and not NOTES.match(original.strip())):
-        return "empty"
+    if has_words and (not words or NOTES.match(bare) and not NOTES.match(original.strip())):
+        return "empty", 0, 0, 0, False
     if not has_words and original.strip() and not re.search(r"\w", proposal) and re.search(r"\w", original):
-        return "empty"
+        return "empty", 0, 0, 0, False
     if has_words and is_copy(original, proposal):
-        return "retained" if retained else "copied"
+        return "copied", 0, 0, 0, False
     low = [w.lower() for w in words]
     if not TRIGGERS.isdisjoint(low) and REFUSALS.search(proposal.replace("\n", " ")) and not REFUSALS.search(original.replace("\n", " ")):
-        return "refusal"
+        return "refusal", 0, 0, 0, False
     if not has_words:
-        return None
-    if target:
-        if not bare.isascii() and OTHER.search(bare) and len(OTHER.findall(bare)) > len(LATIN.findall(bare)):
-            if target in FUNCTION_WORDS:
-                return "wrong_language"
-        elif target in FUNCTION_WORDS:
-            votes = languages(low)
-            own = votes.get(target, 0.0)
-            best = max((v for k, v in votes.items() if k != target), default=0.0)
-            if best >= 1.5 and best > 1.6 * own + 0.4:
-                return "wrong_language"
-    left, got = len(original.strip()), len(proposal)
-    ratio = got / (left * expected) if left else 1.0
-    least = TRUNCATED - SLACK / math.sqrt(left) if left else 0.0  # short texts differ more
-    no_end = bool(END.search(original)) and not END.search(proposal) or bool(CUT.search(proposal)) and not CUT.search(original.strip())
-    if ratio < least + NO_END * no_end:
-        return "truncated"
-    return None
-
-
-def directions(lengths: DataFrame) -> dict[str | None, float]:
-    """By target language, the usual length of a proposal to a letter of its original: the median over all ``(target_lang, left, got)``."""
-    usual = lengths.groupBy("target_lang").agg(F.percentile_approx(F.col("got") / F.col("left"), 0.5, 1_000).alias("usual"))
-    return {r.target_lang: r.usual for r in usual.collect()}  # a row a language
+        return None, 0, 0, 0, False
+    lost = bool(END.search(original)) and not END.search(proposal) or bool(CUT.search(proposal)) and not CUT.search(original.strip())
+    return None, not_in(bare, low), len(original.strip()), len(proposal), lost
+
+
+def terminal_contexts(pairs: DataFrame) -> DataFrame:
+    """The model of whole and truncated proposals: a row for each target language and length (in powers of two) of the originals.
+
+    ``pairs`` are ``(target_lang, left, got, lost)``. Whole proposals have a logarithm of the ratio of lengths that is normal, around
+    ``usual`` and within ``spread``, estimated from the median and lower and middle quantiles and smoothed with their language; truncated
+    ones are spread evenly. What lies far below the normal counts for how often there are truncated ones (``rare``) and how often they
+    lose their end (``cut_lost``), and what lies above the median for how often whole ones do (``whole_lost``).
+    """
+    spark = pairs.sparkSession
+    ratio = F.log(F.col("got") / F.col("left"))
+    known = pairs.where("left > 0 and got > 0").select(F.coalesce("target_lang", F.lit("")).alias("lang"), _size().alias("size"), ratio.alias("ratio"), "lost")
+    quantiles = known.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("ratio", [0.1, 0.25, 0.5, 0.75], 1_000).alias("q")).collect()  # languages x powers of two
+    rows = []
+    for lang in {r.lang for r in quantiles}:
+        mine = [(r["size"], r.n, r.q[2], max((r.q[3] - r.q[1]) / 1.349, (r.q[2] - r.q[0]) / 1.2816)) for r in quantiles if r.lang == lang]
+        n = sum(m[1] for m in mine)
+        usual, spread = sum(m[1] * m[2] for m in mine) / n, math.sqrt(sum(m[1] * m[3] ** 2 for m in mine) / n)
+        for size, k, u, s in mine:
+            rows.append((lang, size, (k * u + SMOOTH * usual) / (k + SMOOTH), max(0.02, math.sqrt((k * s * s + SMOOTH * spread**2) / (k + SMOOTH)))))
+    normal = F.broadcast(spark.createDataFrame(rows, "lang string, size int, usual double, spread double"))
+    far, upper = F.col("ratio") < F.col("usual") - 5 * F.col("spread"), F.col("ratio") >= F.col("usual")
+    smooth = lambda part, all_: (part + 0.5) / (all_ + 1)
+    ends = known.join(normal, ["lang", "size"]).groupBy("lang").agg(
+        smooth(F.count_if(far), F.count(F.lit(1))).alias("rare"), smooth(F.count_if(far & F.col("lost")), F.count_if(far)).alias("cut_lost"),
+        smooth(F.count_if(upper & F.col("lost")), F.count_if(upper)).alias("whole_lost"),
+    ).collect()  # a row a language
+    by = {r.lang: r for r in ends}
+    columns = "lang string, size int, usual double, spread double, rare double, cut_lost double, whole_lost double"
+    return spark.createDataFrame([(*r, by[r[0]].rare, by[r[0]].cut_lost, by[r[0]].whole_lost) for r in rows], columns)
+
+
+def _size():
+    return F.floor(F.log2("left")).cast("int")
+
+
+def _truncated():
+    """Whether to be truncated is the likelier way to a pair's ratio of lengths and end."""
+    beyond = F.log(F.col("got") / F.col("left")) - F.col("usual")
+    end = lambda p: F.log(F.when(F.col("lost"), F.col(p)).otherwise(1 - F.col(p)))
+    cut = F.log("rare") + beyond - math.log(1 - MISSING) + end("cut_lost")
+    whole = F.log(1 - F.col("rare")) - F.log(F.col("spread") * math.sqrt(2 * math.pi)) - F.pow(beyond / F.col("spread"), 2) / 2 + end("whole_lost")
+    return F.coalesce((beyond < math.log(1 - MISSING)) & (cut > whole), F.lit(False))
 
 
 def defects(blocks: DataFrame, jobs: DataFrame, issues: DataFrame) -> DataFrame:
@@ -199,29 +247,29 @@ def defects(blocks: DataFrame, jobs: DataFrame, issues: DataFrame) -> DataFrame:
     null or blank proposal is ``empty`` whatever the original; a null original counts as one without words; blocks without a job
     or a target language are in no wrong one. A block that was delivered twice comes out once. Extra columns are ignored.
 
-    Only what is a copy is looked up among the issues, so their join moves few rows and no text.
+    The rows that meet jobs hold no text, so a job with a third of all blocks is a partition that AQE splits; what is defective
+    is about a tenth, and only that meets the issues and is made distinct.
     """
-    jobs = jobs.where("job_id is not null").groupBy("job_id").agg(F.min("target_lang").alias("target_lang"))
-    usual = directions(
-        blocks.select("job_id", F.length("original").alias("left"), F.length(F.trim("proposal")).alias("got")).where("left >= 40 and got > 0").join(jobs, "job_id", "left")
-    )
-    pairs = blocks.select("block_key", "job_id", "id", "original", "proposal").join(jobs, "job_id", "left")
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            out = {"block_key": [], "job_id": [], "id": [], "defect": []}
-            for key, job, id_, o, p, lang in zip(*(batch.column(c).to_pylist() for c in ("block_key", "job_id", "id", "original", "proposal", "target_lang"))):
-                d = defect(o, p, lang, usual.get(lang) or 1.0, False)
-                if d:
-                    out["block_key"].append(key)
-                    out["job_id"].append(job)
-                    out["id"].append(id_)
-                    out["defect"].append(d)
-            return out
+            found = [looked_at(o, p) for o, p in zip(batch.column("original").to_pylist(), batch.column("proposal").to_pylist())]
+            return {k: batch.column(k) for k in ("block_key", "job_id", "id")} | {k: [f[i] for f in found] for i, k in enumerate(("shown", "wrong", "left", "got", "lost"))}
 
         return work
 
-    found = map_batches(pairs, "block_key long, job_id string, id string, defect string", make).dropDuplicates(["block_key"])
-    kept = issues.select("job_id", "id").distinct().withColumn("kept", F.lit(True))
-    retained = found.where("defect = 'copied'").join(kept, ["job_id", "id"], "left").select("block_key", F.when(F.col("kept"), "retained").otherwise("copied").alias("defect"))
-    return found.where("defect <> 'copied'").select("block_key", "defect").unionByName(retained)
+    seen = map_batches(
+        blocks.select("block_key", "job_id", "id", "original", "proposal"), "block_key long, job_id string, id string, shown string, wrong int, left int, got int, lost boolean", make
+    )
+    jobs = jobs.where("job_id is not null").groupBy("job_id").agg(F.min("target_lang").alias("target_lang"))
+    known = cut_lineage(seen.join(jobs, "job_id", "left"))
+    bit = F.create_map(*(F.lit(x) for k, t in enumerate(TARGETS) for x in (t, 1 << k)))
+    model = F.broadcast(terminal_contexts(known).withColumnRenamed("lang", "_lang").withColumnRenamed("size", "_size"))  # languages x powers of two
+    judged = known.join(model, (F.coalesce("target_lang", F.lit("")) == F.col("_lang")) & (_size() == F.col("_size")), "left").select(
+        "block_key", "job_id", "id",
+        F.when(F.col("shown").isNotNull(), F.col("shown")).when(F.col("wrong").bitwiseAND(bit[F.col("target_lang")]) != 0, "wrong_language")
+        .when((F.col("left") > 0) & _truncated(), "truncated").alias("defect"),
+    ).where("defect is not null").dropDuplicates(["block_key"])
+    kept = issues.select("job_id", "id").distinct().withColumn("kept", F.lit("retained"))
+    retained = F.when(F.col("defect") == "copied", F.coalesce("kept", "defect")).otherwise(F.col("defect"))
+    return judged.join(kept, ["job_id", "id"], "left").select("block_key", retained.alias("defect"))
