@@ -8,10 +8,10 @@ one pair of texts is a pure function, run over Arrow batches; what relates pairs
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,48 +105,115 @@ def subtract(span: Range, cuts: list[Range]) -> list[Range]:
     return [*out, (at, span[1])] if at < span[1] else out
 
 
+class Painted:
+    """An alignment painted on its two texts: every character bears the number of its link or loose range, or -1.
+
+    ``kinds`` says for each number whether it is a ``link``, or source that is ``unaligned`` or ``ambiguous``. What is painted later covers
+    what was there. Questions about ranges become questions about which numbers occur where, so the order of links is of no account.
+    """
+
+    def __init__(self, a: dict):
+        self.texts = (a["source"], a["target"])
+        self.numbers = tuple(np.full(len(t), -1, dtype=np.int64) for t in self.texts)
+        self.visible = tuple(np.fromiter((not c.isspace() for c in t), dtype=bool, count=len(t)) for t in self.texts)
+        self.kinds: list[str] = []
+        self.drawn: list[tuple[list[Range], list[Range]]] = []
+        for left, right in a["links"]:
+            self.draw("link", left, right)
+        for kind in ("unaligned", "ambiguous"):
+            for r in a[kind]:
+                self.draw(kind, [r], [])
+
+    def draw(self, kind: str, left: list[Range], right: list[Range]) -> None:
+        for numbers, ranges in zip(self.numbers, (left, right)):
+            for s, e in ranges:
+                numbers[s:e] = len(self.kinds)
+        self.kinds.append(kind)
+        self.drawn.append((list(left), list(right)))
+
+    def within(self, *spans: Range | None) -> set[int]:
+        """Numbers that occur in a span of the source, and of the target if there is one."""
+        return {int(k) for numbers, span in zip(self.numbers, spans) if span for k in np.unique(numbers[span[0] : span[1]]) if k >= 0}
+
+    def links(self, numbers: set[int]) -> list[int]:
+        return [k for k in numbers if self.kinds[k] == "link"]
+
+    def loosen(self, links: list[int]) -> None:
+        """Links become ambiguous source, and their target is free."""
+        for k in links:
+            self.kinds[k] = "gone"
+            self.numbers[1][self.numbers[1] == k] = -1
+            for r in self.drawn[k][0]:
+                self.draw("ambiguous", [r], [])
+
+    def enclosed(self, links: list[int], spans: tuple[Range, Range]) -> bool:
+        """Whether links lie in a pair of spans with all their characters."""
+        return all(np.isin(n, links).sum() == np.isin(n[s:e], links).sum() for n, (s, e) in zip(self.numbers, spans))
+
+    def stretches(self, side: int, chosen: np.ndarray, over_space: bool = False) -> list[Range]:
+        """The runs of chosen characters of one number, or, over white space, of chosen characters with nothing visible between them."""
+        numbers, visible = np.where(chosen, self.numbers[side], -1), self.visible[side]
+        if over_space:
+            at = np.flatnonzero(chosen)
+            new = np.diff(np.cumsum(visible & ~chosen)[at], prepend=-1) != 0
+            return [(int(at[x[0]]), int(at[x[-1]]) + 1) for x in np.split(np.arange(len(at)), np.flatnonzero(new)[1:]) if len(x)]
+        edges = np.flatnonzero(np.diff(numbers, prepend=-1, append=-1))
+        return [(int(s), int(e)) for s, e in zip(edges, edges[1:]) if numbers[s] >= 0]
+
+    def plain(self) -> tuple[list, list[Range], list[Range]]:
+        """(links, unaligned, ambiguous) as ranges again."""
+        runs: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for side in (0, 1):
+            for r in self.stretches(side, self.numbers[side] >= 0):
+                runs[side][int(self.numbers[side][r[0]])].append(r)
+        of = lambda kind: sorted(r for k, rs in runs[0].items() if self.kinds[k] == kind for r in rs)
+        return sorted((runs[0][k], runs[1][k]) for k in list(runs[0]) if self.kinds[k] == "link"), of("unaligned"), of("ambiguous")
+
+
 def anchored(a: dict, tokens: list[str], prefix: str) -> dict:
     """The alignment with exact links between registered markers; a link that touches a marker becomes ambiguous as a whole."""
-    pattern = re.compile(re.escape(prefix) + r"X[0-9]+Z")
-    if not prefix or len(set(tokens)) != len(tokens) or not all(pattern.fullmatch(t) for t in tokens):
+    marker = re.compile(re.escape(prefix) + r"X[0-9]+Z")
+    if not prefix or len(set(tokens)) < len(tokens) or any(marker.fullmatch(t) is None for t in tokens):
         raise AlignmentError("the registered markers are not distinct markers of their namespace")
-    places: list[dict[str, Range]] = []
-    for side in ("source", "target"):
-        hits = list(pattern.finditer(a[side]))
-        if Counter(m[0] for m in hits) != Counter(tokens):
+    hits = {side: {m.span(): m[0] for m in marker.finditer(a[side])} for side in ("source", "target")}
+    for side, found in hits.items():
+        if sorted(found.values()) != sorted(tokens):
             raise AlignmentError(f"missing, duplicate or unexpected marker in the {side}")
-        if prefix.lower() in pattern.sub("", a[side]).lower():
+        if a[side].lower().count(prefix.lower()) > len(found):
             raise AlignmentError(f"damaged marker in the {side}")
-        places.append({m[0]: m.span() for m in hits})
-    cuts = [sorted(p.values()) for p in places]
-    touches = lambda link: any(meet(r, c) for side in (0, 1) for r in link[side] for c in cuts[side])
-    kept = [link for link in a["links"] if not touches(link)]
-    loose = [p for link in a["links"] if touches(link) for r in link[0] for p in subtract(r, cuts[0])]
-    links = [*kept, *(([places[0][t]], [places[1][t]]) for t in tokens)]
-    return a | {
-        "links": sorted(links, key=lambda link: link[0][0]),
-        "unaligned": [p for r in a["unaligned"] for p in subtract(r, cuts[0])],
-        "ambiguous": sorted([*(p for r in a["ambiguous"] for p in subtract(r, cuts[0])), *loose]),
-    }
-
-
-def evidence(a: dict, scope: Range) -> tuple[list, list[Range]]:
-    """Links and unresolved ranges for a scope, with units that lie fully inside in place of the word links in them."""
-
-    def whole(unit) -> bool:
-        near = [k for k in a["links"] if any(meet(r, unit[0]) for r in k[0]) or any(meet(r, unit[1]) for r in k[1])]
-        return all(unit[side][0] <= r[0] and r[1] <= unit[side][1] for k in near for side in (0, 1) for r in k[side])
-
-    units = [u for u in a["units"] if scope[0] <= u[0][0] and u[0][1] <= scope[1] and whole(u)]
-    links = [k for k in a["links"] if not any(meet(r, u[0]) for r in k[0] for u in units)] + [([u[0]], [u[1]]) for u in units]
-    cuts = sorted(u[0] for u in units)
-    unresolved = []
-    for r in (*a["unaligned"], *a["ambiguous"]):
-        for s, e in subtract(r, cuts):
-            text = a["source"][s:e]
-            if text.strip():
-                unresolved.append((s + len(text) - len(text.lstrip()), s + len(text.rstrip())))
-    return links, unresolved
+    painted = Painted(a)
+    there = {name: span for span, name in hits["target"].items()}
+    pairs = [(span, there[name]) for span, name in hits["source"].items()]
+    painted.loosen(painted.links(set().union(*(painted.within(*p) for p in pairs))))
+    for left, right in pairs:
+        painted.draw("link", [left], [right])
+    links, unaligned, ambiguous = painted.plain()
+    return a | {"links": links, "unaligned": unaligned, "ambiguous": ambiguous}
+
+
+def _with_units(a: dict, scope: Range) -> Painted:
+    """The painted alignment with units in place of the words in them, where a unit lies in the scope and no link leaves it."""
+    painted = Painted(a)
+    inside = [u for u in a["units"] if scope[0] <= u[0][0] <= u[0][1] <= scope[1]]
+    for left, right in [u for u in inside if painted.enclosed(painted.links(painted.within(*u)), u)]:
+        painted.draw("link", [left], [right])
+    return painted
+
+
+def _projected(painted: Painted, scope: Range) -> tuple[str | None, list[Range]]:
+    """(why a scope cannot be carried over, source ranges), or (None, its target ranges, joined over white space)."""
+    source, target = painted.numbers
+    here = np.zeros(len(source), dtype=bool)
+    here[scope[0] : scope[1]] = True
+    loose = np.isin(source, [k for k in painted.within(scope) if painted.kinds[k] != "link"]) & here
+    doubtful = [(s + int(seen[0]), s + int(seen[-1]) + 1) for s, e in painted.stretches(0, loose) if len(seen := np.flatnonzero(painted.visible[0][s:e]))]
+    if doubtful:
+        return "unresolved_source", doubtful
+    mine = painted.links(painted.within(scope))
+    if (np.isin(source, mine) & ~here).any():
+        return "crossing_source_boundary", sorted({r for k in mine for r in painted.drawn[k][0]})
+    chosen = np.isin(target, mine)
+    return (None, painted.stretches(1, chosen, over_space=True)) if chosen.any() else ("no_target", [scope])
 
 
 def project(a: dict, scopes: list[dict], complete_segment: bool = False) -> tuple[list[dict], list[dict]]:
@@ -155,49 +222,40 @@ def project(a: dict, scopes: list[dict], complete_segment: bool = False) -> tupl
     A scope over unresolved or crossing source text is dropped. Target ranges join over white space; several that remain split a
     style and stretch a link. Links that meet in the target are all dropped, whatever their order.
     """
-    if len({s["id"] for s in scopes}) != len(scopes):
+    if len({s["id"] for s in scopes}) < len(scopes):
         raise AlignmentError("the scopes' ids are not distinct")
-    projected, issues = [], []
-    source, target = a["source"], a["target"]
+    if any(s["source"][1] > len(a["source"]) for s in scopes):
+        raise AlignmentError("a scope reaches beyond the source")
+    whole = Painted(a)
+    spread = tuple(np.flatnonzero(v) for v in whole.visible)
+    issue = lambda scope, action, reason, ranges=(): {"id": scope["id"], "action": action, "reason": reason, "ranges": list(ranges)}
+    kept: dict[str, list[Range]] = {}
+    noted: dict[str, dict] = {}
     for scope in scopes:
         s, e = scope["source"]
-        if e > len(source):
-            raise AlignmentError("a scope reaches beyond the source")
-        if complete_segment and target.strip() and source[s:e].strip() and not source[:s].strip() and not source[e:].strip():
-            projected.append(scope | {"targets": [(len(target) - len(target.lstrip()), len(target.rstrip()))]})
+        if complete_segment and len(spread[0]) and len(spread[1]) and s <= spread[0][0] and spread[0][-1] < e:
+            kept[scope["id"]] = [(int(spread[1][0]), int(spread[1][-1]) + 1)]
             continue
-        links, unresolved = evidence(a, (s, e))
-        mine = [k for k in links if any(meet(r, (s, e)) for r in k[0])]
-        doubtful = sorted({(max(s, r[0]), min(e, r[1])) for r in unresolved if meet(r, (s, e))})
-        touched = sorted({r for k in mine for r in k[0]})
-        if doubtful:
-            verdict = ("unresolved_source", doubtful)
-        elif any(r[0] < s or r[1] > e for r in touched):
-            verdict = ("crossing_source_boundary", touched)
-        elif not mine:
-            verdict = ("no_target", [(s, e)])
-        else:
-            runs: list[Range] = []
-            for r in sorted(r for k in mine for r in k[1]):
-                if runs and not target[runs[-1][1] : r[0]].strip():
-                    runs[-1] = (runs[-1][0], r[1])
-                else:
-                    runs.append(r)
-            if len(runs) > 1:
-                link = scope.get("link_target") is not None
-                issues.append({"id": scope["id"], "action": "expanded" if link else "split", "reason": "discontinuous_target", "ranges": []})
-                runs = [(runs[0][0], runs[-1][1])] if link else runs
-            projected.append(scope | {"targets": runs})
+        reason, ranges = _projected(_with_units(a, (s, e)) if a["units"] else whole, (s, e))
+        if reason:
+            noted[scope["id"]] = issue(scope, "dropped", reason, ranges)
             continue
-        issues.append({"id": scope["id"], "action": "dropped", "reason": verdict[0], "ranges": verdict[1]})
-    anchors = sorted((p["targets"][0], p["id"]) for p in projected if p.get("link_target") is not None)
-    clash: set[str] = set()
-    for k, (span, name) in enumerate(anchors):  # sorted by start, so only neighbours up to the span's end can meet it
-        for other, second in anchors[k + 1 : bisect_left(anchors, ((span[1], -1), ""))]:
-            if meet(span, other):
-                clash |= {name, second}
-    issues = [i for i in issues if i["id"] not in clash] + [{"id": p["id"], "action": "dropped", "reason": "overlapping_links", "ranges": []} for p in scopes if p["id"] in clash]
-    return [p for p in projected if p["id"] not in clash], issues
+        if len(ranges) > 1:
+            stretch = scope.get("link_target") is not None
+            noted[scope["id"]] = issue(scope, "expanded" if stretch else "split", "discontinuous_target")
+            ranges = [(ranges[0][0], ranges[-1][1])] if stretch else ranges
+        kept[scope["id"]] = ranges
+    layers = np.zeros(len(a["target"]) + 1, dtype=np.int64)  # links over each character
+    anchors = [s for s in scopes if s["id"] in kept and s.get("link_target") is not None]
+    for s in anchors:
+        layers[kept[s["id"]][0][0]] += 1
+        layers[kept[s["id"]][0][1]] -= 1
+    layers = np.cumsum(layers)
+    for s in anchors:
+        if layers[slice(*kept[s["id"]][0])].max() > 1:
+            del kept[s["id"]]
+            noted[s["id"]] = issue(s, "dropped", "overlapping_links")
+    return [s | {"targets": kept[s["id"]]} for s in scopes if s["id"] in kept], [noted[s["id"]] for s in scopes if s["id"] in noted]
 
 
 def diagnostic(issue: dict) -> str:
