@@ -6,9 +6,43 @@ batches of the task. Errors that concern one text come back as a reason beside a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-Backend = Callable[[list[str]], list[tuple[str, str | None]]]
+from collections.abc import Callable, Generator
+from typing import TypeVar
+
+Reply = tuple[str, str | None]
+Backend = Callable[[list[str]], list[Reply]]
+T = TypeVar("T")
+Steps = Generator[list[str], list[Reply], T]  # work on one text that asks for translations, gets the replies, and returns its result
+
+
+def together(work: list[Steps[T]]) -> Steps[list[T]]:
+    """Several pieces of work as one, which asks at a time for whatever all of them ask."""
+    results: list = [None] * len(work)
+    replies: dict[int, list[Reply] | None] = dict.fromkeys(range(len(work)))
+    while replies:
+        asked: dict[int, list[str]] = {}
+        for k, reply in replies.items():
+            try:
+                asked[k] = work[k].send(reply)
+            except StopIteration as done:
+                results[k] = done.value
+        out = iter((yield [t for some in asked.values() for t in some]) if asked else ())
+        replies = {k: [next(out) for _ in some] for k, some in asked.items()}
+    return results
+
+
+def answered(work: list[Steps[T]], backend: Backend) -> list[T]:
+    """The results of all the work; the backend is called once for whatever all of it asks at a time."""
+    steps = together(work)
+    replies: list[Reply] | None = None
+    try:
+        while True:
+            texts = steps.send(replies)
+            replies = backend(texts) if texts else []
+            if len(replies) != len(texts):
+                raise RuntimeError("a backend must reply to every text")
+    except StopIteration as done:
+        return done.value
 
 
 def echo() -> Backend:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,34 +30,39 @@ def sentence_parts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def split_text(text: str, fits: Callable[[str], bool]) -> list[tuple[str | None, str]]:
     """``(part, separator)`` such that every part fits; a word that does not fit alone comes as a separator only, with no part.
 
-    A text that does not fit is halved at the gap nearest to its middle, among those after a sentence if there are any.
+    A text that does not fit is halved at the gap nearest to its middle, among those after a sentence if there are any. Words and the
+    places of gaps are found once; halves are ranges of words, so no text is copied but what is tried.
     """
-    done: list[tuple[str | None, str]] = []
-    todo = [(text, "")]
-    while todo:
-        part, tail = todo.pop()
-        if fits(part):
-            done.append((part, tail))
-            continue
-        core = part.strip()
-        if not core:
-            done.append((None, part + tail))
-            continue
-        lead, end = part[: part.index(core[0])], part[len(part.rstrip()) :]
-        if lead:
-            done.append((None, lead))
-        gaps = [(m.start(), m.end()) for m in GAP.finditer(core)]
-        if lead or end:
-            todo.append((core, end + tail))
-            continue
-        if not gaps:
-            done.append((None, core + tail))
-            continue
-        after_sentences = [g for g in gaps if ENDING.search(core[: g[0]][-8:])]
-        a, b = min(after_sentences or gaps, key=lambda g: (abs(g[0] - len(core) / 2), g[0]))
-        todo.append((core[b:], tail))
-        todo.append((core[:a], core[a:b]))
-    return done
+    if fits(text):
+        return [(text, "")]
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    if not words:
+        return [(None, text)]
+    gaps = [e for _, e in words[:-1]]  # where gaps begin, in order
+    stops = [e for s, e in words[:-1] if ENDING.search(text, s, e)]
+
+    def near(places: list[int], first: int, last: int) -> int | None:
+        """The place nearest to the middle of words first..last, the earlier of equals."""
+        lo, hi = bisect_left(places, words[first][1]), bisect_left(places, words[last][1])
+        at = bisect_left(places, (words[first][0] + words[last][1]) / 2, lo, hi)
+        return min(places[max(at - 1, lo) : min(at + 1, hi)], key=lambda g: (abs(2 * g - words[first][0] - words[last][1]), g), default=None)
+
+    def halves(first: int, last: int) -> Iterator[tuple[int, int, bool]]:
+        whole = fits(text[words[first][0] : words[last][1]])
+        if whole or first == last:
+            yield first, last, whole
+            return
+        place = near(stops, first, last)
+        cut = bisect_left(gaps, near(gaps, first, last) if place is None else place)
+        yield from halves(first, cut)
+        yield from halves(cut + 1, last)
+
+    out = [(None, text[: words[0][0]])] if words[0][0] else []
+    for first, last, whole in halves(0, len(words) - 1):
+        s, e = words[first][0], words[last][1]
+        gap = text[e : words[last + 1][0] if last + 1 < len(words) else len(text)]
+        out.append((text[s:e], gap) if whole else (None, text[s:e] + gap))
+    return out
 
 
 def budget_chunks(df: DataFrame, keys: list[str], text: str, limit: int, unit: str = "chars") -> DataFrame:

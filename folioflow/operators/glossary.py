@@ -1,12 +1,13 @@
 """Glossaries: their checks, leftmost-longest matching of whole terms, and masking of terms around a translation.
 
-Two matchers give the same matches. A trie inside an Arrow function folds letters exactly and costs as much as the text is long,
+Two matchers give the same matches. An index inside an Arrow function folds letters exactly and costs as much as the text is long,
 whatever the glossary's size. For small ASCII glossaries one regular expression in the JVM does, without Python.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def glossary_errors(entries: DataFrame) -> DataFrame:
         .when((F.col("mode") != "keep") & blank("target"), "missing_target")
     )
     single = entries.select("source", problem.alias("error")).where("error is not null")
-    key = F.lower("source").alias("key")
+    key = F.udf(lambda t: None if t is None else "\0".join(map(fold, t)), "string", useArrow=True)("source").alias("key")
     twice = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source")).where("n > 1 and key is not null").select("source", F.lit("duplicate_source").alias("error"))
     return single.unionByName(twice)
 
@@ -48,45 +49,81 @@ def word_character(character: str) -> bool:
     return character == "_" or character.isalnum()
 
 
-class TermTrie:
+class _Folding(dict):
+    """A table for ``str.translate`` that gives each character one character; folds of several letters get one of the private use each."""
+
+    def __init__(self) -> None:
+        self.several: dict[str, str] = {}
+
+    def __missing__(self, code: int) -> str:
+        key = fold(chr(code))
+        self[code] = key if len(key) == 1 else self.several.setdefault(key, chr(0xF0000 + len(self.several)))
+        return self[code]
+
+
+_FOLDING = _Folding()
+
+
+def folded(text: str) -> str:
+    """A text as its terms are compared, with one character for each of its own. Good within one process only."""
+    return text.lower() if text.isascii() else text.translate(_FOLDING)
+
+
+class TermIndex:
     """Whole terms in a text, from left to right, the longest at each place, without overlaps.
 
-    Nodes are dictionaries from folded characters to nodes; the number of a term stands under the empty key. Places where a
-    term may start are found by one pattern of the first characters, so text without them costs next to nothing.
+    Folded terms are the keys of one dictionary, and their lengths stand under their first letters. Places where a term may start
+    are found by one pattern of the first characters, so text without them costs next to nothing; at such a place only the
+    lengths that occur are looked up, the longest first.
     """
 
+    HEAD = 3  # letters under which lengths are listed, fewer for shorter terms
+
     def __init__(self, terms: list[str]):
-        self.root: dict = {}
-        for number, term in enumerate(terms):
-            node = self.root
-            for key in term if term.isascii() and term.islower() else map(fold, term):
-                node = node.setdefault(key, {})
-            node[""] = number
-        first = "".join(re.escape(k[0]) for k in self.root if k)
+        keys = [folded(t) for t in terms]
+        self.numbers = dict(zip(keys, range(len(keys))))
+        if len(self.numbers) < len(keys):
+            raise ValueError("two terms of the glossary fold alike")
+        self.numbers.pop("", None)
+        lengths: dict[str, set[int]] = {}
+        for key in self.numbers:
+            lengths.setdefault(key[: self.HEAD], set()).add(len(key))
+        self.lengths = {head: sorted(found, reverse=True) for head, found in lengths.items()}
+        first = "".join(re.escape(c) for c in sorted({head[0] for head in lengths}))
         self.starts = re.compile(rf"(?<!\w)[{first}]") if first else None
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """``(start, end, number of the term)``"""
         if self.starts is None:
             return []
-        keys = text.casefold() if text.isascii() else [fold(c) for c in text]  # the casefold of ASCII keeps every place
-        low = keys if isinstance(keys, str) else "".join(k[0] for k in keys)
-        found, size, free, root = [], len(text), 0, self.root
+        low, size, free = folded(text), len(text), 0
+        odd, found = not text.isascii(), []
         for m in self.starts.finditer(low):
             at = m.start()
-            if at < free or at and not low.isascii() and word_character(text[at - 1]):
+            if at < free or odd and at and word_character(text[at - 1]):
                 continue
-            node, i, best, number = root, at, 0, -1
-            while i < size and (node := node.get(keys[i])) is not None:
-                i += 1
-                if "" in node and (i == size or not word_character(text[i])):
-                    best, number = i, node[""]
-            if best:
-                found.append((at, best, number))
-                free = best
+            for head in range(self.HEAD, 0, -1):
+                for length in self.lengths.get(low[at : at + head], ()):
+                    end = at + length
+                    if end <= size and (end == size or not word_character(text[end])) and (number := self.numbers.get(low[at:end])) is not None:
+                        found.append((at, end, number))
+                        free = end
+                        break
+                if free > at:
+                    break
         return found
 
 
+def for_languages(entries: DataFrame, source: str, target: str) -> DataFrame:
+    """The entries of a glossary of these languages; raises if it has others. Entries without languages are for any."""
+    columns = [(c, wanted) for c, wanted in (("source_lang", source), ("target_lang", target)) if c in entries.columns]
+    for column, wanted in columns:
+        other = entries.where(F.col(column) != wanted).select(column).first()
+        if other:
+            raise ValueError(f"the glossary's {column} is {other[0]}, not {wanted}")
+    return entries
+
+
 def collected(entries: DataFrame) -> list[tuple[str, str, str | None]]:
     """The entries on the driver, behind a check of their number."""
     rows = entries.select("source", "mode", "target").limit(MOST_TERMS + 1).collect()
@@ -96,14 +133,14 @@ def collected(entries: DataFrame) -> list[tuple[str, str, str | None]]:
 
 
 def matches(texts: DataFrame, keys: list[str], text: str, entries: DataFrame) -> DataFrame:
-    """``(keys, start_pos, end_pos, source, mode, target)`` of all matches, by the trie."""
+    """``(keys, start_pos, end_pos, source, mode, target)`` of all matches, by the index."""
     terms = collected(entries)
     fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), f"start_pos int, end_pos int, {SCHEMA}"])
 
     def make():
-        trie = TermTrie([t[0] for t in terms])
-        return lambda row: [(*(row[k] for k in keys), a, b, *terms[n]) for a, b, n in trie.find(row[text] or "")]
+        index = TermIndex([t[0] for t in terms])
+        return lambda row: [(*(row[k] for k in keys), a, b, *terms[n]) for a, b, n in index.find(row[text] or "")]
 
     return flat_map(texts.select(*keys, text), schema, make)
 
@@ -131,12 +168,22 @@ def rendered(original: str, mode: str, target: str | None, before: str) -> str:
     return f"{out} ({original})" if mode == "annotate" else out
 
 
+@dataclass
+class MaskedTerms:
+    """A text with its terms behind markers. ``send`` goes to the model; without it, the terms are all there is and ``text`` has their renderings."""
+
+    text: str
+    send: str | None
+    marker: re.Pattern | None = None
+    hits: list[tuple[str, str, str | None]] = field(default_factory=list)  # what stood there, mode and target
+
+
 class TermMask:
     """Masks terms before a translation and puts their renderings back, only if every marker came back once and unharmed."""
 
     def __init__(self, terms: list[tuple[str, str, str | None]], namespace: str = "DLG"):
         self.terms, self.namespace = terms, namespace
-        self.trie = TermTrie([t[0] for t in terms])
+        self.index = TermIndex([t[0] for t in terms])
 
     def prefix(self, text: str) -> str:
         import hashlib
@@ -148,23 +195,31 @@ class TermMask:
                 return p
             k += 1
 
-    def translate(self, text: str, backend) -> tuple[str, str | None]:
-        """(translation, reason for keeping the original or None)"""
-        hits = self.trie.find(text)
+    def masked(self, text: str) -> MaskedTerms:
+        found = self.index.find(text)
+        hits = [(text[a:b], *self.terms[n][1:]) for a, b, n in found]
+        between = [text[a:b] for a, b in zip([0, *(b for _, b, _ in found)], [*(a for a, _, _ in found), len(text)])]
         if not hits:
-            return backend(text), None
-        if len(hits) == 1 and text.strip() == text[hits[0][0] : hits[0][1]]:  # the whole segment is one term: no translation is needed
-            a, b, n = hits[0]
-            return text[:a] + rendered(text[a:b], *self.terms[n][1:], "") + text[b:], None
-        prefix, parts, at = self.prefix(text), [], 0
-        for i, (a, b, _) in enumerate(hits):
-            parts += [text[at:a], f"{prefix}X{i}Z"]
-            at = b
-        out = backend("".join([*parts, text[at:]]))
-        pattern = re.compile(re.escape(prefix) + "X([0-9]+)Z")
-        if sorted(map(int, pattern.findall(out))) != list(range(len(hits))):
-            return text, "Glossary protection failed; original segment retained"
-        if prefix.lower() in pattern.sub("", out).lower():
-            return text, "Unexpected glossary marker; original segment retained"
-        put = lambda m: rendered(text[hits[int(m[1])][0] : hits[int(m[1])][1]], *self.terms[hits[int(m[1])][2]][1:], out[: m.start()])
-        return pattern.sub(put, out), None
+            return MaskedTerms(text, text)
+        if len(hits) == 1 and not "".join(between).strip():  # the whole segment is one term: no translation is needed
+            return MaskedTerms(between[0] + rendered(*hits[0], "") + between[1], None)
+        prefix = self.prefix(text)
+        send = between[0] + "".join(f"{prefix}X{i}Z{rest}" for i, rest in enumerate(between[1:]))
+        return MaskedTerms(text, send, re.compile(re.escape(prefix) + "X([0-9]+)Z"), hits)
+
+    def filled(self, masked: MaskedTerms, out: str) -> tuple[str, str | None]:
+        """(the translation with the terms' renderings, None) or (the text as it was, why)."""
+        if not masked.hits:
+            return out, None
+        prose = masked.marker.split(out)
+        order, prose = [int(n) for n in prose[1::2]], prose[::2]
+        if sorted(order) != list(range(len(masked.hits))):
+            return masked.text, "Glossary protection failed; original segment retained"
+        namespace = masked.marker.pattern.split("X(")[0].lower()
+        if any(namespace in p.lower() for p in prose):
+            return masked.text, "Unexpected glossary marker; original segment retained"
+        whole = prose[0]
+        for k, (number, rest) in enumerate(zip(order, prose[1:])):
+            before = prose[k] if prose[k].strip() or not k else "term"  # a sentence starts with the text, or after the end of another
+            whole += rendered(*masked.hits[number], before) + rest
+        return whole, None

@@ -28,15 +28,15 @@ def allowed(opening: str, closing: str) -> bool:
 
 
 def crossing(items: list[Wrapped]) -> set[str]:
-    """Ids of items that meet another one without nesting; both sides of a conflict are named."""
-    spans = sorted((s, -e, i.id) for i in items for s, e in i.targets)
+    """Ids of items that meet another one without nesting, and of links that meet at all; both sides of a conflict are named."""
+    spans = sorted((s, -e, i.id, i.link) for i in items for s, e in i.targets)
     bad: set[str] = set()
-    open_: list[tuple[int, str]] = []
-    for s, minus_e, name in spans:
+    open_: list[tuple[int, str, bool]] = []
+    for s, minus_e, name, link in spans:
         e = -minus_e
-        open_ = [(end, other) for end, other in open_ if end > s]
-        bad |= {x for end, other in open_ if end < e for x in (name, other) if other != name}
-        open_.append((e, name))
+        open_ = [o for o in open_ if o[0] > s]
+        bad |= {x for end, other, linked in open_ if other != name and (end < e or link and linked) for x in (name, other)}
+        open_.append((e, name, link))
     return bad
 
 

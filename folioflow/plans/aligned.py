@@ -8,8 +8,8 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
-from folioflow.functions.arrow import flat_map
-from folioflow.functions.backends import Backend
+from folioflow.functions.arrow import flat_map_rows
+from folioflow.functions.backends import Backend, Steps, answered, together
 from folioflow.operators import alignment as al
 from folioflow.operators import markdown, odt
 from folioflow.operators import model_input as mi
@@ -30,28 +30,33 @@ def sentences(text: str) -> list[tuple[str, str]]:
     return [*out, (text[start:], "")] if start < len(text) else out
 
 
-def aligned_units(prepared: mi.ModelInput, backend: Backend, limit: int, aligner: Callable) -> dict:
-    """The alignment of a whole input from calls sentence by sentence; units that are only a marker bypass the model, and a call that fails stays unaligned."""
-    source, target, links, unaligned, units = "", "", [], [], []
-    for sentence, gap in sentences(prepared.text):
-        for part, separator in split_text(sentence, lambda s: len(s) <= limit):
-            words, a, b = part or "", len(source), len(target)
-            out = words
-            if words.strip() and words.strip() not in prepared.tokens:
-                (done, reason), = backend([words])
-                one = al.components(words, words if reason else done, [] if reason else aligner(words, done))
-                out = one["target"]
-                links += [([(s + a, e + a) for s, e in x], [(s + b, e + b) for s, e in y]) for x, y in one["links"]]
-                unaligned += [(s + a, e + a) for s, e in one["unaligned"]]
-                if not reason:
-                    units.append(((a, a + len(words)), (b, b + len(out))))
-            elif words.strip():
-                links.append(([(a, a + len(words))], [(b, b + len(words))]))
-            source += words + separator
-            target += out + separator
-        source += gap
-        target += gap
-    return {"source": source, "target": target, "links": links, "unaligned": unaligned, "ambiguous": [], "units": units}
+def aligned_units(prepared: mi.ModelInput, limit: int, aligner: Callable) -> Steps[tuple[dict, list[str]]]:
+    """(the alignment of a whole input from calls sentence by sentence, reasons of the calls that failed).
+
+    Units that are only a marker bypass the model, and what fails stays as it is and unaligned.
+    """
+    pieces = [(part or "", separator) for sentence, gap in sentences(prepared.text) for part, separator in [*split_text(sentence, lambda s: len(s) <= limit), (None, gap)]]
+    sent = [bool(words.strip()) and words.strip() not in prepared.tokens for words, _ in pieces]
+    replies = iter((yield [words for (words, _), ask in zip(pieces, sent) if ask]))
+    whole: dict = {"source": "", "target": "", "links": [], "unaligned": [], "ambiguous": [], "units": []}
+    reasons = []
+    for (words, separator), ask in zip(pieces, sent):
+        a, b, out = len(whole["source"]), len(whole["target"]), words
+        if ask:
+            done, reason = next(replies)
+            one = al.components(words, words if reason else done, [] if reason else aligner(words, done))
+            out = one["target"]
+            whole["links"] += [([(s + a, e + a) for s, e in x], [(s + b, e + b) for s, e in y]) for x, y in one["links"]]
+            whole["unaligned"] += [(s + a, e + a) for s, e in one["unaligned"]]
+            if reason:
+                reasons.append(reason)
+            else:
+                whole["units"].append(((a, a + len(words)), (b, b + len(out))))
+        elif words.strip():
+            whole["links"].append(([(a, a + len(words))], [(b, b + len(words))]))
+        whole["source"] += words + separator
+        whole["target"] += out + separator
+    return whole, reasons
 
 
 def intervals_left(text: str, start: int, end: int, opaque: list[tuple[int, int]]) -> str:
@@ -67,16 +72,23 @@ def aligned_body(text: str) -> tuple[str, str, str]:
 
 
 def translate_markdown(text: str, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position) -> tuple[str, list[dict]]:
+    """(the translated segment with its formatting, issues) of one text."""
+    return answered([markdown_steps(text, limit, aligner)], backend)[0]
+
+
+def markdown_steps(text: str | None, limit: int = 1_000, aligner: Callable = al.by_position) -> Steps[tuple[str | None, list[dict]]]:
     """(the translated segment with its formatting, issues). The source comes back where markers are lost or the result is unsound.
 
-    Prefixes and line ends of the block never reach the model.
+    Prefixes and line ends of the block never reach the model. A null text stays null.
     """
+    if text is None:
+        return None, []
     lead, body, trail = aligned_body(text)
-    out, issues = _translated_body(body, backend, limit, aligner)
+    out, issues = yield from _translated_body(body, limit, aligner)
     return lead + out + trail, issues
 
 
-def _translated_body(text: str, backend: Backend, limit: int, aligner: Callable) -> tuple[str, list[dict]]:
+def _translated_body(text: str, limit: int, aligner: Callable) -> Steps[tuple[str, list[dict]]]:
     opaque, ranges, _ = markdown.inline_syntax(text)
     # a wrapper around nothing to align, or around outer white space, stays with its content as it is
     fixed = [(o, e) for o, i, c, e in ranges if text[i:c] != text[i:c].strip() or not any(x.isalnum() for x in intervals_left(text, i, c, opaque))]
@@ -86,7 +98,7 @@ def _translated_body(text: str, backend: Backend, limit: int, aligner: Callable)
     prepared = mi.prepare(text, mi.partition(len(text), protected, wrappers))
     if prepared.text is None:
         return text, []
-    a = aligned_units(prepared, backend, limit, aligner)
+    a, _ = yield from aligned_units(prepared, limit, aligner)
     keep = lambda reason: (text, [{"id": "", "action": "retained_original", "reason": reason}])
     try:
         a = al.anchored(a, prepared.tokens, prepared.prefix) if prepared.tokens else a
@@ -116,15 +128,13 @@ def translate_aligned(segments: DataFrame, key: str, backend: Callable[[], Backe
     def make():
         model = backend()
 
-        def work(row: dict) -> list[tuple]:
-            if row["text"] is None:
-                return [(row[key], None, [])]
-            out, issues = translate_markdown(row["text"], model, limit)
-            return [(row[key], out, [f"{i['action']}: {i['reason']}" for i in issues])]
+        def work(rows: list[dict]) -> list[tuple]:
+            done = answered([markdown_steps(row["text"], limit) for row in rows], model)
+            return [(row[key], out, [f"{i['action']}: {i['reason']}" for i in issues]) for row, (out, issues) in zip(rows, done)]
 
         return work
 
-    return flat_map(segments.select(key, "text"), f"{key} {segments.schema[key].dataType.simpleString()}, translated string, issues array<string>", make)
+    return flat_map_rows(segments.select(key, "text"), f"{key} {segments.schema[key].dataType.simpleString()}, translated string, issues array<string>", make)
 
 
 FRAME = re.compile(r"<(?:[^\s:>]+:)?frame[\s/>]")
@@ -172,8 +182,7 @@ def odt_rendered(text: str, fragments: list[str], items: list[Wrapped]) -> tuple
         raise odt.OdtError("a character is not allowed in XML")
     if any(a < x < b for a, b in opaque for i in items for t in i.targets for x in t):
         raise odt.OdtError("a wrapper would cut protected content")
-    links = [i for i in items if i.link]
-    clash = crossing(items) | {x.id for n, a in enumerate(links) for b in links[n + 1 :] if any(al.meet(s, t) for s in a.targets for t in b.targets) for x in (a, b)}
+    clash = crossing(items)
     events: dict[int, list] = {}
     for order, i in enumerate(k for k in items if k.id not in clash):
         for s, e in i.targets:
@@ -191,34 +200,34 @@ def odt_rendered(text: str, fragments: list[str], items: list[Wrapped]) -> tuple
     return xml, [{"id": k, "action": "dropped", "reason": "conflicting_odt_ranges"} for k in sorted(clash)]
 
 
-def _protected_block(block: odt.Block, backend: Backend, limit: int) -> str:
-    """The translation with every token of the block behind a marker, as XML."""
+def _protected_block(block: odt.Block, limit: int) -> Steps[tuple[str, list[str]]]:
+    """(the translation with every token of the block behind a marker, as XML, reasons of failed calls)."""
     prepared = mi.prepare(block.text, mi.partition(len(block.text), block.spans, []))
     if prepared.text is None:
-        return odt.rendered(block, block.text).decode()
-    a = aligned_units(prepared, backend, limit, lambda s, t: [])
+        return odt.rendered(block, block.text).decode(), []
+    a, reasons = yield from aligned_units(prepared, limit, lambda s, t: [])
+    if reasons:
+        return "", reasons
     if prepared.tokens:
         al.anchored(a, prepared.tokens, prepared.prefix)
-    return odt.rendered(block, mi.restore(a["target"], prepared)[0]).decode()
+    return odt.rendered(block, mi.restore(a["target"], prepared)[0]).decode(), []
 
 
 def translate_block(block: odt.Block, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position, language: frozenset[str] = frozenset()) -> tuple[str | None, list[dict]]:
+    """(the block's new inner XML, issues) of one block."""
+    return answered([block_steps(block, limit, aligner, language)], backend)[0]
+
+
+def block_steps(block: odt.Block, limit: int = 1_000, aligner: Callable = al.by_position, language: frozenset[str] = frozenset()) -> Steps[tuple[str | None, list[dict]]]:
     """(the block's new inner XML, issues); None keeps its bytes.
 
     A block whose wrappers declare namespaces or carry identities is translated with all its tokens protected. The source stays if
     the model fails, markers are lost or the result is unsound.
     """
-    reasons: list[str] = []
-
-    def model(texts: list[str]) -> list[tuple[str, str | None]]:
-        done = backend(texts)
-        reasons.extend(r for _, r in done if r)
-        return done
-
     keep = lambda reason: (None, [{"id": "", "action": "retained_original", "reason": reason}])
     try:
         if any(IDENTITY.search(block.text[r[0] : r[1]]) for r in block.ranges):
-            out = _protected_block(block, model, limit)
+            out, reasons = yield from _protected_block(block, limit)
             return keep("; ".join(reasons)) if reasons else (out, [])
         lead = odt_lead(block)
         text = block.text[lead:]
@@ -229,7 +238,7 @@ def translate_block(block: odt.Block, backend: Backend, limit: int = 1_000, alig
         prepared = mi.prepare(text, parts)
         if prepared.text is None:
             return None, []
-        a = aligned_units(prepared, model, limit, aligner)
+        a, reasons = yield from aligned_units(prepared, limit, aligner)
         if reasons:
             return keep("; ".join(reasons))
         if not a["target"].strip():
@@ -259,31 +268,35 @@ def translate_block(block: odt.Block, backend: Backend, limit: int = 1_000, alig
 
 def translated_package(package: bytes, backend: Backend, limit: int = 1_000, aligner: Callable = al.by_position) -> tuple[bytes, list[tuple]]:
     """(the package with all blocks that can be edited translated, ``(part, id, new XML or None, issues)`` of each of them)."""
+    return answered([package_steps(package, limit, aligner)], backend)[0]
+
+
+def package_steps(package: bytes, limit: int = 1_000, aligner: Callable = al.by_position) -> Steps[tuple[bytes, list[tuple]]]:
+    """The same as steps that ask for all blocks of the package at once."""
     parts = odt.inspect(package)
     language = odt.language_styles(parts)
     kept = frozenset().union(*(odt.protected_styles(data) for data in parts.values()))
-    rows, new = [], {}
-    for part, data in parts.items():
-        found = odt.blocks(data, part, kept)
-        done = [(part, b.id, *translate_block(b, backend, limit, aligner, language)) for b in found if b.reason is None]
-        new[part] = odt.patched(data, found, {name: xml.encode() for _, name, xml, _ in done if xml is not None})
-        rows += done
+    found = {part: odt.blocks(data, part, kept) for part, data in parts.items()}
+    open_ = [(part, b) for part, blocks in found.items() for b in blocks if b.reason is None]
+    done = yield from together([block_steps(b, limit, aligner, language) for _, b in open_])
+    rows = [(part, b.id, *out) for (part, b), out in zip(open_, done)]
+    new = {part: odt.patched(data, found[part], {name: xml.encode() for p, name, xml, _ in rows if p == part and xml is not None}) for part, data in parts.items()}
     return odt.repacked(package, new), rows
 
 
 def translate_aligned_odt(packages: DataFrame, key: str, content: str, backend: Callable[[], Backend], limit: int = 1_000) -> DataFrame:
     """``(key, content, issues, error)`` of packages; issues are ``part segment_id action: reason``. A bad package gives its error and no content."""
 
+    def steps(package: bytes | None) -> Steps[tuple]:
+        try:
+            out, rows = yield from package_steps(package or b"", limit)
+        except odt.OdtError as e:
+            return None, [], str(e)
+        return out, [f"{part} {name} {i['action']}: {i['reason']}" for part, name, _, found in rows for i in found], None
+
     def make():
         model = backend()
+        return lambda rows: [(row[key], *out) for row, out in zip(rows, answered([steps(row[content]) for row in rows], model))]
 
-        def work(row: dict) -> list[tuple]:
-            try:
-                out, rows = translated_package(row[content] or b"", model, limit)
-            except odt.OdtError as e:
-                return [(row[key], None, [], str(e))]
-            return [(row[key], out, [f"{part} {name} {i['action']}: {i['reason']}" for part, name, _, found in rows for i in found], None)]
-
-        return work
-
-    return flat_map(packages.select(key, content), f"{key} {packages.schema[key].dataType.simpleString()}, content binary, issues array<string>, error string", make)
+    schema = f"{key} {packages.schema[key].dataType.simpleString()}, content binary, issues array<string>, error string"
+    return flat_map_rows(packages.select(key, content), schema, make, rows=50)  # packages are large

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.arrow import flat_map
-from folioflow.functions.backends import Backend
+from folioflow.functions.arrow import flat_map_rows
+from folioflow.functions.backends import Backend, Steps, answered
 from folioflow.operators import glossary as terms
 from folioflow.operators import html_text, intervals, markdown, markers
 from folioflow.operators.chunking import split_text
@@ -42,39 +42,28 @@ def repaired(form: str, kind: str | None, before: str, after: str) -> str | None
     return found[1] if found and not structure_errors(form, kind, *found) else None
 
 
-def translated_text(text: str, backend: Backend, mask: terms.TermMask | None, limit: int | None) -> tuple[str, list[str]]:
-    """One text through the model, sentence by sentence where a limit is set; (translation, reasons for kept originals)."""
-    reasons: list[str] = []
-
-    def model(part: str) -> str:
-        (out, reason), = backend([part])
-        if reason:
-            reasons.append(reason)
-            return part
-        return out
-
-    def unit(part: str) -> str:
-        if not part.strip():
-            return part
-        if not mask:
-            return model(part)
-        out, reason = mask.translate(part, model)
-        if reason:
-            reasons.append(reason)
-        return out
-
-    if limit is None:
-        return unit(text), reasons
-    out = []
-    for part, separator in split_text(text, lambda s: len(s) <= limit):
-        if part is None and separator.strip():
-            reasons.append("A word exceeds the input token budget")
-        out.append((unit(part) if part else "") + separator)
-    return "".join(out), reasons
+def translation(text: str, mask: terms.TermMask | None, limit: int | None) -> Steps[tuple[str, list[str]]]:
+    """Asks for one text, sentence by sentence where a limit is set; (translation, reasons). With any reason the whole text stays as it is."""
+    parts = [(text, "")] if limit is None else split_text(text, lambda s: len(s) <= limit)
+    reasons = ["A word exceeds the input token budget" for part, rest in parts if part is None and rest.strip()]
+    units = [mask.masked(part) if mask else terms.MaskedTerms(part, part) for part, _ in parts if part and part.strip()]
+    replies = iter((yield [u.send for u in units if u.send is not None]))
+    done = []
+    for u in units:
+        out, reason = next(replies) if u.send is not None else (u.text, None)
+        if reason is None and u.send is not None and mask:
+            out, reason = mask.filled(u, out)
+        done.append(out)
+        reasons += [reason] if reason else []
+    if reasons:
+        return text, reasons
+    filled = iter(done)
+    return "".join((next(filled) if part and part.strip() else part or "") + rest for part, rest in parts), []
 
 
 def translate_segments(
-    segments: DataFrame, keys: list[str], backend: Callable[[], Backend], glossary: DataFrame | None = None, limit: int | None = None, mode: str = "permissive", form: str | None = None
+    segments: DataFrame, keys: list[str], backend: Callable[[], Backend], glossary: DataFrame | None = None, limit: int | None = None, mode: str = "permissive", form: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """``(keys, text, translated, action, errors)`` of segments with ``keys``, ``text`` and ``protected_spans``.
 
@@ -82,8 +71,9 @@ def translate_segments(
     cells if a key ``type`` says so: a translation that emptied plain emphasis is repaired and also comes out as it was in
     ``unrepaired_text``, a further column; any other change keeps the original.
 
-    Texts without a visible letter come back as they are. If a marker is lost, doubled, moved or damaged, the original is
-    retained and ``errors`` says why; ``mode="failfast"`` raises instead. Null texts stay null.
+    Texts without a visible letter come back as they are. If a marker is lost, doubled, moved (unless not ``ordered``) or damaged, the original is
+    retained and ``errors`` says why; ``mode="failfast"`` raises instead. Null texts stay null. The model gets all units of some
+    thousand segments in one call, and a segment of which any unit fails stays as it is.
     """
     spans = F.coalesce("protected_spans", F.array().cast("array<struct<start_pos:int,end_pos:int>>"))
     known = [tuple(t) for t in terms.collected(glossary)] if glossary is not None else None
@@ -99,17 +89,17 @@ def translate_segments(
     def make():
         model = backend()
         mask = terms.TermMask(known) if known else None
-        return lambda row: [(*(row[c] for c in carried), *translated_text(row["masked"], model, mask, limit))]
+        return lambda rows: [(*(row[c] for c in carried), *out) for row, out in zip(rows, answered([translation(r["masked"], mask, limit) for r in rows], model))]
 
-    done = flat_map(flat, schema, make)
+    done = flat_map_rows(flat, schema, make)
     tokens = F.transform("markers", lambda m: m["token"])
-    bad = F.when(F.size("markers") > 0, markers.marker_errors(F.col("raw"), F.col("prefix"), tokens)).otherwise(F.array().cast("array<string>"))
+    bad = F.when(F.size("markers") > 0, markers.marker_errors(F.col("raw"), F.col("prefix"), tokens, ordered)).otherwise(F.array().cast("array<string>"))
     checked = done.withColumn("bad", bad)
-    failed = F.size("bad") > 0
-    instead = F.raise_error(F.concat(F.lit("translation failed: "), F.array_join("bad", "; "))).cast("string") if mode == "failfast" else F.col("text")
+    failed = F.size(F.concat("bad", "reasons")) > 0
+    instead = F.raise_error(F.concat(F.lit("translation failed: "), F.array_join(F.concat("bad", "reasons"), "; "))).cast("string") if mode == "failfast" else F.col("text")
     result = checked.select(
         *keys, "text", F.when(failed, instead).otherwise(markers.restored(F.col("raw"), F.col("markers"))).alias("translated"),
-        F.when(failed | (F.size("reasons") > 0), RETAINED).alias("action"), F.concat("bad", "reasons").alias("errors"),
+        F.when(failed, RETAINED).alias("action"), F.concat("bad", "reasons").alias("errors"),
     )
     if form is None:
         return result.unionByName(passed)

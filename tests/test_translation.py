@@ -71,11 +71,11 @@ def test_marker_errors(spark):
         assert r.got == r.want
 
 
-def test_trie_is_leftmost_longest_and_whole_words():
-    trie = gl.TermTrie(["valve", "relief valve", "İstanbul", "straße", "a b"])
+def test_index_is_leftmost_longest_and_whole_words():
+    index = gl.TermIndex(["valve", "relief valve", "İstanbul", "straße", "a b"])
     text = "Relief valve, valves; VALVE istanbul STRASSE xvalve valve_ a b"
-    assert [text[s:e] for s, e, _ in trie.find(text)] == ["Relief valve", "VALVE", "istanbul", "a b"]
-    assert gl.TermTrie(["straße"]).find("STRAẞE")[0][:2] == (0, 6)
+    assert [text[s:e] for s, e, _ in index.find(text)] == ["Relief valve", "VALVE", "istanbul", "a b"]
+    assert gl.TermIndex(["straße"]).find("STRAẞE")[0][:2] == (0, 6)
 
 
 def brute(text, terms):
@@ -97,18 +97,53 @@ def brute(text, terms):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abAB _.", max_size=40), st.lists(st.text(alphabet="ab ", min_size=1, max_size=4).filter(lambda t: t.strip() == t), min_size=1, max_size=6, unique=True))
-def test_trie_against_brute_force(text, terms):
-    assert [(s, e) for s, e, _ in gl.TermTrie(terms).find(text)] == brute(text, terms)
+def test_index_against_brute_force(text, terms):
+    assert [(s, e) for s, e, _ in gl.TermIndex(terms).find(text)] == brute(text, terms)
 
 
 def test_terms_around_a_translation():
     mask = gl.TermMask([("valve", "translate", "Ventil"), ("pump", "keep", None), ("crew", "annotate", "Mannschaft")])
+
+    def run(text, model):
+        m = mask.masked(text)
+        return (m.text, None) if m.send is None else mask.filled(m, model(m.send))
+
     up = str.upper
-    assert mask.translate("open the valve. Valve and pump, crew", up) == ("OPEN THE Ventil. Ventil AND pump, Mannschaft (crew)", None)
-    assert mask.translate(" valve ", lambda t: 1 / 0) == (" Ventil ", None)
-    assert mask.translate("the valve", lambda t: "gone") == ("the valve", "Glossary protection failed; original segment retained")
-    assert mask.translate("the valve", lambda t: t + " " + mask.prefix("")[:35])[1].startswith("Unexpected glossary marker")
-    assert mask.translate("nothing here", up) == ("NOTHING HERE", None)
+    assert run("open the valve. Valve and pump, crew", up) == ("OPEN THE Ventil. Ventil AND pump, Mannschaft (crew)", None)
+    assert run(" valve ", lambda t: 1 / 0) == (" Ventil ", None)
+    assert run("the valve", lambda t: "gone") == ("the valve", "Glossary protection failed; original segment retained")
+    assert run("the valve", lambda t: t + " " + mask.prefix("")[:35])[1].startswith("Unexpected glossary marker")
+    assert run("nothing here", up) == ("NOTHING HERE", None)
+    with pytest.raises(ValueError, match="fold alike"):
+        gl.TermIndex(["Straße", "STRAẞE"])
+    assert gl.TermIndex(["straße", "strasse"]).find("Strasse Straße") == [(0, 7, 1), (8, 14, 0)]
+
+
+def test_failing_backends_keep_the_source_with_its_terms(spark):
+    """Not a mixture of source words and renderings; the whole segment stays if one unit of it fails."""
+    entries = spark.createDataFrame([("valve", "translate", "Ventil", "en", "de")], "source string, mode string, target string, source_lang string, target_lang string")
+    rows = [(1, "The valve leaks bad fuel.", None), (2, "The valve leaks. It has bad fuel. The valve.", None), (3, "The valve leaks.", None)]
+    done = {r.id: r for r in translate_segments(segments(spark, rows), ["id"], backends.failing("bad"), entries, limit=20).collect()}
+    assert {k: done[k].translated for k in done} == {1: rows[0][1], 2: rows[1][1], 3: "THE Ventil LEAKS."}
+    assert {k: done[k].action for k in done} == {1: "retained_original", 2: "retained_original", 3: None}
+    assert gl.for_languages(entries, "en", "de") is entries
+    with pytest.raises(ValueError, match="target_lang"):
+        gl.for_languages(entries, "en", "fr")
+
+
+def test_the_model_is_called_once_for_many_texts():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        return [(t.upper(), None) for t in texts]
+
+    from folioflow.plans.translate import translation
+
+    assert [o for o, _ in backends.answered([translation(t, None, 8) for t in ("one two. three", "four", " ")], model)] == ["ONE TWO. THREE", "FOUR", " "]
+    assert calls == [3]
+    with pytest.raises(RuntimeError, match="reply"):
+        backends.answered([translation("x", None, None)], lambda texts: [])
 
 
 def test_glossary_files_and_errors(spark, tmp_path):
