@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRIES = 4  # counters that are tried; the chance that a text holds even one such prefix by accident is nil
-
-
-def hashed_prefix(namespace: str, counter: int) -> Column:
-    return F.concat(F.lit(namespace), F.upper(F.substring(F.sha2(F.lit(f"{namespace}:{counter}"), 256), 1, 32)))
+def hashed_prefix(namespace: str, counter: Column) -> Column:
+    return F.concat(F.lit(namespace), F.upper(F.substring(F.sha2(F.concat(F.lit(f"{namespace}:"), counter.cast("string")), 256), 1, 32)))
 
 
 def marker_prefix(text: Column, namespace: str = "DLM") -> Column:
-    """The first free prefix of a text, whatever its letters' case."""
+    """The first free prefix of a text, whatever its letters' case.
+
+    Each mention of the namespace takes one prefix at most, so as many counters and one more hold a free one.
+    """
     low = F.lower(text)
-    free = F.filter(F.array(*[hashed_prefix(namespace, k) for k in range(TRIES)]), lambda p: ~F.contains(low, F.lower(p)))
-    return F.element_at(free, 1)
+    mentions = F.regexp_count(low, F.lit(namespace.lower()))
+    tried = F.transform(F.sequence(F.lit(0), mentions), lambda k: hashed_prefix(namespace, k))
+    return F.get(F.filter(tried, lambda p: ~F.contains(low, F.lower(p))), F.lit(0))
 
 
 def token(prefix: Column, number: Column) -> Column:

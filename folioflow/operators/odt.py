@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.arrow import flat_map
+from folioflow.functions.lineage import cut_lineage
 
 MIMETYPE = b"application/vnd.oasis.opendocument.text"
 MOST_BYTES, MOST_XML = 256 << 20, 16 << 20
@@ -432,14 +433,25 @@ def skipped_issues(found: DataFrame, key: str) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(style)``: styles that are seeds or inherit from one, by ``(style, parent)``. A recursive query; cycles end by themselves."""
-    spark = edges.sparkSession
-    edges.select("style", "parent").createOrReplaceTempView("style_edges")
-    seeds.select("style").createOrReplaceTempView("style_seeds")
-    return spark.sql(
-        """WITH RECURSIVE reached(style, depth) AS (SELECT style, 0 FROM style_seeds UNION ALL
-           SELECT e.style, r.depth + 1 FROM style_edges e JOIN reached r ON e.parent = r.style WHERE r.depth < 50) SELECT DISTINCT style FROM reached"""
-    )
+    """``(style)``: styles that are seeds or inherit from one, by ``(style, parent)``, through chains of any length.
+
+    A style that is defined twice has the smaller of its parents; nulls are no styles. Every style looks twice as far up in each
+    round, so the rounds are as many as the longest chain has binary digits, and cycles end by themselves: the first round that reaches nothing
+    new is the last.
+    """
+    roots = seeds.where("style is not null").select("style").distinct()
+    found = roots.withColumn("hit", F.lit(True))
+    known = edges.where("style is not null and parent is not null").groupBy("style").agg(F.min("parent").alias("up"))
+    above = cut_lineage(known.join(found, "style", "left").select("style", "up", F.coalesce("hit", F.lit(False)).alias("hit")).join(found.select(F.col("style").alias("up"), F.col("hit").alias("next")), "up", "left")
+                        .select("style", "up", (F.col("hit") | F.coalesce("next", F.lit(False))).alias("hit")))
+    reached = above.where("hit").count()
+    while True:
+        far = above.select(F.col("style").alias("up"), F.col("up").alias("further"), F.col("hit").alias("next"))
+        above = cut_lineage(above.join(far, "up", "left").select("style", F.coalesce("further", "up").alias("up"), (F.col("hit") | F.coalesce("next", F.lit(False))).alias("hit")))
+        now = above.where("hit").count()
+        if now == reached:
+            return above.where("hit").select("style").union(roots).distinct()
+        reached = now
 
 
 def protected_styles(styles: bytes) -> frozenset[str]:

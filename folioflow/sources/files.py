@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamReader
@@ -88,19 +91,25 @@ def review_jobs(files: DataFrame) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str) -> None:
-    """``(name, content)`` as files of a new folder; nothing that exists is overwritten.
+    """``(name, content)`` as files of a new folder of a file system that all executors share; nothing that exists is overwritten.
 
-    Each task writes beside the final name and renames, so a lost task leaves no half-written file and may run again.
+    ``path`` is a path or an address that pyarrow knows (``file://``, ``hdfs://``, ``s3://``). Each file is written beside its name under one of its
+    own and then moved, so a lost task leaves no half-written file under a final name and may run again, and two tasks don't meet.
     """
-    import os
+    from pyarrow import fs
 
-    os.makedirs(path, exist_ok=False)
+    address = path if "://" in path else os.path.abspath(path)
+    system, folder = fs.FileSystem.from_uri(address)
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    system.create_dir(folder, recursive=True)
 
     def write(part) -> None:
+        system, folder = fs.FileSystem.from_uri(address)
         for row in part:
-            whole = os.path.join(path, row.name)
-            with open(f"{whole}.{os.getpid()}.part", "wb") as f:
-                f.write(bytes(row.content))
-            os.replace(f.name, whole)
+            own = f"{folder}/.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(own) as out:
+                out.write(bytes(row.content))
+            system.move(own, f"{folder}/{row.name}")
 
     rows.select("name", "content").foreachPartition(write)
