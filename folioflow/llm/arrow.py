@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from folioflow.functions.lineage import cut_lineage  # noqa: F401 - the operators here take both from this module
+
 
 ROWS = 2_000  # rows that are worked on at a time, which bounds a worker's memory whatever the session's batch size
 
@@ -34,19 +32,3 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Where none is set, a local session gets a folder of its own, which goes when the process ends; a cluster has to name a shared one.
-    """
-    context, shared = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not shared:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        context.setCheckpointDir(shared)
-    return df.checkpoint()

@@ -1,10 +1,11 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX constructs, and the clean text without them.
 
-A text is parsed into leaf nodes. Every node has a root-to-leaf path of the constructs around it, such as ``html:div/html:b``.
-Length and punctuation of the nodes are summed by path over the corpus, smoothed towards the parent path, and fused to one
-ratio; paths below the threshold hold no content and leave nothing in the clean text, while the others leave their words.
-Headings, lists, code and formulas are structure and always stay, in one plain notation. A path says what a construct is and
-leaves; the ratio cannot, so the constructs found are those of the parsed nodes.
+A text is parsed into leaf nodes. Every node has a root-to-leaf path of the constructs around it, such as ``html:div/html:b``; a
+name counts once in a path, however often it nests. Length and punctuation of the nodes are summed by path over the corpus,
+smoothed towards the parent path, and fused to one ratio; inline paths below the threshold hold no content and leave nothing in
+the clean text, while the others leave their words. Headings, lists, code and formulas are structure and always stay with all
+their words, in one plain notation. A path says what a construct is and leaves; the ratio cannot, so the constructs found are
+those of the parsed nodes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.arrow import cut_lineage, map_batches
 
-DEPTH = 4  # names in a path
 SMOOTH = 8.0  # nodes of the parent that a path is smoothed with
 LEAST = 0.05  # of the mean fused ratio: paths below hold no content
 
@@ -106,15 +106,16 @@ SHIELD = "\ue000"
 
 
 class Parse:
-    """One pass over a text: the constructs ``(markup, structure, path of what it leaves)``, and the leaf nodes ``(kind, path, text)``.
+    """One pass over a text: the constructs ``(markup, structure)``, and the leaf nodes ``(kind, path, text)``.
 
     Kinds are ``text``, ``heading``, ``list``, ``code``, ``block`` (of code), ``formula`` and ``inline``.
     """
 
     def __init__(self, text: str, literals: list[str] | None = None):
-        self.notes: list[tuple[str, str, str]] = []
+        self.notes: list[tuple[str, str]] = []
         self.nodes: list[tuple[str, str, str]] = []
         self.stack: list[str] = []
+        self.names: dict[str, int] = {}  # those of the stack, from the root, with how often they are open
         self.kept: list[str] = []
         for literal in sorted({x for x in literals or () if x}, key=len, reverse=True):
             if literal in text:  # protected literals become opaque letters, and come back in the nodes
@@ -133,14 +134,14 @@ class Parse:
         return text
 
     def _leaf(self, kind: str, around: tuple, text: str) -> None:
-        self.nodes.append((kind, "/".join([*self.stack, *around][:DEPTH]) or "text", self._back(text)))
+        self.nodes.append((kind, "/".join({**self.names, **dict.fromkeys(around)}) or "text", self._back(text)))
 
     def _note(self, markup: str, structure: str) -> None:
-        self.notes.append((markup, structure, ""))
+        self.notes.append((markup, structure))
 
     @property
     def found(self) -> set[tuple[str, str]]:
-        return {n[:2] for n in self.notes}
+        return set(self.notes)
 
     def _scan(self, text: str, around: tuple) -> None:
         at = look = 0
@@ -150,11 +151,8 @@ class Parse:
             plain = text[at : m.start()]
             if plain:
                 self._leaf("text", around, plain)
-            left = len(self.nodes)
             if self._one(group, m, around):
                 at = look = max(m.end(), m.start() + 1)
-                path = self.nodes[left][1] if len(self.nodes) > left else ""
-                self.notes[noted] = (*self.notes[noted][:2], path)
             else:
                 del self.nodes[before:], self.notes[noted:]
                 look = m.start() + 1
@@ -300,11 +298,16 @@ class Parse:
             if closing:
                 for k in range(len(self.stack) - 1, -1, -1):
                     if self.stack[k] == f"html:{name}" or name in HTML_HEADING and self.stack[k][5:] in HTML_HEADING:
+                        for left in self.stack[k:]:
+                            self.names[left] -= 1
+                            if not self.names[left]:
+                                del self.names[left]
                         del self.stack[k:]
                         break
                 self._leaf("end", (), "")
             else:
                 self.stack.append(f"html:{name}")
+                self.names[f"html:{name}"] = self.names.get(f"html:{name}", 0) + 1
                 self._leaf("heading" if name in HTML_HEADING else "list" if name in ("li", "dt", "dd") else "end", (), "")
         elif name in ("br", "hr"):
             self._leaf("end", (), "")
@@ -355,7 +358,7 @@ def clean_text(nodes: list[tuple[str, str, str]], content: dict[str, bool] | Non
 
 
 NODE = "array<struct<path:string,nodes:long,chars:long,punctuation:long>>"
-NOTE = "array<struct<markup:string,structure:string,path:string>>"
+NOTE = "array<struct<markup:string,structure:string>>"
 
 
 def parsed(items: DataFrame) -> DataFrame:
@@ -368,13 +371,13 @@ def parsed(items: DataFrame) -> DataFrame:
                 p = Parse(text or "", literals)
                 sums: dict[str, list[int]] = {}
                 for kind, path, leaf in p.nodes:
-                    if leaf and kind in ("text", "drop"):
+                    if kind in ("text", "drop") and leaf.strip():
                         s = sums.setdefault(path, [0, 0, 0])
                         s[0] += 1
                         s[1] += len(leaf)
                         s[2] += len(PUNCTUATION.findall(leaf))
                 paths.append([{"path": k, "nodes": n, "chars": c, "punctuation": q} for k, (n, c, q) in sums.items()])
-                notes.append([{"markup": a, "structure": b, "path": c} for a, b, c in sorted(set(p.notes))])
+                notes.append([{"markup": a, "structure": b} for a, b in sorted(p.found)])
             return {"origin": batch.column("origin"), "item_key": batch.column("item_key"), "paths": paths, "notes": notes}
 
         return work
@@ -382,38 +385,65 @@ def parsed(items: DataFrame) -> DataFrame:
     return map_batches(items.select("origin", "item_key", "text", "literals"), f"origin string, item_key long, paths {NODE}, notes {NOTE}", make)
 
 
-def content_paths(found: DataFrame) -> dict[str, bool]:
-    """Whether a path holds content: its smoothed and fused text and punctuation ratios against LEAST of the mean over all characters.
+def structural(path: str) -> bool:
+    """Whether a path lies in a heading, list, code or formula."""
+    return any(name in STRUCTURAL or name.endswith((":heading", ":list")) for name in path.split("/"))
 
-    ``found`` is the result of :func:`parsed`. Paths are built of at most DEPTH of the fixed names, which bounds the rows.
-    """
-    sums = found.select(F.explode("paths").alias("p")).groupBy("p.path").agg(*(F.sum(f"p.{c}").alias(c) for c in ("nodes", "chars", "punctuation")))
-    rows = {r.path: r for r in sums.collect()}
+
+STRUCTURAL = {f"html:{n}" for n in HTML_HEADING | HTML_LIST | HTML_CODE | HTML_FORMULA | {"syntaxhighlight"}} | set(
+    "markdown:fence markdown:code latex:item latex:verbatim latex:verb latex:equation latex:display latex:dollars latex:dollar".split()
+)
+
+
+def path_sums(found: DataFrame) -> DataFrame:
+    """``(path, nodes, chars, punctuation)`` over the whole corpus, of the result of :func:`parsed`; summed before the shuffle too."""
+    return found.select(F.explode("paths").alias("p")).groupBy("p.path").agg(*(F.sum(f"p.{c}").alias(c) for c in ("nodes", "chars", "punctuation")))
+
+
+def ratios(sums: list) -> dict[str, float]:
+    """The fused ratio of each path: text and punctuation to a node, each smoothed towards the nearest path above that has nodes."""
+    rows = {r.path: r for r in sums}
     fused: dict[str, float] = {}
-    for path in sorted(rows, key=lambda p: p.count("/")):
-        r, parent = rows[path], rows.get(path.rpartition("/")[0]) or rows.get("text")
-        up = (parent.chars / parent.nodes, parent.punctuation / parent.nodes) if parent else (0.0, 0.0)
-        chars, points = ((a + SMOOTH * b) / (r.nodes + SMOOTH) for a, b in zip((r.chars, r.punctuation), up))
+    for path in rows:
+        r, up = rows[path], path.rpartition("/")[0]
+        while up and up not in rows:
+            up = up.rpartition("/")[0]
+        parent = rows.get(up or "text")
+        above = (parent.chars / parent.nodes, parent.punctuation / parent.nodes) if parent else (0.0, 0.0)
+        chars, points = ((a + SMOOTH * b) / (r.nodes + SMOOTH) for a, b in zip((r.chars, r.punctuation), above))
         fused[path] = chars * (1 + points)
-    weight = sum(r.chars for r in rows.values()) or 1
-    mean = sum(fused[p] * rows[p].chars for p in rows) / weight
-    return {p: fused[p] >= LEAST * mean for p in rows}
+    return fused
+
+
+def content_paths(found: DataFrame) -> dict[str, bool]:
+    """Whether a path holds content: it is structural, or its fused ratio is at least LEAST of the mean over all characters.
+
+    ``found`` is the result of :func:`parsed`. Paths are chains of the fixed names without repeats, of which a corpus has some hundreds,
+    whatever its size.
+    """
+    sums = path_sums(found).collect()
+    fused = ratios(sums)
+    mean = sum(fused[r.path] * r.chars for r in sums) / (sum(r.chars for r in sums) or 1)
+    return {p: structural(p) or ratio >= LEAST * mean for p, ratio in fused.items()}
+
+
+def weighed(items: DataFrame) -> DataFrame:
+    """``(path, nodes, chars, punctuation, ratio, content)``: the tag paths of ``(origin, item_key, text, literals)`` with their fused ratios."""
+    found = cut_lineage(path_sums(parsed(items)))
+    sums = found.collect()
+    fused = ratios(sums)
+    mean = sum(fused[r.path] * r.chars for r in sums) / (sum(r.chars for r in sums) or 1)
+    rows = [(r.path, r.nodes, r.chars, r.punctuation, fused[r.path], structural(r.path) or fused[r.path] >= LEAST * mean) for r in sums]
+    return items.sparkSession.createDataFrame(rows, "path string, nodes long, chars long, punctuation long, ratio double, content boolean")
 
 
 def constructs(items: DataFrame) -> DataFrame:
-    """``(origin, item_key, markup, structure, leaves)`` of ``(origin, item_key, text, literals)``.
+    """``(origin, item_key, markup, structure)`` of the nodes of ``(origin, item_key, text, literals)``.
 
-    ``leaves`` is ``structure``, ``words`` or ``nothing``: for inline constructs, whether the path of what they hold has content.
-    Each distinct row of an item comes out once, however often the item was delivered. Items are parsed once; what is kept of
-    them between the two steps holds no text. Null and empty texts have no constructs; null literals are none.
+    Each distinct row of an item comes out once, however often the item was delivered. Null and empty texts have no constructs;
+    null literals are none.
     """
-    found = cut_lineage(parsed(items))
-    content = content_paths(found)
-    spark = items.sparkSession
-    verdict = F.broadcast(spark.createDataFrame(list(content.items()), "path string, content boolean"))  # bounded as in content_paths
-    rows = found.select("origin", "item_key", F.explode("notes").alias("c")).select("origin", "item_key", "c.markup", "c.structure", "c.path")
-    leaves = F.when(F.col("structure") != "inline", "structure").when(F.col("content"), "words").otherwise("nothing").alias("leaves")
-    return rows.join(verdict, "path", "left").select("origin", "item_key", "markup", "structure", leaves).distinct()
+    return parsed(items).select("origin", "item_key", F.explode("notes").alias("c")).select("origin", "item_key", "c.markup", "c.structure").distinct()
 
 
 def converted(items: DataFrame) -> DataFrame:

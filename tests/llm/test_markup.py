@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioflow.llm.markup import Parse, clean_text, constructs, converted
+from folioflow.llm.markup import Parse, clean_text, constructs, converted, structural, weighed
 
 
 def found(text, literals=None):
@@ -50,6 +50,23 @@ def test_clean_text_keeps_structure():
     assert "gone" not in clean and "http" not in clean and "<" not in clean
 
 
+def test_structure_keeps_its_words_and_empty_paths_lose_theirs(spark):
+    """A list's short items stay, while short words in a path that holds next to nothing anywhere go."""
+    rows = [(k, "A long sentence stands here, and it goes on. " * 5 + "<ol><li>a<li>b</ol><h2>c</h2>" + "<small>x</small> " * 40) for k in range(30)]
+    items = spark.createDataFrame(rows, "item_key long, text string").selectExpr("'segment' as origin", "item_key", "text", "cast(null as array<string>) as literals")
+    clean = converted(items).first().clean
+    assert "- a\n- b" in clean and "# c" in clean
+    paths = {r.path: r for r in weighed(items).collect()}
+    assert paths["html:ol/html:li"].content and structural("html:div/html:ol/html:li") and not structural("html:div/html:b")
+    assert paths["html:ol/html:li"].nodes == 60 and paths["text"].content
+
+
+def test_deep_nesting_counts_a_name_once():
+    p = Parse("<div>" * 6_000 + "<p>x" * 50 + "</div>" * 6_000 + "y")
+    assert ("text", "html:div/html:p", "x") in p.nodes and p.nodes[-1] == ("text", "text", "y")
+    assert Parse("<div><ul><li><p>a</p></li></ul></div>").nodes[4][1] == "html:div/html:ul/html:li/html:p"
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="ab <>/*_`~#=[]{}|\\$&;'-+.!1\n()", max_size=70))
 def test_never_fails(text):
