@@ -1,60 +1,102 @@
 """Evaluation texts leaking into training text.
 
-Pages and passages become streams of letter classes: letters that scans take for each other share a class, and everything but
-letters and digits drops out, so line breaks, hyphens and punctuation don't matter. Pages are read down their columns by the
-boxes of their lines. Windows of the size of a few words start at every word of pages and passages. The CGK random walk embeds
-a window so that a small edit distance becomes a small Hamming distance, and repeated bit sampling of the embedding looks the
-pages' windows up among the passages'. Each pair of page and passage that meets in four windows (MEETINGS) is verified by an
-exact edit-tolerant walk along the passage, which may step over any number of lines of adverts, and counts the consecutive words that the page holds.
-
-The passages are a fixed suite: they are collected behind a check of their size and every task gets their windows. Pages are mapped where they lie; nothing
-is shuffled but the found pairs.
+Pages and passages become streams of letters without case, accents, line breaks, hyphens and punctuation. Pages are read down
+their columns by the boxes of their lines. Windows of the size of a few words start at every word of pages and passages. For
+the search, letters that scans take for each other share a class, the CGK random walk embeds a window of classes so that a small
+edit distance becomes a small Hamming distance, and repeated bit sampling of the embedding looks the pages' windows up among the
+passages'. Each pair of page and passage that meets in four windows (MEETINGS) is aligned by a walk along the passage, which may
+step over any number of lines of adverts. It is verified by the exact edit distance of the letters themselves, not of their
+classes, and the consecutive words that the page holds are counted.
+
+Scripts without spaces have a word for every two letters, and windows start at every letter. The passages are a fixed suite: they
+are collected in parts of a checked size, and every task gets the windows of a part. Pages are mapped where they lie; nothing is
+shuffled but the found pairs. A window that many passages share leads to as many pairs only if the page leaks them all.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.arrow import map_batches
+from folioflow.llm.arrow import cut_lineage, map_batches
 
 MIN_WORDS = 12
 WINDOW = 24  # letters of a window, about five words
 STEPS = 2 * WINDOW  # of the random walk: each step moves on by one letter with probability 1/2
 WALKS, BANDS, SAMPLED = 2, 3, 9  # walks, bit samples of each walk, places of the embedding in each sample
 MEETINGS = 4  # windows of a passage that a page must meet; a run of MIN_WORDS words has about eight
-MOST_PASSAGES = 50_000  # the checked bound of what is sent to every task
+MOST_PASSAGES = 50_000  # of a part of the suite: the checked bound of what is sent to every task
+MOST_EDITS = 0.4  # of the letters of a passage's words that are found
 #: Classes of letters that scans take for each other.
 ALIKE = ("aoec0gq9", "tfs5", "nu", "rv", "il1j", "hb6")
 GAP = re.compile(r" {3,}")
 _MULTI = (("vv", "w"), ("rn", "m"), ("li", "h"), ("cl", "d"), ("ii", "u"), ("in", "m"))
 
 
-def _table() -> np.ndarray:
-    """The class of each code point below 0x3000 (0: no letter or digit); accents are dropped."""
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SPACELESS}]{{1,2}}|[^\s{SPACELESS}]+")
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below 0x3000 its class (0: no letter or digit) and its letter, in small and without accents."""
     import unicodedata
 
     classes = {c: i + 1 for i, group in enumerate(ALIKE) for c in group}
     for c in "abcdefghijklmnopqrstuvwxyz0123456789":
         classes.setdefault(c, len(set(classes.values())) + 1)
-    out = np.zeros(0x3000, dtype=np.uint8)
+    out, base = np.zeros(0x3000, dtype=np.uint8), np.arange(0x3000, dtype=np.uint32)
     for code in range(0x3000):
         ch = chr(code)
         if ch.isalnum():
-            base = unicodedata.normalize("NFD", ch.lower())[:1]
-            out[code] = classes.get("ſ" == base and "s" or base, 31 + code % 32)
-    return out
+            letter = unicodedata.normalize("NFD", ch.lower())[:1]
+            letter = "s" if letter == "ſ" else letter
+            out[code], base[code] = classes.get(letter, 31 + code % 32), ord(letter)
+    return out, base
+
 
+def folded(text: str, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of all code points, 0 for what is no letter or digit; their letters; whether they are of a script without spaces)
 
-def folded(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes of all code points, code points)"""
+    From 0x3000 on every sign counts but punctuation, as its own letter, and classes are spread over the signs.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], np.uint8(31 + 31)), codes
+    small = np.minimum(codes, len(tables[0]) - 1)
+    low = codes < len(tables[0])
+    sign = ((codes < 0x3000) | (codes > 0x303F)) & ((codes < 0xFE30) | (codes > 0xFE6F)) & ((codes < 0xFF00) | (codes > 0xFF0F))
+    classes = np.where(low, tables[0][small], np.where(sign, 31 + codes % 32, 0)).astype(np.uint8)
+    spaceless = (codes >= 0x0E00) & ((codes < 0x0F00) | (codes >= 0x1000) & (codes < 0x10A0) | (codes >= 0x1780) & (codes < 0x1800) | (codes >= 0x3040) & ((codes < 0xAC00) | (codes >= 0xF900) & (codes < 0xFB00) | (codes >= 0x20000)))
+    return classes, np.where(low, tables[1][small], codes), spaceless
+
+
+def followed(classes: np.ndarray, letters: np.ndarray) -> memoryview:
+    """What the walk compares: classes, but from 0x3000 on the letters themselves."""
+    return memoryview(np.where(letters < 0x3000, classes, letters).astype(np.uint32))
+
+
+def edit_distance(a: list[int], b: list[int]) -> int:
+    """Exact, by whole columns of the distance table at once, held in the bits of two numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[int, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for c in b:
+        same = where.get(c, 0)
+        x = same | down
+        flat = (((same & up) + up) ^ up) | same
+        right, left = down | ~(flat | up) & full, up & flat
+        score += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | ~(x | right) & full, right & x
+    return score
 
 
 def reading_order(texts: list[str], xs: list, ys: list) -> tuple[str, np.ndarray, np.ndarray]:
@@ -124,30 +166,35 @@ class Passages:
     """The passages' streams and the hash tables of their windows."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.table, self.embedding = _table(), Embedding()
-        self.items, self.streams, self.words = [], [], []
+        self.tables, self.embedding = _tables(), Embedding()
+        self.items, self.streams, self.letters, self.words = [], [], [], []
+        whole: list[np.ndarray] = []
         owners, offsets, pieces, at = [], [], [], 0
         for item, text in rows:
-            stream, ends = [], []
-            for word in text.split():
-                c = folded(word.lower(), self.table)[0]
-                c = c[c > 0]
+            stream, letters, ends, starts = [], [], [], []
+            for word in WORD.findall(text):
+                c, l, spaceless = folded(word.lower(), self.tables)
+                l, spaceless, c = l[c > 0], spaceless[c > 0], c[c > 0]
                 if len(c):
+                    at_word = ends[-1] if ends else 0
+                    starts += [at_word + k for k in range(len(c)) if not k or spaceless[k]]
                     stream.append(c)
-                    ends.append((ends[-1] if ends else 0) + len(c))
+                    letters.append(l)
+                    ends.append(at_word + len(c))
             if len(ends) < MIN_WORDS:
                 continue
             s = np.concatenate(stream)
-            starts = np.r_[0, ends[:-1]]
-            good = starts[starts + WINDOW <= len(s)]
+            good = np.array([x for x in starts if x + WINDOW <= len(s)], dtype=np.int64)
             owners += [len(self.items)] * len(good)
             offsets += good.tolist()
             pieces += (good + at).tolist()
             at += len(s)
+            whole.append(s)
             self.items.append(item)
-            self.streams.append(s.tobytes())
+            self.letters.append(np.concatenate(letters))
+            self.streams.append(followed(s, self.letters[-1]))
             self.words.append(np.array(ends))
-        whole = np.frombuffer(b"".join(self.streams) + bytes(STEPS), dtype=np.uint8)
+        whole = np.concatenate([*whole, np.zeros(STEPS, np.uint8)])
         keys = self.embedding.keys(whole, np.array(pieces, dtype=np.int64)) if pieces else np.zeros((WALKS * BANDS, 0), np.uint32)
         self.owners, self.offsets = np.array(owners, dtype=np.int64), np.array(offsets, dtype=np.int64)
         self.sorted, self.seen = [], []
@@ -178,8 +225,8 @@ class Passages:
         return pairs // (len(self.owners) + 1), pairs % (len(self.owners) + 1)
 
 
-def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int]) -> tuple[int, int]:
-    """Follows q from j along p from i, in one direction, as far as it goes; (last place reached in q, edits).
+def _walk(p: memoryview, q: memoryview, i: int, j: int, step: int, jumps: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """Follows q from j along p from i, in one direction, as far as it goes; (last place reached in q, the stretches of p that were followed).
 
     A wrong letter may be replaced, dropped or added where the next four letters agree afterwards, as many as one edit in four
     letters. Where that fails near a place in ``jumps``, the walk goes on at the nearest of those places beyond that agrees, however far
@@ -187,6 +234,7 @@ def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int]) -> tu
     """
     edits, good, start = 0, j, j
     n, m = len(p), len(q)
+    stretches, since = [], i
 
     def same(a: int, b: int, length: int) -> int:
         hits = 0
@@ -221,33 +269,39 @@ def _walk(p: bytes, q: bytes, i: int, j: int, step: int, jumps: list[int]) -> tu
                     for b in dict.fromkeys((back, 0)):
                         a, c = (jumps[to], j - b) if step > 0 else (jumps[to] - 1, j - b)
                         if 0 <= c < m and same(a, c, 8) >= 7 or 0 <= c < m and (m - c if step > 0 else c + 1) < 8 and same(a, c, 4) >= 4:
-                            i, j, done = a, c, True
+                            stretches.append((since, i - step * b))
+                            i, j, done, since = a, c, True, a
                             break
                     if done:
                         break
         if not done:
             break
-    return good, edits
+    return good, [*stretches, (since, i)]
 
 
-def longest_run(page: bytes, passage: bytes, words: np.ndarray, cells: list[int], seeds: list[tuple[int, int]]) -> int:
+def longest_run(page: tuple[memoryview, np.ndarray], passage: tuple[memoryview, np.ndarray], words: np.ndarray, cells: list[int], seeds: list[tuple[int, int]]) -> int:
     """The most consecutive words of the passage that the page holds, from any of the seeds (place in page, place in passage).
 
-    A word at either end counts if two thirds of its letters are reached.
+    A word at either end counts if two thirds of its letters are reached. The letters of the words and those that were followed
+    on the page may differ by an edit distance of MOST_EDITS of their number.
     """
     best, covered = 0, []
     for i, j in seeds:
-        if any(a <= j < b and abs((i - j) - d) < 3 for a, b, d in covered):
+        if page[0][i] != passage[0][j] or any(a <= j < b and abs((i - j) - d) < 3 for a, b, d in covered):
             continue
-        right, _ = _walk(page, passage, i, j, 1, cells)
-        left, _ = _walk(page, passage, i - 1, j - 1, -1, cells)
+        right, after = _walk(page[0], passage[0], i, j, 1, cells)
+        left, before = _walk(page[0], passage[0], i - 1, j - 1, -1, cells)
         left = left + 1 if left < j else j
         if right <= j:
             continue
         covered.append((left, right, i - j))
         starts = np.r_[0, words[:-1]]
         inside = np.minimum(words, right) - np.maximum(starts, left)
-        best = max(best, int((3 * inside >= 2 * (words - starts)).sum()))
+        run = int((3 * inside >= 2 * (words - starts)).sum())
+        if run > max(best, MIN_WORDS - 1):
+            read = [x for a, b in reversed(before) for x in page[1][b + 1 : a + 1].tolist()] + [x for a, b in after for x in page[1][a:b].tolist()]
+            if edit_distance(passage[1][left:right].tolist(), read) <= MOST_EDITS * (right - left):
+                best = run
     return best
 
 
@@ -256,11 +310,12 @@ def leaks_in(texts: list, xs: list, ys: list, passages: Passages) -> list[tuple[
     whole, starts, pages = reading_order([(t or "").lower() for t in texts], xs, ys)
     if not len(starts) or not passages.items:
         return []
-    classes, codes = folded(whole, passages.table)
+    classes, signs, spaceless = folded(whole, passages.tables)
     letters = classes > 0
     place = np.cumsum(letters) - letters  # of each code point in the stream
     stream = np.r_[classes[letters], np.zeros(STEPS + 1, dtype=np.uint8)]
-    first = letters & np.r_[True, ~letters[:-1]]
+    signs = signs[letters]
+    first = letters & (np.r_[True, ~letters[:-1]] | spaceless)
     begins = place[first]
     ends = np.searchsorted(pages, np.arange(len(texts)), side="right")
     bounds = np.r_[0, np.where(ends < len(starts), place[starts[np.minimum(ends, len(starts) - 1)]], letters.sum())]
@@ -280,13 +335,13 @@ def leaks_in(texts: list, xs: list, ys: list, passages: Passages) -> list[tuple[
     cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True]) if len(pair) else np.zeros(1, np.int64)
     cell_at = place[starts]
     out = []
-    data = stream.tobytes()
+    data = followed(stream[: len(signs)], signs)
     for a, b in zip(cuts[:-1], cuts[1:]):
         p, q = divmod(int(pair[a]), len(passages.items))
         lo, hi = int(bounds[p]), int(bounds[p + 1])
         cells = np.unique(cell_at[np.searchsorted(cell_at, lo) : np.searchsorted(cell_at, hi)]) - lo
         seeds = list(zip((where[a:b] - lo).tolist(), passages.offsets[windows[a:b]].tolist()))
-        run = longest_run(data[lo:hi], passages.streams[q], passages.words[q], cells.tolist(), seeds)
+        run = longest_run((data[lo:hi], signs[lo:hi]), (passages.streams[q], passages.letters[q]), passages.words[q], cells.tolist(), seeds)
         if run >= MIN_WORDS:
             out.append((p, q, run))
     return out
@@ -299,9 +354,17 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     fewer letters than a window, hold nothing. Equal pages come out each with its doc_id; an item that leaks by two passages
     comes out once, with the longer run.
     """
-    rows = [(r.item_id, r.passage) for r in items.where("item_id is not null and passage is not null").select("item_id", "passage").limit(MOST_PASSAGES + 1).collect()]
+    suite = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
+    parts = -(-suite.count() // (MOST_PASSAGES // 2)) or 1  # half full on average, so that a part that a hash fills more is within the bound
+    part = F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts))
+    found = [_leaked_by(documents, suite.where(part == k)) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found if parts == 1 else map(cut_lineage, found)).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+
+
+def _leaked_by(documents: DataFrame, part: DataFrame) -> DataFrame:
+    rows = [(r.item_id, r.passage) for r in part.limit(MOST_PASSAGES + 1).collect()]
     if len(rows) > MOST_PASSAGES:
-        raise ValueError(f"more than {MOST_PASSAGES} passages: run the suite in parts")
+        raise ValueError(f"more than {MOST_PASSAGES} passages in a part")
     rows.sort()
 
     def make():
@@ -315,4 +378,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
         return work
 
     pages = documents.select("doc_id", "text", F.col("line_boxes.x").alias("x"), F.col("line_boxes.y").alias("y"))
-    return map_batches(pages, "doc_id long, item_id long, words int", make).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+    return map_batches(pages, "doc_id long, item_id long, words int", make)

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from folioflow.llm import leakage
 from folioflow.llm.leakage import Passages, leaked, leaks_in, reading_order
@@ -97,6 +99,44 @@ def test_near_misses_of_other_items(suite, passages):
     assert found(passages, " ".join(words)) == set()
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=90), st.lists(st.integers(0, 3), max_size=90))
+def test_edit_distance_against_the_table(a, b):
+    assert leakage.edit_distance(a, b) == distance(a, b)
+
+
+def test_scripts_without_spaces():
+    rng = random.Random(8)
+    sign = lambda n: "".join(chr(rng.randint(0x4E00, 0x8FFF)) for _ in range(n))
+    leak = sign(60)
+    chinese = Passages([(1, leak), (2, sign(80))])
+    assert found(chinese, sign(200)) == set()
+    assert found(chinese, sign(70) + leak[5:50] + "。\n" + sign(70)) == {(1, 22)}
+    assert found(chinese, sign(30) + leak[5:20] + sign(70)) == set()
+
+
+def test_letters_of_a_class_are_no_letters_of_the_word(suite, passages):
+    """What only falls into the same classes everywhere is found by the search and refused by the exact distance."""
+    text = suite[4][1].translate(str.maketrans({"a": "0", "e": "9", "o": "q", "c": "g", "t": "5", "f": "s", "n": "u", "r": "v", "i": "1", "l": "j"}))
+    assert found(passages, text) == set()
+
+
+def test_suites_in_parts(spark, suite, monkeypatch):
+    documents = spark.createDataFrame([(k, "\n".join(lines(text)), None) for k, text in suite], "doc_id long, text string, line_boxes array<struct<x:int,y:int>>")
+    items = spark.createDataFrame(suite, "item_id long, passage string")
+    monkeypatch.setattr(leakage, "MOST_PASSAGES", 30)
+    assert {(r.doc_id, r.item_id) for r in leaked(documents, items).collect()} == {(k, k) for k, _ in suite}
+
+
 def test_embedding_keeps_small_edits_near():
     e = leakage.Embedding()
     rng = np.random.default_rng(0)
