@@ -43,18 +43,20 @@ KEYWORD = re.compile(r"[^\W\d_]{3,}(?![\w.])")  # neither the end of a sentence
 def dictionaries(documents: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary of running text for each language, from at most ``sample`` pages, whole and in the order of a hash of doc_id.
 
-    Pages without a language, shorter than 200 characters, or with too few ends of sentences for their length are not taken. The
-    pages are joined up to DICTIONARY_BYTES, and a language with fewer than 8 of them has no dictionary. A rerun gives the same bytes.
+    Pages without a language, shorter than 200 characters, or with too few ends of sentences for their length are not taken, nor are
+    those that would no longer fit into DICTIONARY_BYTES. A rerun gives the same bytes.
     """
     density = F.regexp_count("text", F.lit(r"[\p{L}]{2,}[.!?](?=\s|$)")) / F.length("text")
-    some = documents.where("lang is not null and length(text) >= 200").select("lang", "doc_id", density.alias("density"), F.substring("text", 1, DICTIONARY_BYTES).alias("piece"))  # what is beyond would not fit anyway
+    some = documents.where("lang is not null and length(text) >= 200 and octet_length(text) < " + str(DICTIONARY_BYTES)).select("lang", "doc_id", density.alias("density"), "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # the top of each group is taken before the shuffle too (a group limit of the window), so a hot language stays small
-    rows = some.where("density > 0.008").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "n", "piece").collect()
-    texts: dict[str, list] = {}
+    rows = some.where("density > 0.008").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("lang", "n", "text").collect()
+    texts: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.n)):
-        texts.setdefault(r.lang, []).append(r.piece)
-    return {k: "\n".join(v).encode()[:DICTIONARY_BYTES] for k, v in texts.items() if len(v) >= 8}
+        longer = texts.get(r.lang, b"") + r.text.encode("utf-8", "surrogatepass") + b"\n"
+        if len(longer) <= DICTIONARY_BYTES:
+            texts[r.lang] = longer
+    return texts
 
 
 class Compressors:

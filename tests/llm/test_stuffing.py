@@ -77,4 +77,4 @@ def test_dictionaries_take_whole_pages(spark):
     assert all(5_000 < len(p) < 7_400 for p in pages)
     texts = dictionaries(spark.createDataFrame([(k, p, "en") for k, p in enumerate(pages)], "doc_id long, text string, lang string"))
     assert all(p.encode() in texts["en"] for p in pages)
-    assert dictionaries(spark.createDataFrame([(k, p, "en") for k, p in enumerate(pages[:7])], "doc_id long, text string, lang string")) == {}
+    assert dictionaries(spark.createDataFrame([(k, p, "en") for k, p in enumerate(pages[:1])], "doc_id long, text string, lang string")) == {"en": pages[0].encode() + b"\n"}  # as many pages as there are
