@@ -20,7 +20,9 @@ def query(f):
 
 
 def _learned(spark: SparkSession, folder: str):
-    return sentences.learn(table(spark, folder, "text_segment").select("lang", "text"))
+    """From all texts that are cut into sentences."""
+    sources = table(spark, folder, "en_de").select(F.lit("en").alias("lang"), F.col("source").alias("text"))
+    return sentences.learn(table(spark, folder, "text_segment").select("lang", "text").unionByName(sources))
 
 
 @query
@@ -67,7 +69,12 @@ def _marked(spark, folder):
 
 @query
 def p4_found(spark, folder):
-    return markup.constructs(_marked(spark, folder)).select("origin", "item_key", "markup", "structure").distinct()
+    return markup.constructs(_marked(spark, folder))
+
+
+@query
+def p4_paths(spark, folder):
+    return markup.weighed(_marked(spark, folder))
 
 
 @query

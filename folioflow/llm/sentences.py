@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from folioflow.llm.arrow import cut_lineage, map_batches
 
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88  # thresholds of the log-likelihood ratios
-LISTED = 20_000  # most entries of each kind and language that are sent to the driver, the strongest first
 PROFILE = 150  # most frequent words of a language, by which texts without a language are assigned
 NUMBER = "##"
 
@@ -30,7 +29,7 @@ DASHES = "—–-,;:،؛、，：；…/&"
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
 BLANK = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\u2029\s*")
-MARKS = ".!?…。！？｡؟।॥۔։።‼⁇⁈⁉"
+MARKS = ".!?…。！？｡؟।॥۔։።។៕‼⁇⁈⁉"
 _IN = "*?"  # of any length: what is inside never passes another mark of its own kind, so a text is read at most once for each kind
 EVENT = re.compile(
     rf"""(?=[„“«»‚‘"'「『《(\[（【{MARKS}])(?:  # all alternatives begin with one of these
@@ -46,6 +45,7 @@ TOKEN = re.compile(r"[^\s]*")
 MIXED = re.compile(r"[^\W\d_]*[a-zà-ÿ][A-ZÀ-Þ]")
 PERIODS = re.compile(r"(?:[^\W\d_]{1,3}[.‐-]+-?)+[^\W\d_]{1,3}$")
 LATER = re.compile(r"\S")
+VALUE = re.compile(r"\d[\d.,]*\s")
 
 
 @dataclass
@@ -135,15 +135,12 @@ def _ratio(joint, left, right, total):
     return -2 * (_binomial(joint, left, p) + _binomial(right - joint, total - left, p) - _binomial(joint, left, p1) - _binomial(right - joint, total - left, p2))
 
 
-def strongest(df: DataFrame, score: str) -> DataFrame:
-    top = Window.partitionBy("lang").orderBy(F.desc(score), "a")
-    return df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= LISTED).drop("rank")
-
-
 def learn(texts: DataFrame) -> tuple[dict[str, Model], dict[str, set[str]]]:
     """Models and word profiles by language, from all rows of ``(lang, text)``. Null and empty texts count nothing.
 
-    Texts without a language form a language ``""`` of their own.
+    Texts without a language form a language ``""`` of their own. What reaches the driver are the words that pass the thresholds: abbreviations
+    are hardly ever seen without their period, however large the corpus, and of the words that start sentences only those
+    that a text has after an abbreviation are ever asked for.
     """
     spark = texts.sparkSession
     c = cut_lineage(counts(texts))
@@ -160,34 +157,34 @@ def learn(texts: DataFrame) -> tuple[dict[str, Model], dict[str, set[str]]]:
         -2 * (_binomial(k, n, F.col("periods") / all_n) - _binomial(k, n, F.lit(0.99)))
         * F.exp(-size / 2) * (inner + 1) * F.pow(size.cast("double"), k - n)
     )
-    candidates = strongest(
+    candidates = (
         words.where((F.col("k") > 0) & (F.col("a") != NUMBER) & F.col("a").rlike(r"^[^\d]*[\p{L}\p{M}]$")).join(totals, "lang")
-        .withColumn("score", score).where(F.col("score") >= ABBREVIATION), "score"
-    ).select("lang", "a", "k", "last")
+        .where(score >= ABBREVIATION).select("lang", "a", "k", "last")
+    )
     ends = after.where("b = '$'").selectExpr("lang", "a", "n as ends")
     # words that end texts as often as any word do end sentences, though never seen without a period
-    found = candidates.join(ends, ["lang", "a"], "left").where("coalesce(ends, 0) <= 0.3 * last * k").select("lang", "a").collect()  # at most LISTED a language
+    found = candidates.join(ends, ["lang", "a"], "left").where("coalesce(ends, 0) <= 0.3 * last * k").select("lang", "a").collect()
     known = F.broadcast(spark.createDataFrame(found, "lang string, a string").withColumn("is", F.lit(True)))
     breaks = cut_lineage(
         after.where(f"a != '{NUMBER}' and b != '$' and substr(b, 1, 1) != 'a'").join(known, ["lang", "a"], "left").where("is is null")
-        .groupBy("lang", F.substring("b", 2, 1_000_000).alias("a")).agg(F.sum("n").alias("at_break"))
+        .groupBy("lang", F.expr("substr(b, 2)").alias("a")).agg(F.sum("n").alias("at_break"))
     )
     all_breaks = F.broadcast(spark.createDataFrame(breaks.groupBy("lang").agg(F.sum("at_break").alias("breaks")).collect(), "lang string, breaks long"))
     j, all_j = F.col("at_break").cast("double"), F.col("breaks").cast("double")
-    starters = strongest(
-        breaks.where((F.col("a") != NUMBER) & F.col("a").rlike(r"\p{L}")).join(words.select("lang", "a", "n"), ["lang", "a"]).join(totals, "lang").join(all_breaks, "lang")
-        .withColumn("score", _ratio(F.least(j, n), all_j, n, all_n)).where((F.col("score") >= STARTER) & (j / n > all_j / all_n)), "score"
-    ).select("lang", "a").collect()
+    asked = after.join(known, ["lang", "a"], "left").where(f"is or a like '%.%' or a = '{NUMBER}'").select("lang", F.expr("substr(b, 2)").alias("a")).distinct()
+    starters = (
+        breaks.where((F.col("a") != NUMBER) & F.col("a").rlike(r"\p{L}")).join(asked, ["lang", "a"], "left_semi").join(words.select("lang", "a", "n"), ["lang", "a"]).join(totals, "lang").join(all_breaks, "lang")
+        .where((_ratio(F.least(j, n), all_j, n, all_n) >= STARTER) & (j / n > all_j / all_n)).select("lang", "a").collect()
+    )
     numbered = after.where(f"a = '{NUMBER}' and substr(b, 1, 1) = 'A'").selectExpr("lang", "substr(b, 2) as a", "n as joint")
-    collocations = strongest(
+    collocations = (
         numbered.join(words.select("lang", "a", "n"), ["lang", "a"]).join(totals, "lang")
-        .withColumn("score", _ratio(F.least(F.col("joint").cast("double"), n), F.col("numbers").cast("double"), n, all_n))
-        .where((F.col("score") >= COLLOCATION) & (F.col("joint") >= 2)), "score"
-    ).select("lang", "a").collect()
+        .where((_ratio(F.least(F.col("joint").cast("double"), n), F.col("numbers").cast("double"), n, all_n) >= COLLOCATION) & (F.col("joint") >= 2)).select("lang", "a").collect()
+    )
     starting = F.broadcast(spark.createDataFrame(starters, "lang string, w string").withColumn("starts", F.lit(True)))
     small = F.substring("b", 1, 1) == "a"
     follow = (
-        after.join(known, ["lang", "a"]).withColumn("w", F.substring("b", 2, 1_000_000)).join(starting, ["lang", "w"], "left").groupBy("lang", "a").agg(
+        after.join(known, ["lang", "a"]).withColumn("w", F.expr("substr(b, 2)")).join(starting, ["lang", "w"], "left").groupBy("lang", "a").agg(
             F.sum("n").alias("all"),
             F.sum(F.when((F.col("b") == "$") | (~small & F.col("starts")), F.col("n")).otherwise(0)).alias("ended"),
             F.sum(F.when((F.substring("b", 1, 1) == "A") & F.col("starts").isNull(), F.col("n")).otherwise(0)).alias("named"),
@@ -295,7 +292,7 @@ class Splitter:
 
     def _small(self, text: str, nxt: int) -> bool:
         """Whether a sentence would go on with a small letter; names like ``eQ-one`` don't count as small."""
-        return text[nxt].islower() and not MIXED.match(text, nxt, nxt + 12)
+        return text[nxt].islower() and not MIXED.match(text, nxt)
 
     def _after_quote(self, text: str, m: re.Match, start: int, nxt: int, gap: bool, group: str) -> bool:
         c = text[nxt]
@@ -333,8 +330,8 @@ class Splitter:
             if "." in token and len(token.rsplit(".", 1)[1]) < 3 or len(last) < 2 or last.lower() in model.abbreviations:
                 return False
             if c.isdigit():
-                return "." not in token and bool(re.match(r"\d[\d.,]*\s", text[nxt : nxt + 20]))
-            return c.isupper() and (word[1:2].islower() or len(word) == 1 or not word[1:2].isalpha()) or bool(MIXED.match(text, nxt, nxt + 12)) or c in OPENERS
+                return "." not in token and bool(VALUE.match(text, nxt))
+            return c.isupper() and (word[1:2].islower() or len(word) == 1 or not word[1:2].isalpha()) or bool(MIXED.match(text, nxt)) or c in OPENERS
         if not token:
             return not self._small(text, nxt)
         small = self._small(text, nxt)

@@ -92,7 +92,7 @@ def corpus(spark):
     thing = lambda k: things[k * k % 8]
     rows = [("en", f"Yesterday Dr. {names[k % 5]} tested the {thing(k)} near part no. {k} of the {thing(k + 1)}. The {thing(k + 2)} stops the {thing(k + 3)}. It holds the {thing(k)}, oil, etc.") for k in range(300)]
     rows += [("de", f"Am {1 + k % 28}. Januar lief Pumpe {k} ohne {thing(k)}. Die {thing(k + 1)} steht vor {thing(k + 2)}. Das {thing(k + 3)} ist gut vor {thing(k)}.") for k in range(200)]
-    return spark.createDataFrame([*rows, (None, "The tank ran."), ("en", None), ("en", "")], "lang string, text string")
+    return spark.createDataFrame([*rows, ("en", "It is part no. The tank ran. It is part no. It ran."), (None, "The tank ran."), ("en", None), ("en", "")], "lang string, text string")
 
 
 def test_learns_without_labels(corpus):
