@@ -1,9 +1,9 @@
 """Markup residue in text: HTML, Markdown, wiki and LaTeX constructs, and the clean text without them.
 
 A text is parsed into leaf nodes. Every node has a root-to-leaf path of the constructs around it, such as ``html:div/html:b``; a
-name counts once in a path, however often it nests. Length and punctuation of the nodes are summed by path over the corpus,
-smoothed towards the parent path, and fused to one ratio; inline paths below the threshold hold no content and leave nothing in
-the clean text, while the others leave their words. Headings, lists, code and formulas are structure and always stay with all
+name counts once in a path, however often it nests. Length and punctuation of the nodes, smoothed over their neighbours in the
+running text, are summed by path over the corpus, smoothed towards the parent path, and fused to one ratio; inline paths below
+the threshold, such as those of menus, hold no content and leave nothing in the clean text, while the others leave their words. Headings, lists, code and formulas are structure and always stay with all
 their words, in one plain notation. A path says what a construct is and leaves; the ratio cannot, so the constructs found are
 those of the parsed nodes.
 """
@@ -357,10 +357,30 @@ def clean_text(nodes: list[tuple[str, str, str]], content: dict[str, bool] | Non
     return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", "".join(out))).strip()
 
 
-NODE = "array<struct<path:string,nodes:long,chars:long,punctuation:long>>"
+NODE = "array<struct<path:string,nodes:long,chars:double,punctuation:double>>"
 NOTE = "array<struct<markup:string,structure:string>>"
 
 
+def smoothed(nodes: list[tuple[str, str, str]]) -> list[tuple[str, float, float]]:
+    """``(path, characters, punctuation)`` of the leaves of text, each the mean of itself and its neighbours in one line of running text."""
+    runs: list[list[tuple[str, int, int]]] = [[]]
+    for kind, path, leaf in nodes:
+        if kind not in ("text", "drop"):
+            runs.append([])
+            continue
+        for k, line in enumerate(leaf.split("\n")):
+            if k:
+                runs.append([])
+            if line.strip():
+                runs[-1].append((path, len(line), len(PUNCTUATION.findall(line))))
+    out = []
+    for run in runs:
+        for k, (path, _, _) in enumerate(run):
+            near = run[max(k - 1, 0) : k + 2]
+            out.append((path, sum(n[1] for n in near) / len(near), sum(n[2] for n in near) / len(near)))
+    return out
+
+
 def parsed(items: DataFrame) -> DataFrame:
     """``(origin, item_key, paths, notes)``: the sums of the text nodes by path and the constructs of each item, without its text."""
 
@@ -369,13 +389,12 @@ def parsed(items: DataFrame) -> DataFrame:
             paths, notes = [], []
             for text, literals in zip(batch.column("text").to_pylist(), batch.column("literals").to_pylist()):
                 p = Parse(text or "", literals)
-                sums: dict[str, list[int]] = {}
-                for kind, path, leaf in p.nodes:
-                    if kind in ("text", "drop") and leaf.strip():
-                        s = sums.setdefault(path, [0, 0, 0])
-                        s[0] += 1
-                        s[1] += len(leaf)
-                        s[2] += len(PUNCTUATION.findall(leaf))
+                sums: dict[str, list[float]] = {}
+                for path, chars, points in smoothed(p.nodes):
+                    s = sums.setdefault(path, [0, 0.0, 0.0])
+                    s[0] += 1
+                    s[1] += chars
+                    s[2] += points
                 paths.append([{"path": k, "nodes": n, "chars": c, "punctuation": q} for k, (n, c, q) in sums.items()])
                 notes.append([{"markup": a, "structure": b} for a, b in sorted(p.found)])
             return {"origin": batch.column("origin"), "item_key": batch.column("item_key"), "paths": paths, "notes": notes}
@@ -434,7 +453,7 @@ def weighed(items: DataFrame) -> DataFrame:
     fused = ratios(sums)
     mean = sum(fused[r.path] * r.chars for r in sums) / (sum(r.chars for r in sums) or 1)
     rows = [(r.path, r.nodes, r.chars, r.punctuation, fused[r.path], structural(r.path) or fused[r.path] >= LEAST * mean) for r in sums]
-    return items.sparkSession.createDataFrame(rows, "path string, nodes long, chars long, punctuation long, ratio double, content boolean")
+    return items.sparkSession.createDataFrame(rows, "path string, nodes long, chars double, punctuation double, ratio double, content boolean")
 
 
 def constructs(items: DataFrame) -> DataFrame:

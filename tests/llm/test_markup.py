@@ -51,14 +51,15 @@ def test_clean_text_keeps_structure():
 
 
 def test_structure_keeps_its_words_and_empty_paths_lose_theirs(spark):
-    """A list's short items stay, while short words in a path that holds next to nothing anywhere go."""
-    rows = [(k, "A long sentence stands here, and it goes on. " * 5 + "<ol><li>a<li>b</ol><h2>c</h2>" + "<small>x</small> " * 40) for k in range(30)]
+    """A list's short items and words within sentences stay, while a menu's words go."""
+    menu = "<nav>" + "<a href='x'>Up</a>\n" * 40 + "</nav>"
+    rows = [(k, "A long <b>and bold</b> sentence stands here, and it goes on, " + "and on, " * 40 + "<ol><li>a<li>b</ol><h2>c</h2>" + menu) for k in range(30)]
     items = spark.createDataFrame(rows, "item_key long, text string").selectExpr("'segment' as origin", "item_key", "text", "cast(null as array<string>) as literals")
     clean = converted(items).first().clean
-    assert "- a\n- b" in clean and "# c" in clean
+    assert "- a\n- b" in clean and "# c" in clean and "A long and bold sentence" in clean and "Up" not in clean
     paths = {r.path: r for r in weighed(items).collect()}
     assert paths["html:ol/html:li"].content and structural("html:div/html:ol/html:li") and not structural("html:div/html:b")
-    assert paths["html:ol/html:li"].nodes == 60 and paths["text"].content
+    assert paths["html:ol/html:li"].nodes == 60 and paths["text"].content and not paths["html:nav"].content
 
 
 def test_deep_nesting_counts_a_name_once():
