@@ -45,6 +45,15 @@ def answered(work: list[Steps[T]], backend: Backend) -> list[T]:
         return done.value
 
 
+def budget(count: Callable[[str], int], limit: int, share: float = 1.0, specials: int = 2) -> Callable[[str], bool]:
+    """Whether a text fits into a model: its tokens and the special ones are at most a share of the limit.
+
+    ``count`` is the slot for a tokenizer. A source leaves a quarter of the room for a target that is longer: a share of 0.75.
+    """
+    most = int(limit * share)
+    return lambda text: count(text) + specials <= most
+
+
 def echo() -> Backend:
     return lambda texts: [(t, None) for t in texts]
 

@@ -328,6 +328,13 @@ def conflicts(scopes: DataFrame) -> DataFrame:
     return pairs.where(~nested).groupBy(F.col("l.pair_key").alias("pair_key"), F.col("l.scope_id").alias("scope_id")).agg(F.array_join(F.array_sort(F.collect_set("r.scope_id")), ",").alias("others"))
 
 
+def window_conflicts(windows: DataFrame) -> DataFrame:
+    """``(pair_key, scope_id, conflicts_with)``: proposals ``(pair_key, scope_id, source_start, source_end, target_start, target_end)`` that meet on either side."""
+    side = lambda name: windows.select("pair_key", "scope_id", F.col(f"{name}_start").alias("start_pos"), F.col(f"{name}_end").alias("end_pos"))
+    met = [overlapping(side(n), side(n), ["pair_key"]).where("l.scope_id <> r.scope_id").select(F.col("l.pair_key").alias("pair_key"), F.col("l.scope_id").alias("scope_id"), F.col("r.scope_id").alias("other")) for n in ("source", "target")]
+    return met[0].unionByName(met[1]).groupBy("pair_key", "scope_id").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("conflicts_with"))
+
+
 def nearest_anchors(scopes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per scope the end of the last anchor before it and the start of the first after it: an as-of search both ways.
 

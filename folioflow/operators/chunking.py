@@ -82,8 +82,7 @@ def budget_chunks(df: DataFrame, keys: list[str], text: str, limit: int, unit: s
     return flat_map(df.select(*keys, text), schema, make)
 
 
-def chunk_offsets(chunks: DataFrame, keys: list[str], order: str, text: Column, separator: Column) -> DataFrame:
-    """Adds ``start_pos`` and ``end_pos`` of each chunk's text in its reassembled item."""
-    size = F.length(text) + F.length(separator)
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("start_pos", before.cast("int")).withColumn("end_pos", (before + F.length(text)).cast("int"))
+def chunk_offsets(chunks: DataFrame, keys: list[str], order: str, size: Column, gap: Column) -> DataFrame:
+    """Adds ``start_pos`` and ``end_pos`` of each chunk's text in its reassembled item, from the lengths of text and separator."""
+    before = F.coalesce(F.sum(size + gap).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return chunks.withColumn("start_pos", before.cast("int")).withColumn("end_pos", (before + size).cast("int"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from folioflow.functions.arrow import flat_map
 from folioflow.operators import html_text
+from folioflow.operators.rendering import CLOSING, INLINE_TAGS, OPENING
 
 CONTAINER = re.compile(r"[ ]{0,3}(?:(?P<quote>>[ ]?)|(?P<bullet>[-+*])(?P<pad>[ ]{1,4}|\t|$)|(?P<number>\d{1,9}[.)])(?P<pad2>[ ]{1,4}|\t|$))")
 FENCE = re.compile(r"[ ]{0,3}(`{3,}(?!.*`)|~{3,})")
@@ -32,9 +33,11 @@ INLINE = re.compile(
 
 
 def inline_syntax(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]], list[tuple[str, str]]]:
-    """(protected ranges, ranges ``(outer_start, inner_start, inner_end, outer_end)`` of emphasis and links, signature of the syntax)"""
+    """(protected ranges, ranges ``(outer_start, inner_start, inner_end, outer_end)`` of emphasis, links and inline elements, signature of the syntax)"""
     opaque, ranges, signature = [], [], []
     stack: list[tuple[str, int, int]] = []
+    tags: list[tuple[str, int, int]] = []  # open inline elements
+    pairs: list[tuple[int, int, int, int]] = []
     todo = list(INLINE.finditer(text))
     for m in todo:
         kind, s, e = m.lastgroup, m.start(), m.end()
@@ -64,6 +67,15 @@ def inline_syntax(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int
         else:
             opaque.append((s, e))
             signature.append((kind, m[0] if kind in ("code", "html", "autolink", "image") else kind))
+            if kind == "html":
+                begin, end = OPENING.fullmatch(m[0]), CLOSING.fullmatch(m[0])
+                if begin and begin[1].lower() in INLINE_TAGS and not m[0].endswith("/>"):
+                    tags.append((begin[1].lower(), s, e))
+                elif end and (k := next((i for i in range(len(tags) - 1, -1, -1) if tags[i][0] == end[1].lower()), None)) is not None:
+                    pairs.append((tags[k][1], tags[k][2], s, e))
+                    del tags[k:]
+    # an element that crosses emphasis or a link wraps nothing for sure
+    ranges += [p for p in pairs if not any(r[0] < p[0] < r[3] < p[3] or p[0] < r[0] < p[3] < r[3] for r in ranges)]
     return sorted(opaque), sorted(ranges, key=lambda r: (r[0], -r[3])), signature
 
 

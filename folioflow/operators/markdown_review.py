@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from folioflow.functions.arrow import flat_map
 from folioflow.operators import alignment as al
 from folioflow.operators import markdown
-from folioflow.operators.rendering import Wrapped, render
+from folioflow.operators.rendering import Wrapped, rendered
 from folioflow.operators.review import ReviewError
 
 LEAD = re.compile(r"(?:[ \t]*(?:>[ ]?|[-+*][ \t]+|\d{1,9}[.)][ \t]+))*(?:[ \t]*#{1,6}[ \t]+)?[ \t]*")
@@ -212,9 +212,9 @@ def finalized_block(source: str, block: ReviewBlock, target: str, aligner: Calla
             continue
         o, i, c, e = seen.ranges[int(p["id"])]
         items.append(Wrapped(p["id"], raw[o:i], raw[c:e], spans, p["link_target"] is not None))
-    out, dropped = render(body, items)
+    out, dropped, placed = rendered(body, items)
     gone = {d["id"] for d in dropped}
-    if items and visible(out, block.type).text != target:  # delimiters that do not open or close where they stand
+    if not set(placed) <= set(markdown.inline_syntax(out)[1]):  # delimiters that do not open or close where they stand
         out, dropped = body, [{"id": i.id, "action": "dropped", "reason": "markdown_wrapper_validation"} for i in items]
         gone = {d["id"] for d in dropped}
     return wrapped(source, block, out), [i for i in issues if i["id"] not in gone] + dropped

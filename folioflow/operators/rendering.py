@@ -6,8 +6,9 @@ import re
 from dataclasses import dataclass
 
 #: Inline elements whose tags may wrap other text than before. Fixed values.
-INLINE_TAGS = frozenset("a abbr b cite del em i ins mark small strong u".split())
+INLINE_TAGS = frozenset("strong em b i span a s u mark small sub sup".split())
 OPENING = re.compile(r"<([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?>")
+CLOSING = re.compile(r"</([A-Za-z][A-Za-z0-9]*)\s*>")
 
 
 @dataclass
@@ -42,16 +43,29 @@ def crossing(items: list[Wrapped]) -> set[str]:
 
 def render(text: str, items: list[Wrapped]) -> tuple[str, list[dict]]:
     """(the text with wrappers, issues). Ends come before beginnings at one place, and outer wrappers before inner ones."""
+    out, issues, _ = rendered(text, items)
+    return out, issues
+
+
+def rendered(text: str, items: list[Wrapped]) -> tuple[str, list[dict], list[tuple[int, int, int, int]]]:
+    """The same with the places ``(outer_start, inner_start, inner_end, outer_end)`` where wrappers stand in the result."""
     issues = [{"id": i.id, "action": "dropped", "reason": "unsupported_markdown_wrapper"} for i in items if not allowed(i.opening, i.closing)]
     good = [i for i in items if allowed(i.opening, i.closing)]
     clash = crossing(good)
     issues += [{"id": i.id, "action": "dropped", "reason": "conflicting_markdown_ranges"} for i in good if i.id in clash]
-    events = []
-    for order, i in enumerate(k for k in good if k.id not in clash):
-        for s, e in i.targets:
-            events += [(s, 1, -e, order, i.opening), (e, 0, -s, -order, i.closing)]
-    out, at = [], 0
-    for place, _, _, _, words in sorted(events):
+    events, spans = [], [(i, s, e) for i in good if i.id not in clash for s, e in i.targets]
+    for order, (i, s, e) in enumerate(spans):
+        events += [(s, 1, -e, order, i.opening), (e, 0, -s, -order, i.closing)]
+    out, at, length = [], 0, 0
+    opened: dict[int, tuple[int, int]] = {}
+    placed = []
+    for place, opening, _, order, words in sorted(events):
         out += [text[at:place], words]
+        length += place - at
+        if opening:
+            opened[order] = (length, length + len(words))
+        else:
+            placed.append((*opened[-order], length, length + len(words)))
+        length += len(words)
         at = place
-    return "".join([*out, text[at:]]), issues
+    return "".join([*out, text[at:]]), issues, placed

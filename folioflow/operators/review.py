@@ -6,6 +6,7 @@ nothing. A line that looks like a control line or starts with a backslash gets a
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -147,6 +148,15 @@ def job_errors(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", F.explode(found).alias("error"))
 
 
+def block_errors(blocks: DataFrame) -> DataFrame:
+    """``(job_id, id, error)`` of stored blocks: ids that occur twice in a job, and blocks without words or without a proposal."""
+    blank = lambda c: ~F.coalesce(F.col(c).rlike(f"[^{SPACE}]"), F.lit(False))
+    checks = F.array(F.when(blank("id"), "block_id"), F.when(blank("original"), "blank_original"), F.when(blank("proposal"), "blank_proposal"))
+    single = blocks.select("job_id", "id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("error"))
+    twice = blocks.groupBy("job_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("job_id", "id", F.lit("duplicate_block").alias("error"))
+    return single.unionByName(twice)
+
+
 def literal_counts(blocks: DataFrame) -> DataFrame:
     """``(job_id, id, literals, missing)``: how many protected literals a block has, and how many its proposal does not hold exactly once."""
     times = lambda text, x: F.size(F.split(text, F.concat(F.lit(r"\Q"), x, F.lit(r"\E")), F.lit(-1))) - 1
@@ -162,6 +172,22 @@ def packed(job: dict, source: bytes) -> bytes:
     return buffer.getvalue()
 
 
+def checked_job(job: dict, source: bytes) -> dict:
+    """A job whose fields are what they must be, with the snapshot that it was made of; else a ReviewError."""
+    text = ("id", "source_name", "source_lang", "target_lang", "source_sha256", "document_format")
+    if any(not isinstance(job.get(k), str) or not job[k] for k in text) or type(job.get("schema_version")) is not int:
+        raise ReviewError("a field is missing or of another type")
+    if (job["schema_version"], job["document_format"]) not in {(1, "txt"), (2, "md")}:
+        raise ReviewError("schema and format don't fit")
+    if not re.match(UUID, job["id"]):
+        raise ReviewError("the id is no UUID")
+    if re.search(r"[/\\\x00]", job["source_name"]):
+        raise ReviewError("the name is a path")
+    if hashlib.sha256(source).hexdigest() != job["source_sha256"]:
+        raise ReviewError("the snapshot was changed")
+    return job
+
+
 def unpacked(data: bytes) -> tuple[dict, bytes]:
     """The job and its snapshot; duplicate keys, other members and large ones are errors."""
 

@@ -14,7 +14,7 @@ from folioflow.operators import alignment as al
 from folioflow.operators import markdown, odt
 from folioflow.operators import model_input as mi
 from folioflow.operators.chunking import ENDING, GAP, split_text
-from folioflow.operators.rendering import Wrapped, crossing, render
+from folioflow.operators.rendering import Wrapped, crossing, rendered
 
 
 LEAD = re.compile(r"(?:[ \t]*(?:>[ ]?|[-+*][ \t]+|\d{1,9}[.)][ \t]+))*(?:[ \t]*#{1,6}[ \t]+)?")
@@ -115,11 +115,29 @@ def _translated_body(text: str, limit: int, aligner: Callable) -> Steps[tuple[st
     for p in done:
         o, i, c, e = ranges[int(p["id"])]
         items.append(Wrapped(p["id"], text[o:i], text[c:e], [(mi.moved(s, moves), mi.moved(t, moves)) for s, t in p["targets"]], p["link_target"] is not None))
-    out, dropped = render(bare, items)
-    kept = len({i.id for i in items} - {d["id"] for d in dropped})
-    if sum(k in ("emphasis", "link") for k, _ in markdown.structure(out)) < kept:
-        return bare, [*issues, *dropped, {"id": "", "action": "dropped", "reason": "markdown_wrapper_validation"}]
-    return out, issues + dropped
+    out, dropped, placed = rendered(bare, items)
+    if not set(placed) <= set(markdown.inline_syntax(out)[1]):  # every wrapper has to be read again where it was put
+        gone = {d["id"] for d in dropped}
+        dropped = [*dropped, *({"id": i.id, "action": "dropped", "reason": "markdown_wrapper_validation"} for i in items if i.id not in gone)]
+        out = bare
+    if errors := aligned_errors(text, out):
+        return keep("; ".join(errors))
+    gone = {d["id"] for d in dropped}
+    return out, [i for i in issues if i["id"] not in gone or i["action"] == "dropped"] + dropped
+
+
+def aligned_errors(before: str, after: str) -> list[str]:
+    """What a translation whose formatting may have gone must still keep: code, images, addresses, entities and elements that wrap no words."""
+
+    def kept(text: str) -> list[tuple[str, str]]:
+        _, ranges, signature = markdown.inline_syntax(text)
+        tags = [text[a:b] for r in ranges for a, b in ((r[0], r[1]), (r[2], r[3])) if text[a] == "<"]
+        out = [x for x in signature if x[0] not in ("emphasis", "link", "break")]
+        for t in tags:
+            out.remove(("html", t))
+        return sorted(out)
+
+    return [] if kept(before) == kept(after) else ["rendered_alignment_mismatch"]
 
 
 def translate_aligned(segments: DataFrame, key: str, backend: Callable[[], Backend], limit: int = 1_000) -> DataFrame:

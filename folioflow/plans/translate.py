@@ -42,9 +42,9 @@ def repaired(form: str, kind: str | None, before: str, after: str) -> str | None
     return found[1] if found and not structure_errors(form, kind, *found) else None
 
 
-def translation(text: str, mask: terms.TermMask | None, limit: int | None) -> Steps[tuple[str, list[str]]]:
-    """Asks for one text, sentence by sentence where a limit is set; (translation, reasons). With any reason the whole text stays as it is."""
-    parts = [(text, "")] if limit is None else split_text(text, lambda s: len(s) <= limit)
+def translation(text: str, mask: terms.TermMask | None, fits: Callable[[str], bool] | None) -> Steps[tuple[str, list[str]]]:
+    """Asks for one text, sentence by sentence where it does not fit; (translation, reasons). With any reason the whole text stays as it is."""
+    parts = [(text, "")] if fits is None else split_text(text, fits)
     reasons = ["A word exceeds the input token budget" for part, rest in parts if part is None and rest.strip()]
     units = [mask.masked(part) if mask else terms.MaskedTerms(part, part) for part, _ in parts if part and part.strip()]
     replies = iter((yield [u.send for u in units if u.send is not None]))
@@ -63,7 +63,7 @@ def translation(text: str, mask: terms.TermMask | None, limit: int | None) -> St
 
 def translate_segments(
     segments: DataFrame, keys: list[str], backend: Callable[[], Backend], glossary: DataFrame | None = None, limit: int | None = None, mode: str = "permissive", form: str | None = None,
-    ordered: bool = True,
+    ordered: bool = True, fits: Callable[[], Callable[[str], bool]] | None = None,
 ) -> DataFrame:
     """``(keys, text, translated, action, errors)`` of segments with ``keys``, ``text`` and ``protected_spans``.
 
@@ -73,7 +73,8 @@ def translate_segments(
 
     Texts without a visible letter come back as they are. If a marker is lost, doubled, moved (unless not ``ordered``) or damaged, the original is
     retained and ``errors`` says why; ``mode="failfast"`` raises instead. Null texts stay null. The model gets all units of some
-    thousand segments in one call, and a segment of which any unit fails stays as it is.
+    thousand segments in one call, and a segment of which any unit fails stays as it is. ``limit`` is a size in characters, and ``fits`` builds
+    another measure once per task, such as :func:`backends.budget` of a tokenizer.
     """
     spans = F.coalesce("protected_spans", F.array().cast("array<struct<start_pos:int,end_pos:int>>"))
     known = [tuple(t) for t in terms.collected(glossary)] if glossary is not None else None
@@ -89,7 +90,8 @@ def translate_segments(
     def make():
         model = backend()
         mask = terms.TermMask(known) if known else None
-        return lambda rows: [(*(row[c] for c in carried), *out) for row, out in zip(rows, answered([translation(r["masked"], mask, limit) for r in rows], model))]
+        room = fits() if fits else (lambda s: len(s) <= limit) if limit is not None else None
+        return lambda rows: [(*(row[c] for c in carried), *out) for row, out in zip(rows, answered([translation(r["masked"], mask, room) for r in rows], model))]
 
     done = flat_map_rows(flat, schema, make)
     tokens = F.transform("markers", lambda m: m["token"])

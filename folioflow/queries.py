@@ -11,7 +11,7 @@ from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
 from folioflow.functions import backends
 from folioflow.functions.arrow import flat_map
 from folioflow.operators import alignment, chunking, evaluation, glossary, html_text, intervals, issues, markdown, markers, model_input, odt, review, text_blocks
-from folioflow.plans import aligned, finalize, translate
+from folioflow.plans import aligned, finalize, review_jobs, translate
 from folioflow.sources.tables import latest, read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,8 +105,14 @@ def txt_reflow(spark, folder):
     return text_blocks.reflow(blocks.select("job_id", "id", F.col("original").alias("text"), one_line.alias("translated"), F.lit("").alias("prefix")), ["job_id", "id"])
 
 
+def _delivered(spark, folder, *columns):
+    """Segments as often as they were delivered; for what is mapped to small rows first and made distinct by those."""
+    return table(spark, folder, "text_segment").select("seg_key", *columns)
+
+
 def _segments(spark, folder, *columns):
-    return table(spark, folder, "text_segment").select("seg_key", *columns).dropDuplicates(["seg_key"])
+    """Segments once each; for queries whose result is as large as the texts."""
+    return _delivered(spark, folder, *columns).dropDuplicates(["seg_key"])
 
 
 @query("""SELECT seg_key, run_id, seg_no, CASE WHEN type = 'paragraph' THEN (sum((type = 'paragraph')::int) OVER (PARTITION BY run_id ORDER BY seg_no))::bigint END AS paragraph_number
@@ -145,15 +151,20 @@ def reassembly_identity(spark, folder):
 @query(f"""WITH {_PARTS} SELECT lang, document_format, count(*) AS sentences, sum(length(part))::bigint AS chars, max(length(part)) AS longest
 FROM parts JOIN (SELECT DISTINCT seg_key, lang, document_format FROM text_segment) USING (seg_key) GROUP BY ALL""")
 def sentence_stats(spark, folder):
-    """Sentences by language and format. Grouped before any join: the labels ride along through the split."""
-    parts = chunking.sentence_parts(_segments(spark, folder, "lang", "document_format", "text"), ["lang", "document_format"], "text")
-    return parts.groupBy("lang", "document_format").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).alias("longest"))
+    """Sentences by language and format. Each text becomes three numbers where it lies; only they cross a shuffle."""
+    size = F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.length(F.when(x.rlike(SENTENCE_END), F.regexp_replace(x, rf"[{SPACE}]+$", "")).otherwise(x)))
+    sizes = _delivered(spark, folder, "lang", "document_format", size.alias("sizes")).where("size(sizes) > 0")
+    one = sizes.select("seg_key", "lang", "document_format", F.size("sizes").alias("n"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("sum"), F.array_max("sizes").alias("most")).dropDuplicates(["seg_key"])
+    return one.groupBy("lang", "document_format").agg(F.sum("n").alias("sentences"), F.sum("sum").alias("chars"), F.max("most").alias("longest"))
 
 
 @query(f"""WITH {_PARTS} SELECT seg_key, part_no, ((sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no)) - length(part) - length(separator))::bigint AS start_pos,
 ((sum(length(part) + length(separator)) OVER (PARTITION BY seg_key ORDER BY part_no)) - length(separator))::bigint AS end_pos FROM parts""")
 def chunk_offsets(spark, folder):
-    located = chunking.chunk_offsets(_parts(spark, folder), ["seg_key"], "part_no", F.col("part"), F.col("separator"))
+    """From the lengths of the parts alone: they are made distinct and summed without their texts."""
+    parts = chunking.sentence_parts(_delivered(spark, folder, "text"), ["seg_key"], "text")
+    sizes = parts.select("seg_key", "part_no", F.length("part").alias("part"), F.length("separator").alias("separator")).dropDuplicates(["seg_key", "part_no"])
+    located = chunking.chunk_offsets(sizes, ["seg_key"], "part_no", F.col("part"), F.col("separator"))
     return located.select("seg_key", "part_no", "start_pos", "end_pos")
 
 
@@ -164,12 +175,20 @@ def budget_chunks(spark, folder):
     return chunking.budget_chunks(parts, ["seg_key", "part_no"], "part", 120)
 
 
+@query("SELECT DISTINCT seg_key, text, true AS fits FROM text_segment WHERE length(text) > 0")
+def budget_reassembly(spark, folder):
+    """Whole texts cut to at most 120 characters and put together again: nothing is lost, and every part fits."""
+    cut = chunking.budget_chunks(_segments(spark, folder, "text").where("length(text) > 0"), ["seg_key"], "text", 120)
+    whole = joined(F.concat(F.coalesce("part", F.lit("")), "separator"), F.col("chunk_no")).alias("text")
+    return cut.groupBy("seg_key").agg(whole, F.bool_and(F.coalesce(F.length("part"), F.lit(0)) <= 120).alias("fits"))
+
+
 @query(f"""SELECT seg_key, count(*) AS words, count(*) FILTER (regexp_matches(w, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')) AS letters FROM
 (SELECT seg_key, unnest(regexp_extract_all(text, '{WORD}')) AS w FROM (SELECT DISTINCT seg_key, text FROM text_segment)) GROUP BY seg_key""")
 def word_counts(spark, folder):
     tokens = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    counted = _segments(spark, folder, "text").select("seg_key", F.size(tokens).alias("words"), F.size(F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}\p{M}_]"))).alias("letters"))
-    return counted.where("words > 0")
+    counted = _delivered(spark, folder, F.size(tokens).alias("words"), F.size(F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}\p{M}_]"))).alias("letters"))
+    return counted.where("words > 0").dropDuplicates(["seg_key"])
 
 
 # ---- intervals --------------------------------------------------------------------------------------------------------
@@ -185,7 +204,8 @@ def _protected(spark, folder):
 SELECT seg_key, length(text) AS chars, coalesce(len(spans), 0) AS spans, coalesce((SELECT bool_and(a >= 0 AND a < b AND b <= length(text) AND coalesce(before <= a, true)) FROM q WHERE q.seg_key = s.seg_key), true) AS sound FROM s""")
 def span_validation(spark, folder):
     size = F.coalesce(F.size(F.when(F.col("protected_spans").isNotNull(), F.col("protected_spans"))), F.lit(0))
-    return _protected(spark, folder).select("seg_key", F.length("text").alias("chars"), size.alias("spans"), intervals.ordered_spans(F.col("protected_spans"), F.length("text")).alias("sound"))
+    rows = _delivered(spark, folder, F.length("text").alias("chars"), size.alias("spans"), intervals.ordered_spans(F.col("protected_spans"), F.length("text")).alias("sound"))
+    return rows.dropDuplicates(["seg_key"])
 
 
 @query(f"""WITH {_SPANS}, e AS (SELECT seg_key, x.start_pos AS a, x.end_pos AS b, 'protected' AS kind FROM p UNION ALL
@@ -195,9 +215,9 @@ m AS (SELECT *, kind <> coalesce(lag(kind) OVER (PARTITION BY seg_key ORDER BY a
 n AS (SELECT *, (sum(fresh::int) OVER (PARTITION BY seg_key ORDER BY a))::bigint AS part_no FROM m)
 SELECT seg_key, part_no, min(a) AS start_pos, max(b) AS end_pos, kind FROM n GROUP BY seg_key, part_no, kind""")
 def interval_partition(spark, folder):
-    segments = _protected(spark, folder).where("text is not null")
+    segments = _delivered(spark, folder, F.length("text").alias("chars"), "protected_spans").where("chars is not null").dropDuplicates(["seg_key"])
     spans = segments.select("seg_key", F.explode("protected_spans").alias("p")).select("seg_key", "p.start_pos", "p.end_pos")
-    return intervals.partition(segments.select("seg_key", F.length("text").alias("chars")), "seg_key", "chars", {"protected": spans})
+    return intervals.partition(segments.select("seg_key", "chars"), "seg_key", "chars", {"protected": spans})
 
 
 @query(f"""WITH {_SPANS}, e AS (SELECT seg_key, coalesce(lag(x.end_pos) OVER (PARTITION BY seg_key ORDER BY x.start_pos), 0) AS a, x.start_pos AS b FROM p UNION ALL
@@ -270,14 +290,14 @@ _PATTERN = glossary.term_pattern([t[0] for t in TERMS])
 @query(f"""SELECT seg_key, match_no, term FROM (SELECT seg_key, unnest(m) AS term, generate_subscripts(m, 1) - 1 AS match_no FROM
 (SELECT seg_key, regexp_extract_all(lower(text), '{_PATTERN}') AS m FROM (SELECT DISTINCT seg_key, text FROM text_segment)))""")
 def glossary_longest_match(spark, folder):
-    return glossary.matched_terms(_segments(spark, folder, "text"), ["seg_key"], "text", [t[0] for t in TERMS])
+    return glossary.matched_terms(_delivered(spark, folder, "text"), ["seg_key"], "text", [t[0] for t in TERMS]).dropDuplicates(["seg_key", "match_no"])
 
 
 @query(f"""SELECT term AS source, count(*) AS matches, count(DISTINCT seg_key) AS segments FROM (SELECT seg_key, unnest(regexp_extract_all(lower(text), '{_PATTERN}')) AS term
 FROM (SELECT DISTINCT seg_key, text FROM text_segment)) GROUP BY term""")
 def glossary_hits(spark, folder):
-    """Matches by the trie, which folds letters exactly; on these texts it agrees with the regular expression."""
-    found = glossary.matches(_segments(spark, folder, "text"), ["seg_key"], "text", _glossary(spark))
+    """Matches by the index, which folds letters exactly; on these texts it agrees with the regular expression."""
+    found = glossary.matches(_delivered(spark, folder, "text"), ["seg_key"], "text", _glossary(spark)).dropDuplicates(["seg_key", "start_pos"])
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("seg_key").alias("segments"))
 
 
@@ -290,6 +310,19 @@ def glossary_errors(spark, folder):
     return glossary.glossary_errors(spark.createDataFrame(entries, glossary.SCHEMA))
 
 
+_ENTRIES = """SELECT CASE WHEN p_partkey % 13 = 0 THEN ' ' || p_brand WHEN p_partkey % 17 = 0 THEN upper(p_brand) || ' ' || p_partkey WHEN p_partkey % 19 = 0 THEN '' ELSE p_brand || ' ' || (p_partkey - p_partkey % 3) END AS source,
+CASE p_partkey % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'annotate' WHEN 2 THEN 'swap' ELSE 'translate' END AS mode, CASE WHEN p_partkey % 7 < 3 THEN NULL WHEN p_partkey % 7 = 3 THEN ' ' ELSE p_type END AS target FROM part"""
+
+
+@query(f"""WITH e AS ({_ENTRIES}), s AS (SELECT source, CASE WHEN trim(source) = '' THEN 'empty_source' WHEN source <> trim(source) THEN 'source_not_trimmed' WHEN mode NOT IN ('keep','translate','annotate') THEN 'unknown_mode'
+ WHEN mode = 'keep' AND target IS NOT NULL THEN 'target_with_keep' WHEN mode <> 'keep' AND coalesce(trim(target), '') = '' THEN 'missing_target' END AS error FROM e)
+SELECT * FROM s WHERE error IS NOT NULL UNION ALL SELECT min(source), 'duplicate_source' FROM e GROUP BY lower(source) HAVING count(*) > 1""")
+def glossary_errors_of_parts(spark, folder):
+    """A glossary of all parts, made with every kind of error."""
+    table(spark, folder, "part").createOrReplaceTempView("part_rows")
+    return glossary.glossary_errors(spark.sql(_ENTRIES.replace("FROM part", "FROM part_rows")))
+
+
 @query(r"""SELECT seg_key, CASE WHEN regexp_matches(coalesce(visible, text), '\p{L}') THEN coalesce(replaced, upper(replace(text, 'ß', 'ss'))) ELSE text END AS translated FROM
 (SELECT seg_key, any_value(text) AS text, any_value(protected_spans) AS spans FROM text_segment GROUP BY seg_key) s LEFT JOIN
 (SELECT seg_key, string_agg(CASE WHEN kind THEN substr(text, a + 1, b - a) ELSE upper(replace(substr(text, a + 1, b - a), 'ß', 'ss')) END, '' ORDER BY a) AS replaced,
@@ -344,6 +377,31 @@ def scope_conflicts(spark, folder):
     return alignment.conflicts(alignment.scope_rows(_pairs(spark, folder)))
 
 
+_SHIFTED = ", sh AS (SELECT * FROM sc UNION ALL SELECT pair_key, scope_id || '+', a + (b - a + 1) // 2, b + (b - a + 1) // 2, link_target FROM sc)"
+
+
+@query(f"""WITH {_SCOPES}{_SHIFTED} SELECT l.pair_key, l.scope_id, string_agg(DISTINCT r.scope_id, ',' ORDER BY r.scope_id) AS others FROM sh l JOIN sh r ON l.pair_key = r.pair_key AND l.scope_id <> r.scope_id
+AND l.a < r.b AND r.a < l.b WHERE NOT (l.a <= r.a AND r.b <= l.b) AND NOT (r.a <= l.a AND l.b <= r.b) GROUP BY ALL""")
+def scope_conflicts_shifted(spark, folder):
+    """Every scope beside a copy that is moved by half its length, so that conflicts are there to be found."""
+    scopes = alignment.scope_rows(_pairs(spark, folder))
+    half = F.floor((F.col("end_pos") - F.col("start_pos") + 1) / 2).cast("int")
+    moved = scopes.select("pair_key", F.concat("scope_id", F.lit("+")).alias("scope_id"), (F.col("start_pos") + half).alias("start_pos"), (F.col("end_pos") + half).alias("end_pos"), "link_target")
+    return alignment.conflicts(scopes.unionByName(moved))
+
+
+@query(f"""WITH {_SCOPES}, w AS (SELECT sc.pair_key, scope_id, greatest(a - 20, 0) AS sa, least(b + 20, length(source)) AS sb, greatest(a - 10, 0) AS ta, least(b + 30, length(target)) AS tb FROM sc JOIN p USING (pair_key))
+SELECT l.pair_key, l.scope_id, string_agg(DISTINCT r.scope_id, ',' ORDER BY r.scope_id) AS conflicts_with FROM w l JOIN w r ON l.pair_key = r.pair_key AND l.scope_id <> r.scope_id
+AND ((l.sa < r.sb AND r.sa < l.sb) OR (l.ta < r.tb AND r.ta < l.tb)) GROUP BY ALL""")
+def window_conflicts(spark, folder):
+    """Windows around all scopes, wider than they are, that meet on the side of the source or of the target."""
+    pairs = _pairs(spark, folder)
+    near = alignment.scope_rows(pairs).join(pairs.select("pair_key", F.length("source").alias("s"), F.length("target").alias("t")), "pair_key")
+    low, high = lambda n: F.greatest(F.col("start_pos") - n, F.lit(0)), lambda n, side: F.least(F.col("end_pos") + n, F.col(side))
+    windows = near.select("pair_key", "scope_id", low(20).alias("source_start"), high(20, "s").alias("source_end"), low(10).alias("target_start"), high(30, "t").alias("target_end"))
+    return alignment.window_conflicts(windows)
+
+
 @query(f"""WITH {_SCOPES} SELECT pair_key, scope_id, (SELECT max(lk.b) FROM lk WHERE lk.pair_key = sc.pair_key AND lk.b <= sc.a) AS before_end,
 (SELECT min(lk.a) FROM lk WHERE lk.pair_key = sc.pair_key AND lk.a >= sc.b) AS after_start FROM sc""")
 def nearest_anchor(spark, folder):
@@ -365,18 +423,42 @@ def expected_spans_valid(spark, folder):
     return spans.groupBy("pair_key").agg(F.count(F.lit(1)).alias("spans"), F.bool_and(sound).alias("sound"))
 
 
-@query()
+_ANCHORED = f"""p AS (SELECT DISTINCT pair_key, coalesce(source, '') AS source, coalesce(target, '') AS target, coalesce(markers, []) AS t, coalesce(marker_prefix, '') AS prefix FROM en_de),
+w AS (SELECT *, regexp_extract_all(source, '{WORD}') AS a, regexp_extract_all(target, '{WORD}') AS b, regexp_extract_all(source, prefix || 'X[0-9]+Z') AS fa, regexp_extract_all(target, prefix || 'X[0-9]+Z') AS fb FROM p),
+c AS (SELECT *, least(len(a), len(b)) AS n, CASE WHEN prefix = '' THEN NULL
+ WHEN len(list_distinct(t)) < len(t) OR NOT list_bool_and(list_concat([true], list_transform(t, lambda x: regexp_full_match(x, prefix || 'X[0-9]+Z')))) THEN 'the registered markers are not distinct markers of their namespace'
+ WHEN list_sort(fa) <> list_sort(t) THEN 'missing, duplicate or unexpected marker in the source' WHEN len(string_split(lower(source), lower(prefix))) - 1 > len(fa) THEN 'damaged marker in the source'
+ WHEN list_sort(fb) <> list_sort(t) THEN 'missing, duplicate or unexpected marker in the target' WHEN len(string_split(lower(target), lower(prefix))) - 1 > len(fb) THEN 'damaged marker in the target' END AS error FROM w),
+k AS (SELECT *, CASE WHEN prefix = '' THEN [] ELSE list_filter(range(1, n + 1), lambda i: list_contains(t, a[i]) OR list_contains(t, b[i])) END AS touched FROM c),
+aligned AS (SELECT pair_key, CASE WHEN error IS NULL THEN n - len(touched) + CASE WHEN prefix = '' THEN 0 ELSE len(t) END ELSE 0 END AS links,
+ CASE WHEN error IS NULL THEN len(list_filter(a[n + 1:], lambda x: prefix = '' OR NOT list_contains(t, x))) ELSE len(a) END AS unaligned,
+ CASE WHEN error IS NULL THEN len(list_filter(touched, lambda i: NOT list_contains(t, a[i]))) ELSE 0 END AS ambiguous, error IS NOT NULL AS failed, coalesce(error, '') AS errors FROM k)"""
+
+
+@query(f"WITH {_ANCHORED} SELECT * FROM aligned")
 def alignment_components(spark, folder):
     """Links of the positional double as connected components, with anchored markers; a union-find within each pair."""
     return alignment.align_pairs(_pairs(spark, folder))
 
 
-@query()
+@query(f"WITH {_ANCHORED} SELECT count(*) AS pairs, sum(links)::bigint AS links, sum(unaligned)::bigint AS unaligned, sum(ambiguous)::bigint AS ambiguous, count(*) FILTER (failed) AS failed FROM aligned")
 def alignment_statistics(spark, folder):
     return alignment.statistics(alignment.align_pairs(_pairs(spark, folder)))
 
 
-@query()
+_PLACES = """SELECT pair_key, row_number() OVER (PARTITION BY pair_key ORDER BY i) AS k, a, b FROM (SELECT pair_key, i, x, (sum(length(x)) OVER w - length(x))::int AS a, (sum(length(x)) OVER w)::int AS b FROM
+(SELECT pair_key, unnest(regexp_extract_all({side}, '{piece}')) AS x, generate_subscripts(regexp_extract_all({side}, '{piece}'), 1) AS i FROM p) WINDOW w AS (PARTITION BY pair_key ORDER BY i)) WHERE regexp_matches(x, '[^{space}]')"""
+
+
+@query(f"""WITH {_SCOPES}, sw AS ({_PLACES.format(side="source", piece=f"{WORD}|[{SPACE}]+", space=SPACE)}), tw AS ({_PLACES.format(side="target", piece=f"{WORD}|[{SPACE}]+", space=SPACE)}),
+t AS (SELECT sc.*, w.k, w.a AS wa, w.b AS wb, v.a AS va, v.b AS vb FROM sc LEFT JOIN sw w ON w.pair_key = sc.pair_key AND w.a < sc.b AND sc.a < w.b LEFT JOIN tw v ON v.pair_key = sc.pair_key AND v.k = w.k),
+g AS (SELECT pair_key, scope_id, a, b, link_target, CASE WHEN count(k) > count(va) THEN 'unresolved_source' WHEN bool_or(va IS NOT NULL AND (wa < a OR wb > b)) THEN 'crossing_source_boundary' WHEN count(k) = 0 THEN 'no_target' END AS reason,
+ string_agg('[' || greatest(wa, a) || ',' || least(wb, b) || ')', ', ' ORDER BY wa) FILTER (k IS NOT NULL AND va IS NULL) AS loose, string_agg('[' || wa || ',' || wb || ')', ', ' ORDER BY wa) FILTER (va IS NOT NULL) AS touched,
+ min(va) AS start_pos, max(vb) AS end_pos FROM t GROUP BY pair_key, scope_id, a, b, link_target),
+h AS (SELECT *, reason IS NULL AND link_target IS NOT NULL AND EXISTS (SELECT 1 FROM g o WHERE o.pair_key = g.pair_key AND o.scope_id <> g.scope_id AND o.reason IS NULL AND o.link_target IS NOT NULL AND o.start_pos < g.end_pos AND g.start_pos < o.end_pos) AS clash FROM g)
+SELECT pair_key, scope_id, CASE WHEN reason IS NULL AND NOT clash THEN 'kept' ELSE 'dropped' END AS action, CASE WHEN clash THEN 'overlapping_links' ELSE reason END AS reason, CASE WHEN reason IS NULL AND NOT clash THEN start_pos END AS start_pos,
+CASE WHEN reason IS NULL AND NOT clash THEN end_pos END AS end_pos, CASE WHEN clash THEN scope_id || ': overlapping_links' WHEN reason IS NOT NULL THEN scope_id || ': ' || reason || '; alignment_source_ranges=' ||
+ CASE reason WHEN 'unresolved_source' THEN loose WHEN 'no_target' THEN '[' || a || ',' || b || ')' ELSE touched END END AS diagnostic FROM h""")
 def projected_formatting(spark, folder):
     return alignment.project_pairs(_pairs(spark, folder))
 
@@ -424,9 +506,9 @@ def html_signatures(spark, folder):
 @query("""SELECT seg_key, len(regexp_extract_all(text, '&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);')) AS entities, len(regexp_extract_all(text, '</?[A-Za-z][^<>]*>')) AS tags
 FROM (SELECT DISTINCT seg_key, text FROM text_segment WHERE document_format = 'html')""")
 def html_entity_counts(spark, folder):
-    pages = _segments(spark, folder, "document_format", "text").where("document_format = 'html'")
+    pages = _delivered(spark, folder, "document_format", "text").where("document_format = 'html'")
     count = lambda pattern: F.regexp_count("text", F.lit(pattern))
-    return pages.select("seg_key", count("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);").alias("entities"), count("</?[A-Za-z][^<>]*>").alias("tags"))
+    return pages.select("seg_key", count("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);").alias("entities"), count("</?[A-Za-z][^<>]*>").alias("tags")).dropDuplicates(["seg_key"])
 
 
 def _marked_jobs(spark, folder):
@@ -483,6 +565,19 @@ def odt_blocks(spark, folder):
     return odt.odt_blocks(_packages(spark, folder), "run_id", "content").drop("protected_spans")
 
 
+@query("""SELECT run_id, count(*) AS blocks, count(*) FILTER (regexp_matches(text, '\\S')) AS eligible, 0::bigint AS skipped, count(*) FILTER (NOT regexp_matches(text, '\\S')) AS blank
+FROM (SELECT DISTINCT run_id, seg_no, coalesce(text, '') AS text FROM text_segment WHERE document_format = 'odt') GROUP BY run_id""")
+def odt_inventory_counts(spark, folder):
+    return evaluation.inventory_counts(odt.odt_blocks(_packages(spark, folder), "run_id", "content"), "run_id")
+
+
+@query()
+def odt_evaluation(spark, folder):
+    """Packages through the aligned path: their inventory beside the issues of their translation."""
+    packages = _packages(spark, folder)
+    return evaluation.evaluate_packages(odt.odt_blocks(packages, "run_id", "content"), aligned.translate_aligned_odt(packages, "run_id", "content", backends.upper), "run_id")
+
+
 @query()
 def translated_aligned_odt(spark, folder):
     """Packages through the aligned path with the upper-case double, read back by block, with the issues of their package; a bad one is a row with its error."""
@@ -506,6 +601,16 @@ def style_closure(spark, folder):
     return odt.closure(spark.createDataFrame(edges, "style string, parent string"), spark.createDataFrame([("Preformatted",)], "style string"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT run_id || ':' || seg_no AS style, run_id || ':' || (seg_no - 1) AS parent FROM (SELECT DISTINCT run_id, seg_no FROM text_segment)),
+r(style) AS (SELECT DISTINCT run_id || ':1' FROM text_segment WHERE document_format = 'odt' UNION SELECT e.style FROM e JOIN r ON e.parent = r.style) SELECT style FROM r""")
+def style_closure_chains(spark, folder):
+    """Every segment as a style that inherits from the one before it in its run: chains as long as documents."""
+    rows = table(spark, folder, "text_segment")
+    name = lambda n: F.concat("run_id", F.lit(":"), n.cast("string"))
+    edges = rows.select(name(F.col("seg_no")).alias("style"), name(F.col("seg_no") - 1).alias("parent")).distinct()
+    return odt.closure(edges, rows.where("document_format = 'odt'").select(name(F.lit(1)).alias("style")))
+
+
 # ---- review and issues ------------------------------------------------------------------------------------------------
 
 _JOBS = "j AS (SELECT DISTINCT id AS job_id, source_name FROM review_job), b AS (SELECT DISTINCT job_id, ord, id, original, proposal FROM review_block)"
@@ -534,6 +639,20 @@ def review_import_errors(spark, folder):
     return review.review_errors(review.review_blocks(review.review_texts(_jobs(spark, folder), blocks)), blocks)
 
 
+@query("""WITH b AS (SELECT DISTINCT job_id, ord, id FROM review_block), w AS (SELECT DISTINCT job_id FROM b)
+SELECT job_id, id, 'missing_block' AS error FROM b WHERE ord % 5 = 0 UNION ALL SELECT job_id, id, 'duplicate_block' FROM b WHERE ord % 5 = 1 UNION ALL
+SELECT job_id, id, 'reference_changed' FROM b WHERE ord % 5 = 2 UNION ALL SELECT job_id, 'x-0', 'unknown_block' FROM w""")
+def review_import_defects(spark, folder):
+    """Reviews read back with planted defects: of every five blocks one is left out, one is there twice, and one has another original; each review has a block that no job knows."""
+    blocks = _blocks(spark, folder)
+    read = review.review_blocks(review.review_texts(_jobs(spark, folder), blocks)).join(blocks.select("job_id", "id", "ord"), ["job_id", "id"])
+    changed = F.when(F.col("ord") % 5 == 2, F.concat("original", F.lit("\nchanged"))).otherwise(F.col("original"))
+    kept = read.where("ord % 5 <> 0").withColumn("original", changed)
+    twice = kept.unionByName(kept.where("ord % 5 = 1")).drop("ord")
+    unknown = blocks.select("job_id").distinct().select("job_id", F.lit("x-0").alias("id"), *(F.lit("x").alias(c) for c in ("label", "original", "proposal", "correction")), F.lit(None).cast("string").alias("error"))
+    return review.review_errors(twice.unionByName(unknown), blocks).distinct()
+
+
 @query("""SELECT job_id, ord, id, CASE WHEN ord % 3 = 0 THEN upper(replace(original, 'ß', 'ss')) ELSE proposal END AS text FROM (SELECT DISTINCT job_id, ord, id, original, proposal FROM review_block)""")
 def review_select(spark, folder):
     """Every third block corrected, the others accepted as proposed."""
@@ -547,6 +666,25 @@ def review_job_errors(spark, folder):
     return review.job_errors(table(spark, folder, "review_job").dropDuplicates(["id"]))
 
 
+_DEFECTS = """SELECT CASE WHEN k % 5 = 0 THEN upper(id) ELSE id END AS id, CASE WHEN k % 5 = 1 THEN '../' || source_name WHEN k % 25 = 2 THEN '' ELSE source_name END AS source_name,
+CASE WHEN k % 5 = 3 THEN 3 - schema_version ELSE schema_version END AS schema_version, document_format, source, CASE WHEN k % 5 = 4 THEN 'x' || source_sha256 ELSE source_sha256 END AS source_sha256"""
+
+
+@query(f"""WITH d AS ({_DEFECTS}, k FROM (SELECT DISTINCT id, source_name, schema_version, document_format, source, source_sha256, length(source_name) + ascii(id) AS k FROM review_job))
+SELECT id, unnest(list_filter([CASE WHEN k % 5 = 3 THEN 'schema_and_format' END, CASE WHEN NOT regexp_matches(id, '^[0-9a-f-]+$') THEN 'job_id' END,
+CASE WHEN k % 5 = 1 OR source_name = '' THEN 'source_name' END, CASE WHEN k % 5 = 4 THEN 'source_changed' END], lambda x: x IS NOT NULL)) AS error FROM d""")
+def review_job_defects(spark, folder):
+    """Jobs with planted defects of every kind."""
+    table(spark, folder, "review_job").dropDuplicates(["id"]).withColumn("k", F.length("source_name") + F.ascii("id")).createOrReplaceTempView("job_rows")
+    return review.job_errors(spark.sql(_DEFECTS + " FROM job_rows"))
+
+
+@query(f"""SELECT job_id, id, unnest(list_filter([CASE WHEN coalesce(original, '') = '' OR NOT regexp_matches(original, '[^{SPACE}]') THEN 'blank_original' END,
+CASE WHEN coalesce(proposal, '') = '' OR NOT regexp_matches(proposal, '[^{SPACE}]') THEN 'blank_proposal' END], lambda x: x IS NOT NULL)) AS error FROM (SELECT DISTINCT job_id, id, original, proposal FROM review_block)""")
+def review_block_checks(spark, folder):
+    return review.block_errors(_blocks(spark, folder))
+
+
 @query("SELECT DISTINCT id, sha256(source) AS sha256, sha256(source) = source_sha256 AS unchanged FROM review_job")
 def source_fingerprint(spark, folder):
     jobs = table(spark, folder, "review_job").select("id", "source", "source_sha256").dropDuplicates(["id"])
@@ -597,7 +735,12 @@ def markdown_finalized(spark, folder):
     return finalize.finalized_markdown(_marked_jobs(spark, folder), blocks.withColumn("chosen", chosen))
 
 
-@query()
+@query(r"""WITH j AS (SELECT DISTINCT id, decode(source) AS text FROM review_job WHERE document_format = 'md'),
+b AS (SELECT job_id, source_info.start_pos AS s, source_info.end_pos AS e, CASE WHEN type = 'table_cell' THEN replace(replace(replace(regexp_replace(regexp_replace(proposal, '\r\n?', chr(10), 'g'), '\s*\n\s*', ' ', 'g'), '\|', chr(1)), '|', '\|'), chr(1), '\|')
+      ELSE regexp_replace(proposal, '[\r\n]+$', '') END AS chosen FROM (SELECT job_id, id, any_value(type) AS type, any_value(proposal) AS proposal, any_value(source_info) AS source_info FROM review_block GROUP BY job_id, id) WHERE source_info.start_pos IS NOT NULL),
+p AS (SELECT j.id, b.s, substr(text, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || coalesce(chosen || regexp_extract(substr(text, s + 1, e - s), '[\r\n]*$'), substr(text, s + 1, e - s)) AS part
+      FROM j JOIN b ON j.id = b.job_id WINDOW w AS (PARTITION BY j.id ORDER BY s, e))
+SELECT j.id, coalesce((SELECT string_agg(part, '' ORDER BY s) FROM p WHERE p.id = j.id), '') || substr(text, coalesce((SELECT max(e) FROM b WHERE b.job_id = j.id), 0) + 1) AS document, true AS sound FROM j""".replace("\\\\", "\\"))
 def markdown_finalized_cells(spark, folder):
     """Markdown jobs with all proposals accepted, those of table cells included, on one line and with their pipes escaped."""
     blocks = table(spark, folder, "review_block").select("job_id", "id", "type", F.col("proposal").alias("chosen"), "source_info.start_pos", "source_info.end_pos").dropDuplicates(["job_id", "id"])
@@ -633,6 +776,15 @@ def issue_errors(spark, folder):
     return issues.issue_errors(_issues(spark, folder))
 
 
+@query("""SELECT issue_key, error FROM (SELECT issue_key, unnest([CASE WHEN issue_key % 5 = 0 THEN 'unknown_action' END, CASE WHEN issue_key % 3 = 0 AND segment_type <> 'paragraph' THEN 'paragraph_number' END,
+CASE WHEN issue_key % 7 = 0 THEN 'page' END]) AS error FROM (SELECT DISTINCT issue_key, segment_type FROM translation_issue)) WHERE error IS NOT NULL""")
+def issue_defects(spark, folder):
+    """Issues with planted defects: actions that nobody knows, paragraph numbers on anything, and pages."""
+    key = F.col("issue_key")
+    rows = _issues(spark, folder).withColumn("action", F.when(key % 5 == 0, F.lit("other")).otherwise(F.col("action")))
+    return issues.issue_errors(rows.withColumn("paragraph_number", F.when(key % 3 == 0, 1).otherwise(F.col("paragraph_number"))).withColumn("page", F.when(key % 7 == 0, 1).otherwise(F.col("page"))))
+
+
 @query("""SELECT error_kind, count(*) AS times FROM (SELECT regexp_replace(unnest(e), ':.*$', '', 's') AS error_kind FROM
 (SELECT issue_key, any_value(diagnostics.validation_errors) AS e FROM translation_issue GROUP BY issue_key)) GROUP BY error_kind""")
 def validation_error_counts(spark, folder):
@@ -652,12 +804,25 @@ def issue_context(spark, folder):
 @query("""SELECT document_format, median(length(text)) AS median_chars, quantile_disc(length(text), 0.9) AS p90_chars, max(length(text)) AS most_chars FROM
 (SELECT DISTINCT seg_key, document_format, text FROM text_segment) GROUP BY document_format""")
 def length_percentiles(spark, folder):
-    size = F.length("text")
-    return _segments(spark, folder, "document_format", "text").groupBy("document_format").agg(
-        F.percentile(size, 0.5).alias("median_chars"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY length(text))").cast("int").alias("p90_chars"), F.max(size).alias("most_chars")
+    sizes = _delivered(spark, folder, "document_format", F.length("text").alias("size")).dropDuplicates(["seg_key"])
+    return sizes.groupBy("document_format").agg(
+        F.percentile("size", 0.5).alias("median_chars"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY size)").cast("int").alias("p90_chars"), F.max("size").alias("most_chars")
     )
 
 
+@query("SELECT seg_key, length(text) AS chars FROM (SELECT DISTINCT seg_key, text FROM text_segment) WHERE text IS NOT NULL ORDER BY length(text) DESC, seg_key LIMIT 20")
+def longest_segments(spark, folder):
+    """A report of the twenty longest texts; each partition keeps no more than twenty rows, so nothing is sorted as a whole."""
+    return _delivered(spark, folder, F.length("text").alias("chars")).where("chars is not null").dropDuplicates(["seg_key"]).orderBy(F.desc("chars"), "seg_key").limit(20)
+
+
+@query("SELECT id, category, source, reference, upper(replace(source, 'ß', 'ss')) AS translated, NULL::varchar AS error, len(criteria) AS criteria FROM eval_item")
+def suite_evaluation(spark, folder):
+    """The held-out suite through the upper-case double."""
+    done = evaluation.evaluate_suite(table(spark, folder, "eval_item"), backends.upper)
+    return done.select("id", "category", "source", "reference", "translated", "error", F.size("kept").alias("criteria"))
+
+
 @query("SELECT item_id, upper(substr(sha256(source || chr(10) || reference), 1, 16)) AS fingerprint, len(criteria) AS criteria, format IN ('txt', 'markdown', 'html') AS known_format FROM eval_item")
 def suite_fingerprints(spark, folder):
     items = table(spark, folder, "eval_item")
@@ -665,6 +830,58 @@ def suite_fingerprints(spark, folder):
     return items.select("item_id", hashed.alias("fingerprint"), F.size("criteria").alias("criteria"), F.col("format").isin("txt", "markdown", "html").alias("known_format"))
 
 
+# ---- review jobs from documents ---------------------------------------------------------------------------------------
+
+
+def _files(spark, folder):
+    """The snapshots of all jobs as files of their names."""
+    jobs = table(spark, folder, "review_job").dropDuplicates(["id"])
+    return jobs.select(F.concat("id", F.lit("-"), "source_name").alias("name"), "document_format", F.col("source").alias("content"))
+
+
+_ID = "sha256(id || '-' || source_name || chr(10) || sha256(source) || chr(10) || 'en' || chr(10) || 'de')"
+
+
+@query(f"""SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, name AS source_name, 'en' AS source_lang, 'de' AS target_lang, sha256(source) AS source_sha256,
+CASE document_format WHEN 'txt' THEN 1 WHEN 'md' THEN 2 END AS schema_version, document_format FROM (SELECT DISTINCT id || '-' || source_name AS name, {_ID} AS h, source, document_format FROM review_job)""")
+def review_jobs_created(spark, folder):
+    return review_jobs.created_jobs(_files(spark, folder), "en", "de").drop("source")
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT id AS job_id, row_number() OVER (PARTITION BY id ORDER BY block_no) AS seg_no, {_KIND} AS type, whole FROM blocks WHERE NOT blank)
+SELECT job_id, (seg_no - 1)::int AS ord, seg_no::varchar AS id, type, whole AS original, CASE WHEN regexp_matches(whole, '\\p{{L}}') THEN upper(replace(whole, 'ß', 'ss')) ELSE whole END AS proposal, NULL::varchar AS action FROM n""")
+def review_prepared_txt(spark, folder):
+    """Jobs over plain text, with a proposal of the upper-case double for every block."""
+    jobs = table(spark, folder, "review_job").where("document_format = 'txt'").dropDuplicates(["id"])
+    return review_jobs.prepared_blocks(jobs, backends.upper).select("job_id", "ord", "id", "type", "original", "proposal", "action")
+
+
+def _prepared_md(spark, folder):
+    jobs = table(spark, folder, "review_job").where("document_format = 'md'").dropDuplicates(["id"])
+    return jobs, review_jobs.prepared_blocks(jobs, backends.upper)
+
+
+@query()
+def review_prepared_md(spark, folder):
+    """The same over Markdown: blocks as they read, literals as they are."""
+    return _prepared_md(spark, folder)[1].select("job_id", "ord", "id", "type", "original", "proposal", "action", "source_info.start_pos", "source_info.end_pos", F.array_join("source_info.protected", " | ").alias("protected"))
+
+
+@query()
+def review_block_errors(spark, folder):
+    """Markdown jobs that have no form for review, and why."""
+    jobs = table(spark, folder, "review_job").where("document_format = 'md'").dropDuplicates(["id"])
+    return review_jobs.job_blocks(jobs).where("error is not null").select("job_id", "error")
+
+
+@query()
+def review_finalized_md(spark, folder):
+    """Prepared Markdown reviews, all proposals accepted, as documents again: each reads as its proposals, or has no document."""
+    jobs, prepared = _prepared_md(spark, folder)
+    done = review_jobs.finalized_markdown(jobs, prepared.select("job_id", "id", F.col("proposal").alias("text")))
+    return done.select("id", "document", F.array_join("issues", "; ").alias("issues"), "error")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, their sentences and matched terms, and how much of them the pipeline translates, by language and format."""
     segments = _segments(spark, folder, "lang", "document_format", "text", "protected_spans")

@@ -81,6 +81,7 @@ def review_jobs(files: DataFrame) -> DataFrame:
         def work(row: dict) -> list[tuple]:
             try:
                 job, source = review.unpacked(row["content"] or b"")
+                review.checked_job(job, source)
                 return [(row["path"], job.get("id"), job.get("source_name"), job.get("document_format"), job.get("schema_version"), source, None)]
             except review.ReviewError as e:
                 return [(row["path"], None, None, None, None, None, str(e))]

@@ -95,3 +95,27 @@ def test_issue_log_and_totals(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         issues.write_log(df, str(tmp_path / "log"), "issue_key")
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_job_files_are_checked(spark):
+    import hashlib
+    import uuid
+
+    from folioflow.operators import review as rv
+    from folioflow.sources import files
+
+    source = b"One line"
+    good = {"id": str(uuid.UUID(int=5)), "source_name": "a.txt", "source_lang": "en", "target_lang": "de", "source_sha256": hashlib.sha256(source).hexdigest(), "document_format": "txt", "schema_version": 1}
+    bad = {"id": "x", "source_name": "../a", "source_sha256": "0", "schema_version": 2, "target_lang": None}
+    rows = [("good", rv.packed(good, source))] + [(k, rv.packed(good | {k: v}, source)) for k, v in bad.items()] + [("none", None), ("zip", b"PK")]
+    found = {r.path: r for r in files.review_jobs(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert found["good"].error is None and bytes(found["good"].source) == source and found["good"].id == good["id"]
+    assert all(found[k].error for k in [*bad, "none", "zip"])
+
+
+def test_block_errors(spark):
+    from folioflow.operators import review as rv
+
+    rows = [("j", "1", "a", "b"), ("j", "1", "a", "b"), ("j", "2", " ", None), ("j", None, "a", "b")]
+    got = sorted((r.id or "", r.error) for r in rv.block_errors(spark.createDataFrame(rows, "job_id string, id string, original string, proposal string")).collect())
+    assert got == [("", "block_id"), ("1", "duplicate_block"), ("2", "blank_original"), ("2", "blank_proposal")]

@@ -131,6 +131,22 @@ def test_failing_backends_keep_the_source_with_its_terms(spark):
         gl.for_languages(entries, "en", "fr")
 
 
+def test_budgets_and_listeners(spark):
+    from folioflow.functions import progress
+
+    count = lambda text: len(text.split())
+    assert [backends.budget(count, 8, share)("a b c d e f") for share in (1.0, 0.75)] == [True, False]
+    rows = [(1, "one two. three four five", None), (2, "six", None)]
+    fits = lambda: backends.budget(lambda text: len(text.split()), 4)
+    done = translate_segments(segments(spark, rows), ["id"], backends.upper, fits=fits)
+    watched, seen = progress.observed(done, issues=F.count("action"))
+    assert {r.id: r.translated for r in watched.collect()} == {1: "ONE TWO. THREE FOUR FIVE", 2: "SIX"}
+    assert seen.get == {"rows": 2, "issues": 0}
+    heard = spark.sparkContext.accumulator(0)
+    progress.notify(done, lambda: lambda row: heard.add(row.id))
+    assert heard.value == 3
+
+
 def test_the_model_is_called_once_for_many_texts():
     calls = []
 
@@ -140,7 +156,7 @@ def test_the_model_is_called_once_for_many_texts():
 
     from folioflow.plans.translate import translation
 
-    assert [o for o, _ in backends.answered([translation(t, None, 8) for t in ("one two. three", "four", " ")], model)] == ["ONE TWO. THREE", "FOUR", " "]
+    assert [o for o, _ in backends.answered([translation(t, None, lambda s: len(s) <= 8) for t in ("one two. three", "four", " ")], model)] == ["ONE TWO. THREE", "FOUR", " "]
     assert calls == [3]
     with pytest.raises(RuntimeError, match="reply"):
         backends.answered([translation("x", None, None)], lambda texts: [])
