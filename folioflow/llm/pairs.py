@@ -43,30 +43,23 @@ FUNCTION_WORDS = {
     "tr": "ve bir bu için ile de da çok daha sonra önce göre kadar her değil olarak olan ancak veya gibi",
     "ro": "și în de la cu pe nu este un o care pentru din să după înainte timpul fără toate sau dar sunt prin",
 }
-#: Words about the request itself, and the stems of refusing; a refusal joins two of them in one sentence. Fixed values.
-REFUSALS = re.compile(
-    r"""\bas\ an?\ (?:\w+\s)?(?:language\ model|assistant)\b | \bas\ an?\ ai\b | \bmy\ (?:guidelines|rules|policy|policies|instructions|programming|principles)\b
-    | \b(?:i|we)(?:'m|’m|\ am|\ are)?\b[^.!?]{0,40}\b(?:can't|can’t|cannot|can\ not|won't|won’t|will\ not|unable|not\ able|not\ allowed|not\ permitted|must\ decline|have\ to\ decline|decline|refuse|rather\ not|don't|do\ not)\b
-        [^.!?]{0,40}\b(?:translat\w*|render\w*|request|help|assist\w*|passage|text|content|comply|do\ it|do\ this|do\ that|proceed|process\w*|provide|answer|this)\b
-    | \b(?:i|we)\ will\ not\ do\ it\b | \bnot\ possible\ for\ (?:me|us)\b | \b(?:cannot|can't|can’t|can\ not|won't|will\ not)\ be\ (?:processed|translated|rendered|provided)\b
-    | \b(?:content|text|translation|output)\ (?:is\ |was\ )?(?:withheld|blocked|removed|refused|declined)\b | \b(?:withheld|declined|refused|blocked)\ by\ the\ (?:assistant|model|system)\b
-    | \bno\ translation\ (?:will|can|is|shall)\b | \b(?:request|content|text|passage)\b[^.!?]{0,30}\b(?:goes\ against|violates|breaks|falls\ outside|lies\ outside|is\ outside|conflicts\ with|not\ permitted|against\ (?:my|the|our))\b
-    | \bask\ (?:a|another)\ (?:human|translator|person)\b | \bi\ (?:would|'d|’d)\ rather\ not\b | \boutside\ (?:of\ )?what\ i\b | \b(?:provide|enter|submit|send|try)\ (?:a\ different|another)\ (?:text|request|passage)\b
-    | \b(?:als|bin\ (?:nur\ )?ein)\ (?:\w+\s)?(?:sprachmodell|ki|ki-\w+|assistent\w*|sprachassistent\w*)\b | \b(?:meinen?|meiner|unseren?|den|gegen\ die)\ (?:richtlinien|vorgaben|regeln|grundsätzen?)\b
-    | \b(?:kann|darf|muss|möchte|will|werde|soll)\ (?:ich|wir)\b[^.!?]{0,60}\b(?:übersetz\w*|ablehn\w*|helfen|weiterhelfen|unterstützen|bearbeiten|wiedergeben|verarbeiten|verweiger\w*|nachkommen|absehen)\b
-    | \b(?:ich|wir)\b[^.!?]{0,60}\b(?:nicht\ (?:übersetz\w*|helfen|bearbeiten|wiedergeben|verarbeiten|nachkommen|möglich|unterstütz\w*)|ablehn\w*|lehne\b[^.!?]{0,30}\bab\b|verweiger\w*|verzichte)
-    | \b(?:lehne|verweigere|gebe)\ ich\b | \bich\ gebe\ keine\b | \b(?:ist\ (?:mir|uns)|mir\ ist)\b[^.!?]{0,40}\bnicht\ möglich\b | \bkeine\ übersetzung\b[^.!?]{0,25}\b(?:ab|an|möglich|bereit\w*|erstell\w*|gegeben|geben|liefern|anbieten)\b
-    | \baußerhalb\ dessen\b | \b(?:anderen|neuen)\ text\ (?:ein|eingeben|an)\b | \b(?:wenden|fragen)\ sie\b[^.!?]{0,40}\b(?:übersetzer|menschen)\w*\b
-    | \b(?:anfrage|bitte|inhalt|text|abschnitt)\b[^.!?]{0,30}\b(?:widerspricht|verstößt|liegt\ außerhalb)\b | \bwobei\ ich\ unterstütze\b
-    | \bje\ ne\ (?:peux|puis|suis)\b[^.!?]{0,60}\b(?:tradui\w*|aider|répondre|demande)\b | \bno\ puedo\b[^.!?]{0,60}\b(?:traducir|ayudar|solicitud)\b | \bik\ kan\b[^.!?]{0,60}\b(?:vertalen|helpen|verzoek)\b""",
-    re.I | re.X,
-)
-#: Words without one of which no sentence is a refusal.
-TRIGGERS = set(
-    """i i'm i’m we we're we’re me us my our model assistant ai translation content request text passage output translator ich wir mir uns mein meine meinen meiner
-    unser unsere unseren ki sprachmodell assistent assistentin richtlinien vorgaben regeln grundsätze grundsätzen übersetzung übersetzer text anfrage bitte inhalt
-    abschnitt je puedo ik ki-modell ki-assistent sprachassistent dessen""".split()
-)
+#: Words of a refusal by language: who speaks, what declines, and what is declined or why. A star stands
+#: for any ending, a low line for a gap of at most one word. Fixed values.
+REFUSAL = {
+    "en": (
+        "i i'm i’m i'd i’d we we're we’re me us my our assistant model ai",
+        "can't can’t cannot can_not couldn't won't won’t will_not unable not_able not_allowed not_permitted not_possible not_going_to rather_not must_not don't_feel_comfortable declin* refus* withh* blocked no_translation against violat* breaks outside_what outside_of_what outside_my outside_our falls_outside lies_outside conflict*",
+        "translat* render* request* passage* text* content* help* assist* provid* comply* process* answer* guideline* polic* rule* instruction* principle*",
+    ),
+    "de": (
+        "ich wir mir uns mein* unser* assistent* sprachassistent* sprachmodell* ki ki-*",
+        "nicht kein keine keinen ablehn* abgelehnt lehne lehnen verweiger* verzicht* widerspr* verstößt verstoßen liegt_außerhalb außerhalb_dessen außerhalb_mein* außerhalb_unser* absehen",
+        "übersetz* anfrage* bitte text* inhalt* abschnitt* hilf* helf* weiterhelf* unterstütz* bearbeit* verarbeit* wiedergeb* wiederzugeben nachkommen richtlinie* vorgabe* regel* grundsätz* antwort*",
+    ),
+    "fr": ("je nous moi mon mes notre nos assistant modèle", "ne_peux ne_puis ne_suis_pas ne_pouvons refus* déclin* impossible", "tradu* aid* répond* demande* texte* contenu* passage* règle* directive*"),
+    "es": ("yo me mi mis nosotros nuestr* asistente modelo", "no_puedo no_podemos no_es_posible rechaz* declin* neg*", "traduc* ayud* solicitud* petición texto* contenido* norma* política*"),
+    "nl": ("ik wij we mij ons mijn onze assistent model", "kan_niet kan_geen mag_niet niet_mogelijk weiger* afwijz* geen", "vertal* help* helpen verzoek* tekst* inhoud* passage* richtlijn* regel*"),
+}
 #: Notes that stand in place of a text. Fixed values.
 NOTES = re.compile(
     r"^\W*(?:no|empty|missing|kein|keine|leer|fehlt|none|null|nil|nan|n\W?a|tbd|todo|to do|tba|wip|pending|untranslated|not translated|unübersetzt|nicht übersetzt|(?:translation|übersetzung) (?:missing|pending|fehlt|folgt|follows|here|hier)"
@@ -94,6 +87,26 @@ def _by_word() -> dict[str, list[tuple[str, float]]]:
 BY_WORD = _by_word()
 
 
+def _words(listed: str) -> re.Pattern:
+    one = lambda w: re.escape(w).replace(r"\*", r"\w*").replace("_", r"\s+(?:\w+\s+)?")
+    return re.compile(r"(?<!\w)(?:" + "|".join(one(w) for w in sorted(listed.split(), key=len, reverse=True)) + r")(?!\w)")
+
+
+DECLINING = [tuple(map(_words, lists)) for lists in REFUSAL.values()]
+SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
+
+
+def declines(text: str) -> bool:
+    """Whether a sentence has a word of declining, and beside it a thing that is declined with someone who does, or two such things."""
+    low = text.lower()
+    for actors, refusing, objects in DECLINING:
+        if refusing.search(low):
+            for sentence in SENTENCE_END.split(low):
+                if refusing.search(sentence) and (things := set(objects.findall(sentence))) and (len(things) > 1 or actors.search(sentence)):
+                    return True
+    return False
+
+
 def natural(text: str) -> bool:
     """Whether a text has a word of natural language, and is not just codes, measures or one unbroken string."""
     tokens = (TAGS.sub(" ", text) if "<" in text or "&" in text else text).split()
@@ -188,7 +201,7 @@ def looked_at(original: str | None, proposal: str | None) -> tuple[str | None, i
     if has_words and is_copy(original, proposal):
         return "copied", 0, 0, 0, False
     low = [w.lower() for w in words]
-    if not TRIGGERS.isdisjoint(low) and REFUSALS.search(proposal.replace("\n", " ")) and not REFUSALS.search(original.replace("\n", " ")):
+    if declines(proposal) and not declines(original):
         return "refusal", 0, 0, 0, False
     if not has_words:
         return None, 0, 0, 0, False
