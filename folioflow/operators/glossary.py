@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.arrow import flat_map
+from folioflow.functions.lineage import cut_lineage
 
 SCHEMA = "source string, mode string, target string"
 MODES = ("keep", "translate", "annotate")
-MOST_TERMS = 200_000  # what a driver-built matcher may hold; the checked bound of what every task gets
+MOST_TERMS = 200_000  # what one matcher may hold; the checked bound of what every task gets
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -92,8 +94,8 @@ class TermIndex:
         first = "".join(re.escape(c) for c in sorted({head[0] for head in lengths}))
         self.starts = re.compile(rf"(?<!\w)[{first}]") if first else None
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """``(start, end, number of the term)``"""
+    def find(self, text: str, overlapping: bool = False) -> list[tuple[int, int, int]]:
+        """``(start, end, number of the term)``; with ``overlapping`` the longest match at every place, also within other matches."""
         if self.starts is None:
             return []
         low, size, free = folded(text), len(text), 0
@@ -102,17 +104,19 @@ class TermIndex:
             at = m.start()
             if at < free or odd and at and word_character(text[at - 1]):
                 continue
-            for head in range(self.HEAD, 0, -1):
-                for length in self.lengths.get(low[at : at + head], ()):
-                    end = at + length
-                    if end <= size and (end == size or not word_character(text[end])) and (number := self.numbers.get(low[at:end])) is not None:
-                        found.append((at, end, number))
-                        free = end
-                        break
-                if free > at:
-                    break
+            if (match := self._longest(text, low, at, size)) is not None:
+                found.append((at, *match))
+                free = at if overlapping else match[0]
         return found
 
+    def _longest(self, text: str, low: str, at: int, size: int) -> tuple[int, int] | None:
+        for head in range(self.HEAD, 0, -1):
+            for length in self.lengths.get(low[at : at + head], ()):
+                end = at + length
+                if end <= size and (end == size or not word_character(text[end])) and (number := self.numbers.get(low[at:end])) is not None:
+                    return end, number
+        return None
+
 
 def for_languages(entries: DataFrame, source: str, target: str) -> DataFrame:
     """The entries of a glossary of these languages; raises if it has others. Entries without languages are for any."""
@@ -133,16 +137,32 @@ def collected(entries: DataFrame) -> list[tuple[str, str, str | None]]:
 
 
 def matches(texts: DataFrame, keys: list[str], text: str, entries: DataFrame) -> DataFrame:
-    """``(keys, start_pos, end_pos, source, mode, target)`` of all matches, by the index."""
-    terms = collected(entries)
+    """``(keys, start_pos, end_pos, source, mode, target)`` of all matches, by the index.
+
+    A glossary beyond MOST_TERMS is matched in parts of a bounded size: each part gives the longest match at every place, and of
+    all parts' matches the leftmost and longest are kept, text by text. The keys must tell the texts apart then.
+    """
+    parts = -(-entries.count() // (MOST_TERMS // 2)) or 1 if entries.limit(MOST_TERMS + 1).count() > MOST_TERMS else 1  # half full on average
     fields = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), f"start_pos int, end_pos int, {SCHEMA}"])
 
-    def make():
-        index = TermIndex([t[0] for t in terms])
-        return lambda row: [(*(row[k] for k in keys), a, b, *terms[n]) for a, b, n in index.find(row[text] or "")]
-
-    return flat_map(texts.select(*keys, text), schema, make)
+    def by(terms: list[tuple[str, str, str | None]]) -> DataFrame:
+        def make():
+            index = TermIndex([t[0] for t in terms])
+            return lambda row: [(*(row[k] for k in keys), a, b, *terms[n]) for a, b, n in index.find(row[text] or "", overlapping=parts > 1)]
+
+        return flat_map(texts.select(*keys, text), schema, make)
+
+    if parts == 1:
+        return by(collected(entries))
+    part = F.pmod(F.xxhash64("source"), F.lit(parts))
+    found = reduce(DataFrame.unionByName, [cut_lineage(by(collected(entries.where(part == k)))) for k in range(parts)])
+    row = F.struct("start_pos", (-F.col("end_pos")).alias("minus_end"), "end_pos", "source", "mode", "target")
+    ordered = found.groupBy(*keys).agg(F.array_sort(F.collect_set(row)).alias("all"))  # the matches of one text
+    none = F.array().cast("array<struct<start_pos:int,minus_end:int,end_pos:int,source:string,mode:string,target:string>>")
+    free = lambda kept: F.when(F.size(kept) > 0, F.element_at(kept, -1)["end_pos"]).otherwise(0)
+    kept = F.aggregate("all", none, lambda kept, x: F.when(x["start_pos"] >= free(kept), F.concat(kept, F.array(x))).otherwise(kept))
+    return ordered.select(*keys, F.inline(kept)).drop("minus_end")
 
 
 def matched_terms(texts: DataFrame, keys: list[str], text: str, terms: list[str]) -> DataFrame:

@@ -103,9 +103,13 @@ def laminar(ranges: Column) -> Column:
         ranges,
         lambda r: (0 <= r["outer_start"]) & (r["outer_start"] <= r["inner_start"]) & (r["inner_start"] <= r["inner_end"]) & (r["inner_end"] <= r["outer_end"]) & (r["outer_start"] < r["outer_end"]),
     )
-    fits = lambda a, b: (b["outer_start"] >= a["outer_end"]) | ((b["outer_start"] >= a["inner_start"]) & (b["outer_end"] <= a["inner_end"]))
-    pairs = F.forall(
-        F.sequence(F.lit(1), F.size(ranges) - 1),
-        lambda j: F.forall(F.sequence(F.lit(0), j - 1), lambda i: fits(F.get(ranges, i), F.get(ranges, j)) & (F.get(ranges, i)["outer_start"] <= F.get(ranges, j)["outer_start"])),
-    )
-    return F.coalesce(sound & ((F.size(ranges) < 2) | pairs), F.lit(True))
+    # one pass that keeps the inner parts of the ranges that are open at a place, outermost first
+    none = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,end:int>>").alias("open"))
+
+    def step(acc: Column, r: Column) -> Column:
+        still = F.filter(acc["open"], lambda o: o["end"] > r["outer_start"])
+        fits = (r["outer_start"] >= acc["at"]) & F.forall(still, lambda o: (r["outer_start"] >= o["s"]) & (r["outer_end"] <= o["e"]))
+        inner = F.struct(r["inner_start"].alias("s"), r["inner_end"].alias("e"), r["outer_end"].alias("end"))
+        return F.struct((acc["ok"] & fits).alias("ok"), F.greatest(acc["at"], r["outer_start"]).alias("at"), F.concat(still, F.array(inner)).alias("open"))
+
+    return F.coalesce(sound & F.aggregate(ranges, none, step, lambda acc: acc["ok"]), F.lit(True))

@@ -383,23 +383,27 @@ _SHIFTED = ", sh AS (SELECT * FROM sc UNION ALL SELECT pair_key, scope_id || '+'
 @query(f"""WITH {_SCOPES}{_SHIFTED} SELECT l.pair_key, l.scope_id, string_agg(DISTINCT r.scope_id, ',' ORDER BY r.scope_id) AS others FROM sh l JOIN sh r ON l.pair_key = r.pair_key AND l.scope_id <> r.scope_id
 AND l.a < r.b AND r.a < l.b WHERE NOT (l.a <= r.a AND r.b <= l.b) AND NOT (r.a <= l.a AND l.b <= r.b) GROUP BY ALL""")
 def scope_conflicts_shifted(spark, folder):
+    """Conflicts among scopes and their moved copies."""
+    return alignment.conflicts(_shifted(_pairs(spark, folder)))
+
+
+def _shifted(pairs):
     """Every scope beside a copy that is moved by half its length, so that conflicts are there to be found."""
-    scopes = alignment.scope_rows(_pairs(spark, folder))
+    scopes = alignment.scope_rows(pairs)
     half = F.floor((F.col("end_pos") - F.col("start_pos") + 1) / 2).cast("int")
     moved = scopes.select("pair_key", F.concat("scope_id", F.lit("+")).alias("scope_id"), (F.col("start_pos") + half).alias("start_pos"), (F.col("end_pos") + half).alias("end_pos"), "link_target")
-    return alignment.conflicts(scopes.unionByName(moved))
+    return scopes.unionByName(moved)
 
 
-@query(f"""WITH {_SCOPES}, w AS (SELECT sc.pair_key, scope_id, greatest(a - 20, 0) AS sa, least(b + 20, length(source)) AS sb, greatest(a - 10, 0) AS ta, least(b + 30, length(target)) AS tb FROM sc JOIN p USING (pair_key))
+@query(f"""WITH {_SCOPES}{_SHIFTED}, w AS (SELECT sh.pair_key, scope_id, a AS sa, b AS sb, greatest(a - 10, 0) AS ta, least(b + 30, length(target)) AS tb FROM sh JOIN p USING (pair_key))
 SELECT l.pair_key, l.scope_id, string_agg(DISTINCT r.scope_id, ',' ORDER BY r.scope_id) AS conflicts_with FROM w l JOIN w r ON l.pair_key = r.pair_key AND l.scope_id <> r.scope_id
 AND ((l.sa < r.sb AND r.sa < l.sb) OR (l.ta < r.tb AND r.ta < l.tb)) GROUP BY ALL""")
 def window_conflicts(spark, folder):
-    """Windows around all scopes, wider than they are, that meet on the side of the source or of the target."""
+    """Windows around scopes and their moved copies that meet on the side of the source or of the target."""
     pairs = _pairs(spark, folder)
-    near = alignment.scope_rows(pairs).join(pairs.select("pair_key", F.length("source").alias("s"), F.length("target").alias("t")), "pair_key")
-    low, high = lambda n: F.greatest(F.col("start_pos") - n, F.lit(0)), lambda n, side: F.least(F.col("end_pos") + n, F.col(side))
-    windows = near.select("pair_key", "scope_id", low(20).alias("source_start"), high(20, "s").alias("source_end"), low(10).alias("target_start"), high(30, "t").alias("target_end"))
-    return alignment.window_conflicts(windows)
+    near = _shifted(pairs).join(pairs.select("pair_key", F.length("target").alias("t")), "pair_key")
+    target = (F.greatest(F.col("start_pos") - 10, F.lit(0)).alias("target_start"), F.least(F.col("end_pos") + 30, F.col("t")).alias("target_end"))
+    return alignment.window_conflicts(near.select("pair_key", "scope_id", F.col("start_pos").alias("source_start"), F.col("end_pos").alias("source_end"), *target))
 
 
 @query(f"""WITH {_SCOPES} SELECT pair_key, scope_id, (SELECT max(lk.b) FROM lk WHERE lk.pair_key = sc.pair_key AND lk.b <= sc.a) AS before_end,
@@ -560,7 +564,9 @@ def odt_round_trip(spark, folder):
     return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length(plain)).alias("chars"))
 
 
-@query()
+@query("""SELECT run_id, 'content.xml' AS part, n::int AS block_no, n::varchar AS segment_id, CASE WHEN type IN ('heading', 'list_item') THEN type ELSE 'paragraph' END AS type, NULL::varchar AS reason,
+CASE WHEN contains(text, chr(10)) THEN replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<text:line-break/>') ELSE text END AS text, NULL::varchar AS error FROM
+(SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_no) AS n FROM (SELECT DISTINCT run_id, seg_no, type, coalesce(text, '') AS text FROM text_segment WHERE document_format = 'odt'))""")
 def odt_blocks(spark, folder):
     return odt.odt_blocks(_packages(spark, folder), "run_id", "content").drop("protected_spans")
 

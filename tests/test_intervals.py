@@ -60,3 +60,24 @@ def test_laminar(spark):
     rows = [(0, [(0, 2, 8, 10), (3, 4, 5, 6)], True), (1, [(0, 2, 8, 10), (9, 9, 11, 12)], False), (2, [(0, 1, 2, 3), (3, 4, 5, 6)], True), (3, [(3, 4, 5, 6), (0, 1, 2, 3)], False), (4, [], True), (5, [(2, 2, 2, 2)], False)]
     df = spark.createDataFrame(rows, f"id long, r {kind}, want boolean")
     assert df.where(iv.laminar(F.col("r")) != F.col("want")).count() == 0
+
+
+def test_laminar_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def one():
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            a, b, c, d = sorted(rng.randint(0, 12) for _ in range(4))
+            out.append((a, b, c, d))
+        return sorted(out, key=lambda r: (r[0], -r[3])) if rng.random() < 0.8 else out
+
+    def want(ranges):
+        fine = all(a < d for a, _, _, d in ranges)
+        return fine and all((y[0] >= x[3] or (y[0] >= x[1] and y[3] <= x[2])) and x[0] <= y[0] for k, x in enumerate(ranges) for y in ranges[k + 1 :])
+
+    rows = [(r, want(r)) for r in (one() for _ in range(400))]
+    df = spark.createDataFrame(rows, "r array<struct<outer_start:int,inner_start:int,inner_end:int,outer_end:int>>, want boolean")
+    assert df.where(iv.laminar(F.col("r")) != F.col("want")).count() == 0 and {w for _, w in rows} == {True, False}

@@ -162,6 +162,19 @@ def test_the_model_is_called_once_for_many_texts():
         backends.answered([translation("x", None, None)], lambda texts: [])
 
 
+def test_glossaries_in_parts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(["ab", "cd", "Ef", "gh", "ij"])
+    terms = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)})
+    entries = spark.createDataFrame([(t, "keep", None) for t in terms], gl.SCHEMA)
+    texts = spark.createDataFrame([(k, " ".join(word() + rng.choice(["", ",", "x"]) for _ in range(rng.randint(0, 12)))) for k in range(80)] + [(99, None)], "id long, text string")
+    whole = sorted(tuple(r) for r in gl.matches(texts, ["id"], "text", entries).collect())
+    monkeypatch.setattr(gl, "MOST_TERMS", 30)
+    assert whole and sorted(tuple(r) for r in gl.matches(texts, ["id"], "text", entries).collect()) == whole
+
+
 def test_glossary_files_and_errors(spark, tmp_path):
     import gzip
     import json
