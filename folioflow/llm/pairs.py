@@ -22,6 +22,7 @@ from folioflow.llm.arrow import cut_lineage, map_batches
 
 COPY = 0.46  # compressed size with the original to size without; translations stay above 0.5
 MISSING = 0.25  # the part of the original that at least has no counterpart in a truncated proposal
+CERTAIN = 10.0  # times that truncation must be the likelier way to the length and end of a pair
 SMOOTH = 50  # pairs of its direction that a length's statistics are smoothed with
 
 #: Function words of languages that proposals may come in. Fixed values.
@@ -245,12 +246,12 @@ def _size():
 
 
 def _truncated():
-    """Whether to be truncated is the likelier way to a pair's ratio of lengths and end."""
+    """Whether to be truncated is by far the likelier way to a pair's ratio of lengths and end."""
     beyond = F.log(F.col("got") / F.col("left")) - F.col("usual")
     end = lambda p: F.log(F.when(F.col("lost"), F.col(p)).otherwise(1 - F.col(p)))
     cut = F.log("rare") + beyond - math.log(1 - MISSING) + end("cut_lost")
     whole = F.log(1 - F.col("rare")) - F.log(F.col("spread") * math.sqrt(2 * math.pi)) - F.pow(beyond / F.col("spread"), 2) / 2 + end("whole_lost")
-    return F.coalesce((beyond < math.log(1 - MISSING)) & (cut > whole), F.lit(False))
+    return F.coalesce((beyond < math.log(1 - MISSING)) & (cut > whole + math.log(CERTAIN)), F.lit(False))
 
 
 def defects(blocks: DataFrame, jobs: DataFrame, issues: DataFrame) -> DataFrame:
