@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import SENTENCE, SENTENCE_END, SPACE, WORD, joined
@@ -467,7 +467,25 @@ def projected_formatting(spark, folder):
     return alignment.project_pairs(_pairs(spark, folder))
 
 
-@query()
+@query(f"""WITH {_SCOPES}, sw AS ({_PLACES.format(side="source", piece=f"{WORD}|[{SPACE}]+", space=SPACE)}),
+x AS (SELECT pair_key, unnest(expected_spans) AS x, generate_subscripts(expected_spans, 1) AS link_no FROM p),
+ok AS (SELECT * FROM x WHERE x.relation = 'correspondence' AND len(x.source_ranges) > 0 AND len(x.target_ranges) > 0),
+l AS (SELECT pair_key, link_no, r.start_pos AS a, r.end_pos AS b FROM (SELECT pair_key, link_no, unnest(x.source_ranges) AS r FROM ok)), m AS (SELECT pair_key, link_no, r.start_pos AS a, r.end_pos AS b FROM (SELECT pair_key, link_no, unnest(x.target_ranges) AS r FROM ok)),
+loose AS (SELECT sc.pair_key, sc.scope_id, string_agg('[' || greatest(w.a, sc.a) || ',' || least(w.b, sc.b) || ')', ', ' ORDER BY w.a) AS ranges FROM sc JOIN sw w ON w.pair_key = sc.pair_key AND w.a < sc.b AND sc.a < w.b
+          WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.pair_key = w.pair_key AND l.a < w.b AND w.a < l.b) GROUP BY sc.pair_key, sc.scope_id),
+mine AS (SELECT DISTINCT sc.pair_key, sc.scope_id, sc.a AS sa, sc.b AS sb, l.link_no FROM sc JOIN l ON l.pair_key = sc.pair_key AND l.a < sc.b AND sc.a < l.b),
+touched AS (SELECT pair_key, scope_id, bool_or(l.a < sa OR l.b > sb) AS crosses, string_agg('[' || l.a || ',' || l.b || ')', ', ' ORDER BY l.a, l.b) AS ranges FROM mine JOIN l USING (pair_key, link_no) GROUP BY pair_key, scope_id),
+v AS (SELECT sc.*, CASE WHEN loose.ranges IS NOT NULL THEN 'unresolved_source' WHEN touched.crosses THEN 'crossing_source_boundary' WHEN touched.ranges IS NULL THEN 'no_target' END AS reason,
+      CASE WHEN loose.ranges IS NOT NULL THEN loose.ranges WHEN touched.crosses THEN touched.ranges ELSE '[' || sc.a || ',' || sc.b || ')' END AS ranges FROM sc LEFT JOIN loose USING (pair_key, scope_id) LEFT JOIN touched USING (pair_key, scope_id)),
+t AS (SELECT v.pair_key, v.scope_id, v.link_target, m.a, m.b, max(m.b) OVER (PARTITION BY v.pair_key, v.scope_id ORDER BY m.a, m.b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM v JOIN mine USING (pair_key, scope_id) JOIN m ON m.pair_key = v.pair_key AND m.link_no = mine.link_no WHERE v.reason IS NULL),
+u AS (SELECT t.*, sum((before IS NULL OR regexp_matches(substr(p.target, before + 1, greatest(t.a - before, 0)), '[^{SPACE}]'))::int) OVER (PARTITION BY t.pair_key, t.scope_id ORDER BY t.a, t.b) AS run FROM t JOIN p USING (pair_key)),
+r AS (SELECT pair_key, scope_id, link_target, run, min(a) AS a, max(b) AS b, count(*) OVER (PARTITION BY pair_key, scope_id) AS runs FROM u GROUP BY pair_key, scope_id, link_target, run),
+k AS (SELECT pair_key, scope_id, link_target, runs, a, b FROM r WHERE runs = 1 OR link_target IS NULL UNION ALL SELECT pair_key, scope_id, link_target, runs, min(a), max(b) FROM r WHERE runs > 1 AND link_target IS NOT NULL GROUP BY pair_key, scope_id, link_target, runs),
+z AS (SELECT k.*, link_target IS NOT NULL AND EXISTS (SELECT 1 FROM k o WHERE o.pair_key = k.pair_key AND o.scope_id <> k.scope_id AND o.link_target IS NOT NULL AND o.a < k.b AND k.a < o.b) AS clash FROM k)
+SELECT pair_key, scope_id, CASE WHEN clash THEN 'dropped' WHEN runs = 1 THEN 'kept' WHEN link_target IS NULL THEN 'split' ELSE 'expanded' END AS action, CASE WHEN clash THEN 'overlapping_links' WHEN runs > 1 THEN 'discontinuous_target' END AS reason,
+CASE WHEN NOT clash THEN a END AS start_pos, CASE WHEN NOT clash THEN b END AS end_pos, CASE WHEN clash THEN scope_id || ': overlapping_links' WHEN runs > 1 THEN scope_id || ': discontinuous_target' END AS diagnostic FROM z UNION ALL
+SELECT pair_key, scope_id, 'dropped', reason, NULL, NULL, scope_id || ': ' || reason || '; alignment_source_ranges=' || ranges FROM v WHERE reason IS NOT NULL""")
 def projected_expected(spark, folder):
     """The same through the stored spans."""
     return alignment.project_pairs(_pairs(spark, folder), aligner="expected")
@@ -481,6 +499,14 @@ def translated_aligned(spark, folder):
     return done.select("seg_key", "translated", F.array_join("issues", "; ").alias("issues"))
 
 
+@query("SELECT DISTINCT seg_key, true AS sound FROM text_segment WHERE document_format = 'md'")
+def translated_aligned_echo(spark, folder):
+    """The aligned path with the echo double gives every Markdown segment back as it is, or says in an issue what it dropped."""
+    marked = _segments(spark, folder, "document_format", "text").where("document_format = 'md'")
+    done = aligned.translate_aligned(marked, "seg_key", backends.echo).join(marked.select("seg_key", "text"), "seg_key")
+    return done.select("seg_key", (F.col("translated").eqNullSafe(F.col("text")) | (F.size("issues") > 0)).alias("sound"))
+
+
 @query("SELECT DISTINCT seg_key, text AS original FROM text_segment WHERE length(text) > 0")
 def model_chunk_originals(spark, folder):
     """Segments masked and cut to 200 characters: the sources that the chunks stand for join to each text again."""
@@ -497,6 +523,27 @@ def _runs(spark, folder, form):
     return segments.groupBy("run_id").agg(joined(F.concat(F.lit("<p>"), "text", F.lit("</p>")) if form == "html" else F.col("text"), F.col("seg_no"), "\n\n").alias("text"))
 
 
+def _slices(found, documents, key):
+    """For each document whether its regions are the slices of it that they say, in order and apart."""
+    before = F.lag("end_pos").over(Window.partitionBy(key).orderBy("seg_no"))
+    rows = found.select(key, "seg_no", "start_pos", "end_pos", F.col("text").alias("part")).withColumn("before", before).join(documents, key)
+    cut = F.expr("substr(text, start_pos + 1, end_pos - start_pos)") == F.col("part")
+    checked = rows.groupBy(key).agg(F.bool_and(cut & (F.col("start_pos") >= F.coalesce("before", F.lit(0)))).alias("sound"))
+    return documents.select(key).join(checked, key, "left").select(key, F.coalesce("sound", F.lit(True)).alias("sound"))
+
+
+@query("SELECT DISTINCT run_id, true AS sound FROM text_segment WHERE document_format = 'html'")
+def html_slices(spark, folder):
+    pages = _runs(spark, folder, "html")
+    return _slices(html_text.html_segments(pages, "run_id", "text"), pages, "run_id")
+
+
+@query("SELECT DISTINCT id, true AS sound FROM review_job WHERE document_format = 'md'")
+def markdown_slices(spark, folder):
+    jobs = _marked_jobs(spark, folder)
+    return _slices(markdown.markdown_regions(jobs, "id", "text"), jobs, "id")
+
+
 @query()
 def html_visible_text(spark, folder):
     return html_text.html_segments(_runs(spark, folder, "html"), "run_id", "text").drop("protected_spans")
@@ -753,7 +800,13 @@ def markdown_finalized_cells(spark, folder):
     return finalize.finalized_markdown(_marked_jobs(spark, folder), blocks)
 
 
-@query()
+@query(f"""WITH p AS (SELECT DISTINCT pair_key, coalesce(source, '') AS source, coalesce(target, '') AS target, expected FROM en_de), sw AS ({_PLACES.format(side="source", piece=f"{WORD}|[{SPACE}]+", space=SPACE)}),
+tw AS ({_PLACES.format(side="target", piece=f"{WORD}|[{SPACE}]+", space=SPACE)}), v(share) AS (VALUES (0.25::double), (0.5::double), (1.0::double)),
+c AS (SELECT p.*, v.share, round_even(least((SELECT count(*) FROM sw WHERE sw.pair_key = p.pair_key), (SELECT count(*) FROM tw WHERE tw.pair_key = p.pair_key)) * v.share, 0)::bigint AS links FROM p CROSS JOIN v),
+f AS (SELECT pair_key, share, links, j, strpos(source, e[1]) - 1 AS s, length(e[1]) AS sl, strpos(target, e[2]) - 1 AS t, length(e[2]) AS tl FROM (SELECT *, unnest(expected) AS e, generate_subscripts(expected, 1) AS j FROM c)),
+h AS (SELECT f.pair_key, f.share, f.j, f.s >= 0 AND f.t >= 0 AND count(sw.k) > 0 AND bool_and(sw.k IS NULL OR (f.t <= tw.a AND tw.b <= f.t + f.tl)) AS hit
+      FROM f LEFT JOIN sw ON sw.pair_key = f.pair_key AND sw.k <= f.links AND sw.a < f.s + f.sl AND f.s < sw.b LEFT JOIN tw ON tw.pair_key = sw.pair_key AND tw.k = sw.k GROUP BY f.pair_key, f.share, f.j, f.s, f.t)
+SELECT c.share, count(*) AS cases, sum(coalesce(len(c.expected), 0))::bigint AS expected, sum((SELECT count(*) FROM h WHERE h.pair_key = c.pair_key AND h.share = c.share AND h.hit))::bigint AS hit, median(links) AS median_links FROM c GROUP BY c.share""")
 def alignment_evaluation(spark, folder):
     return evaluation.report(evaluation.evaluate_alignment(_pairs(spark, folder), [0.25, 0.5, 1.0]))
 
@@ -888,6 +941,16 @@ def review_finalized_md(spark, folder):
     return done.select("id", "document", F.array_join("issues", "; ").alias("issues"), "error")
 
 
+@query("SELECT DISTINCT id, true AS same FROM review_job WHERE document_format = 'md'")
+def review_finalized_same(spark, folder):
+    """Markdown reviews that accept every original give the snapshot again; those without a form for review have an error and no document."""
+    jobs = table(spark, folder, "review_job").where("document_format = 'md'").dropDuplicates(["id"])
+    blocks = review_jobs.job_blocks(jobs).where("error is null").select("job_id", "id", F.col("original").alias("text"))
+    done = review_jobs.finalized_markdown(jobs, blocks).join(_marked_jobs(spark, folder), "id")
+    same = F.regexp_replace("text", "^\ufeff", "") == F.col("document")
+    return done.select("id", F.coalesce(same, F.col("error").isNotNull()).alias("same"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, their sentences and matched terms, and how much of them the pipeline translates, by language and format."""
     segments = _segments(spark, folder, "lang", "document_format", "text", "protected_spans")
