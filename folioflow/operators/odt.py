@@ -140,6 +140,7 @@ class Block:
     spans: list[tuple[int, int]] = field(default_factory=list)
     ranges: list[tuple[int, int, int, int]] = field(default_factory=list)
     frames: list[tuple[int, int]] = field(default_factory=list)
+    context: str = ""  # the elements around it, from the root
 
 
 def tokens(xml: str) -> Iterator[tuple[str, str, dict, int, int]]:
@@ -220,7 +221,7 @@ def blocks(data: bytes, part: str = "content.xml", protected_styles: frozenset[s
                 box = max((k + 1 for k, t in enumerate(stack) if t == "draw:text-box"), default=0)
                 style = have.get("text:style-name") in protected_styles or any(p["style"] for p in open_)
                 kind_ = "heading" if name == "text:h" else "list_item" if "text:list-item" in stack[box:] else "paragraph"
-                block = Block(str(number) if part == "content.xml" else f"{part}:{number}", kind_, e, part=part)
+                block = Block(str(number) if part == "content.xml" else f"{part}:{number}", kind_, e, part=part, context="/".join(stack))
                 open_.append(
                     {"depth": len(stack), "block": block, "n": number, "tokens": [], "wrappers": [], "ranges": [], "frames": [], "inside": None, "odd": False, "field": False,
                      "fits": supported(stack, part), "cell": bool(cells), "style": style, "plain": []}
@@ -426,6 +427,28 @@ def odt_blocks(packages: DataFrame, key: str, content: str) -> DataFrame:
     return flat_map(packages.select(key, content), schema, make)
 
 
+def inventory(packages: DataFrame, key: str, content: str) -> DataFrame:
+    """``(key, part, block_no, segment_id, type, context, status, text)``: every paragraph and heading, with the elements around it and whether it can be edited.
+
+    ``status`` is ``eligible`` or the reason why not, also by styles; bad packages have no blocks.
+    """
+
+    def make():
+        def work(row: dict) -> list[tuple]:
+            try:
+                parts = inspect(row[content] or b"")
+                kept = frozenset().union(*map(protected_styles, parts.values()))
+                found = [(part, b) for part, data in parts.items() for b in blocks(data, part, kept)]
+            except OdtError:
+                return []
+            return [(row[key], part, n, b.id, b.type, b.context, b.reason or "eligible", b.text) for n, (part, b) in enumerate(found, 1)]
+
+        return work
+
+    schema = f"{key} {packages.schema[key].dataType.simpleString()}, part string, block_no int, segment_id string, type string, context string, status string, text string"
+    return flat_map(packages.select(key, content), schema, make)
+
+
 def skipped_issues(found: DataFrame, key: str) -> DataFrame:
     """Issue rows for blocks with text that cannot be edited."""
     lost = found.where(F.col("reason").isin(*UNSUPPORTED) & F.col("text").rlike(r"(?U)\S"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -33,18 +33,27 @@ def sentences(text: str) -> list[tuple[str, str]]:
 def aligned_units(prepared: mi.ModelInput, limit: int, aligner: Callable) -> Steps[tuple[dict, list[str]]]:
     """(the alignment of a whole input from calls sentence by sentence, reasons of the calls that failed).
 
-    Units that are only a marker bypass the model, and what fails stays as it is and unaligned.
+    Units that are only a marker bypass the model, and what fails stays as it is and unaligned. Where the aligner refuses a unit, its
+    translation stays but no word of it is linked. ``counts`` of the result holds calls of the model and the aligner, refusals and bypassed units.
     """
     pieces = [(part or "", separator) for sentence, gap in sentences(prepared.text) for part, separator in [*split_text(sentence, lambda s: len(s) <= limit), (None, gap)]]
     sent = [bool(words.strip()) and words.strip() not in prepared.tokens for words, _ in pieces]
     replies = iter((yield [words for (words, _), ask in zip(pieces, sent) if ask]))
     whole: dict = {"source": "", "target": "", "links": [], "unaligned": [], "ambiguous": [], "units": []}
+    counts = whole["counts"] = {"translation_calls": sum(sent), "alignment_calls": 0, "alignment_failures": 0, "protected_units": 0}
     reasons = []
     for (words, separator), ask in zip(pieces, sent):
         a, b, out = len(whole["source"]), len(whole["target"]), words
         if ask:
             done, reason = next(replies)
-            one = al.components(words, words if reason else done, [] if reason else aligner(words, done))
+            pairs: Iterable = []
+            if not reason:
+                counts["alignment_calls"] += 1
+                try:
+                    pairs = aligner(words, done)
+                except al.AlignmentError:
+                    counts["alignment_failures"] += 1
+            one = al.components(words, words if reason else done, pairs)
             out = one["target"]
             whole["links"] += [([(s + a, e + a) for s, e in x], [(s + b, e + b) for s, e in y]) for x, y in one["links"]]
             whole["unaligned"] += [(s + a, e + a) for s, e in one["unaligned"]]
@@ -53,6 +62,7 @@ def aligned_units(prepared: mi.ModelInput, limit: int, aligner: Callable) -> Ste
             else:
                 whole["units"].append(((a, a + len(words)), (b, b + len(out))))
         elif words.strip():
+            counts["protected_units"] += 1
             whole["links"].append(([(a, a + len(words))], [(b, b + len(words))]))
         whole["source"] += words + separator
         whole["target"] += out + separator
@@ -110,6 +120,7 @@ def _translated_body(text: str, limit: int, aligner: Callable) -> Steps[tuple[st
         if s < e:
             scopes.append({"id": str(k), "source": (s, e), "link_target": text[end:] if text[ranges[k][0]] == "[" else None})
     done, issues = al.project(a, scopes)
+    issues += [{"id": "", "action": "dropped", "reason": "alignment_failed"}] * a["counts"]["alignment_failures"]
     bare, moves = mi.restore(a["target"], prepared)
     items = []
     for p in done:
@@ -126,6 +137,26 @@ def _translated_body(text: str, limit: int, aligner: Callable) -> Steps[tuple[st
     return out, [i for i in issues if i["id"] not in gone or i["action"] == "dropped"] + dropped
 
 
+def unit_counts(segments: DataFrame, key: str, backend: Callable[[], Backend], limit: int = 1_000) -> DataFrame:
+    """``(key, translation_calls, alignment_calls, alignment_failures, protected_units)`` of the aligned path over Markdown segments ``(key, text)``."""
+    names = ("translation_calls", "alignment_calls", "alignment_failures", "protected_units")
+
+    def steps(text: str | None) -> Steps[dict]:
+        body = aligned_body(text or "")[1]
+        opaque, ranges, _ = markdown.inline_syntax(body)
+        wrappers = sorted({(r[0], r[1]) for r in ranges} | {(r[2], r[3]) for r in ranges})
+        prepared = mi.prepare(body, mi.partition(len(body), [o for o in opaque if o not in wrappers], wrappers))
+        if prepared.text is None:
+            return dict.fromkeys(names, 0)
+        return (yield from aligned_units(prepared, limit, al.by_position))[0]["counts"]
+
+    def make():
+        model = backend()
+        return lambda rows: [(row[key], *(counts[n] for n in names)) for row, counts in zip(rows, answered([steps(row["text"]) for row in rows], model))]
+
+    return flat_map_rows(segments.select(key, "text"), f"{key} {segments.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} int" for n in names), make)
+
+
 def aligned_errors(before: str, after: str) -> list[str]:
     """What a translation whose formatting may have gone must still keep: code, images, addresses, entities and elements that wrap no words."""
 

@@ -499,6 +499,13 @@ def translated_aligned(spark, folder):
     return done.select("seg_key", "translated", F.array_join("issues", "; ").alias("issues"))
 
 
+@query()
+def aligned_unit_counts(spark, folder):
+    """Calls of the aligned path over all Markdown segments."""
+    counts = aligned.unit_counts(_segments(spark, folder, "document_format", "text").where("document_format = 'md'"), "seg_key", backends.upper)
+    return counts.agg(*(F.sum(c).alias(c) for c in ("translation_calls", "alignment_calls", "alignment_failures", "protected_units")))
+
+
 @query("SELECT DISTINCT seg_key, true AS sound FROM text_segment WHERE document_format = 'md'")
 def translated_aligned_echo(spark, folder):
     """The aligned path with the echo double gives every Markdown segment back as it is, or says in an issue what it dropped."""
@@ -612,7 +619,7 @@ def odt_round_trip(spark, folder):
 
 
 @query("""SELECT run_id, 'content.xml' AS part, n::int AS block_no, n::varchar AS segment_id, CASE WHEN type IN ('heading', 'list_item') THEN type ELSE 'paragraph' END AS type, NULL::varchar AS reason,
-CASE WHEN contains(text, chr(10)) THEN replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<text:line-break/>') ELSE text END AS text, NULL::varchar AS error FROM
+replace(text, chr(10), '<text:line-break/>') AS text, NULL::varchar AS error FROM
 (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_no) AS n FROM (SELECT DISTINCT run_id, seg_no, type, coalesce(text, '') AS text FROM text_segment WHERE document_format = 'odt'))""")
 def odt_blocks(spark, folder):
     return odt.odt_blocks(_packages(spark, folder), "run_id", "content").drop("protected_spans")
@@ -624,6 +631,12 @@ def odt_inventory_counts(spark, folder):
     return evaluation.inventory_counts(odt.odt_blocks(_packages(spark, folder), "run_id", "content"), "run_id")
 
 
+@query("""SELECT run_id, n::int AS block_no, 'office:document-content/office:body/office:text' || CASE WHEN type = 'list_item' THEN '/text:list/text:list-item' ELSE '' END AS context, 'eligible' AS status FROM
+(SELECT run_id, type, row_number() OVER (PARTITION BY run_id ORDER BY seg_no) AS n FROM (SELECT DISTINCT run_id, seg_no, type FROM text_segment WHERE document_format = 'odt'))""")
+def odt_inventory(spark, folder):
+    return odt.inventory(_packages(spark, folder), "run_id", "content").select("run_id", "block_no", "context", "status")
+
+
 @query()
 def odt_evaluation(spark, folder):
     """Packages through the aligned path: their inventory beside the issues of their translation."""

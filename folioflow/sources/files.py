@@ -41,7 +41,7 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segments(files: DataFrame) -> DataFrame:
-    """``(path, seg_no, id, type, text, protected_spans)`` of documents of all formats; each goes through its own reader."""
+    """``(path, document_format, seg_no, id, type, text, protected_spans)`` of documents of all formats; each goes through its own reader."""
     text = files.where("document_format <> 'odt'").select("path", "document_format", F.decode("content", "UTF-8").alias("text"))
     none = F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("protected_spans")
     one = lambda n: F.col(n).cast("int").alias("seg_no")
@@ -50,7 +50,8 @@ def segments(files: DataFrame) -> DataFrame:
     pages = html_text.html_segments(text.where("document_format = 'html'"), "path", "text").select("path", one("seg_no"), F.lit("html_text").alias("type"), "text", "protected_spans")
     packages = odt.odt_blocks(files.where("document_format = 'odt'"), "path", "content").where("error is null and reason is null")
     office = packages.select("path", one("block_no"), "type", "text", "protected_spans")
-    return plain.unionByName(marked).unionByName(pages).unionByName(office).withColumn("id", F.col("seg_no").cast("string"))
+    form = lambda df, name: df.withColumn("document_format", F.lit(name))
+    return form(plain, "txt").unionByName(form(marked, "md")).unionByName(form(pages, "html")).unionByName(form(office, "odt")).withColumn("id", F.col("seg_no").cast("string"))
 
 
 def suite(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from folioflow.sources import files
 
 
 def translate_stream(spark: SparkSession, path: str, out: str, checkpoint: str, backend: str = "echo") -> StreamingQuery:
-    """Translates the segments of new files and appends them under ``out``.
+    """Translates the segments of new files and appends them under ``out``; the structure of Markdown and HTML is checked as in a batch.
 
     Order within a document needs windows, which streams don't have; a document is whole in its micro-batch, so the batch plan
     holds. A batch that is run again overwrites its own folder, which makes the sink exactly-once.
@@ -20,7 +20,7 @@ def translate_stream(spark: SparkSession, path: str, out: str, checkpoint: str,
 
     def batch(df: DataFrame, number: int) -> None:
         found = files.segments(df)
-        done = translate_segments(found, ["path", "seg_no", "type"], BACKENDS[backend])
+        done = translate_segments(found, ["path", "document_format", "seg_no", "type"], BACKENDS[backend], form="document_format")
         done.withColumn("errors", F.array_join("errors", "; ")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.stream(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -105,3 +105,20 @@ def test_language_styles():
     lang = '<s:text-properties f:language="de" f:country="DE"/>'
     body = style("A", lang) + style("B", '<s:text-properties f:language="de" f:weight="bold"/>') + style("C", lang) + style("C", "")
     assert odt.language_styles({"content.xml": f'<r xmlns:s="{odt._NS}style:1.0" xmlns:f="{odt._NS}xsl-fo-compatible:1.0">{body}</r>'.encode()}) == {"A"}
+
+
+def test_refused_alignments_keep_the_translation():
+    from folioflow.operators import alignment as al
+
+    def refuses(source, target):
+        raise al.AlignmentError("too long")
+
+    out, issues = translate_markdown("one **two** three. Four", backends.upper(), limit=12, aligner=refuses)
+    assert out == "ONE TWO THREE. FOUR" and [i["reason"] for i in issues if not i["id"]] == ["alignment_failed"] * 3
+
+
+def test_counts_of_calls(spark):
+    from folioflow.plans.aligned import unit_counts
+
+    df = spark.createDataFrame([(1, "a **b** c. D `x`"), (2, None), (3, "`x`")], "id long, text string")
+    assert {r.id: tuple(r)[1:] for r in unit_counts(df, "id", backends.upper).collect()} == {1: (2, 2, 0, 0), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}

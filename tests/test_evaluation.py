@@ -35,6 +35,19 @@ def test_inventory_of_packages(spark):
     assert (rows[1].eligible, rows[1].retained, rows[1].formatting) == (2, 1, 0) and rows[2].error and rows[2].eligible == 0
 
 
+def test_inventory_has_contexts_and_reasons(spark):
+    good = odt.make_package([("heading", "head"), ("list_item", "two")])
+    rows = odt.inventory(spark.createDataFrame([(1, good), (2, b"none"), (3, None)], "id long, content binary"), "id", "content").orderBy("block_no").collect()
+    assert [(r.type, r.context.split("/", 2)[2], r.status) for r in rows] == [("heading", "office:text", "eligible"), ("list_item", "office:text/text:list/text:list-item", "eligible")]
+
+
+def test_skipped_content_becomes_issues(spark):
+    reason = sorted(odt.UNSUPPORTED)[0]
+    rows = [(1, "1", "paragraph", reason, "lost words"), (1, "2", "paragraph", reason, " "), (1, "3", "paragraph", None, "fine"), (1, "4", "paragraph", "other", "not counted"), (2, None, None, None, None)]
+    found = odt.skipped_issues(spark.createDataFrame(rows, "id long, segment_id string, type string, reason string, text string"), "id").collect()
+    assert [(r.segment_id, r.action, r.reason, r.original) for r in found] == [("1", "skipped_content", reason, "lost words")]
+
+
 def test_windows_that_meet_on_either_side(spark):
     rows = [(1, "a", 0, 5, 0, 5), (1, "b", 5, 9, 4, 9), (1, "c", 8, 12, 20, 30), (1, "d", 40, 50, 40, 50), (2, "a", 0, 5, 0, 5)]
     df = spark.createDataFrame(rows, "pair_key long, scope_id string, source_start int, source_end int, target_start int, target_end int")
