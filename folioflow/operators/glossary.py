@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,24 +76,29 @@ class TermIndex:
     """Whole terms in a text, from left to right, the longest at each place, without overlaps.
 
     Folded terms are the keys of one dictionary, and their lengths stand under their first letters. Places where a term may start
-    are found by one pattern of the first characters, so text without them costs next to nothing; at such a place only the
+    are found by one pattern of their first two characters, so text without them costs next to nothing; at such a place only the
     lengths that occur are looked up, the longest first.
     """
 
     HEAD = 3  # letters under which lengths are listed, fewer for shorter terms
 
     def __init__(self, terms: list[str]):
-        keys = [folded(t) for t in terms]
+        whole = "\n".join(terms)
+        plain = whole.isascii() and whole.count("\n") == len(terms) - 1  # folded as one text, as no term holds a line end
+        keys = whole.lower().split("\n") if plain else [folded(t) for t in terms]
         self.numbers = dict(zip(keys, range(len(keys))))
         if len(self.numbers) < len(keys):
             raise ValueError("two terms of the glossary fold alike")
         self.numbers.pop("", None)
-        lengths: dict[str, set[int]] = {}
-        for key in self.numbers:
-            lengths.setdefault(key[: self.HEAD], set()).add(len(key))
+        lengths: dict[str, list[int]] = {}
+        for head, length in set(zip(map(itemgetter(slice(self.HEAD)), self.numbers), map(len, self.numbers))):
+            lengths.setdefault(head, []).append(length)
         self.lengths = {head: sorted(found, reverse=True) for head, found in lengths.items()}
-        first = "".join(re.escape(c) for c in sorted({head[0] for head in lengths}))
-        self.starts = re.compile(rf"(?<!\w)[{first}]") if first else None
+        begin: dict[str, set[str]] = {}
+        for head in self.lengths:
+            begin.setdefault(head[0], set()).add(head[1:2])
+        one = lambda c, more: re.escape(c) + ("" if "" in more else "[" + "".join(map(re.escape, sorted(more))) + "]")
+        self.starts = re.compile(r"(?<!\w)(?:" + "|".join(one(c, begin[c]) for c in sorted(begin)) + ")") if begin else None
 
     def find(self, text: str, overlapping: bool = False) -> list[tuple[int, int, int]]:
         """``(start, end, number of the term)``; with ``overlapping`` the longest match at every place, also within other matches."""
@@ -111,7 +117,7 @@ class TermIndex:
 
     def _longest(self, text: str, low: str, at: int, size: int) -> tuple[int, int] | None:
         for head in range(self.HEAD, 0, -1):
-            for length in self.lengths.get(low[at : at + head], ()):
+            for length in self.lengths.get(low[at : at + head], ()):  # a longer head has longer terms
                 end = at + length
                 if end <= size and (end == size or not word_character(text[end])) and (number := self.numbers.get(low[at:end])) is not None:
                     return end, number

@@ -188,7 +188,7 @@ def budget_reassembly(spark, folder):
 def word_counts(spark, folder):
     tokens = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     counted = _delivered(spark, folder, F.size(tokens).alias("words"), F.size(F.filter(tokens, lambda w: w.rlike(r"[\p{L}\p{N}\p{M}_]"))).alias("letters"))
-    return counted.where("words > 0").dropDuplicates(["seg_key"])
+    return counted.dropDuplicates(["seg_key"]).where("words > 0")  # in this order, as a filter below would cut the words once more
 
 
 # ---- intervals --------------------------------------------------------------------------------------------------------
